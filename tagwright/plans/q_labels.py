@@ -91,6 +91,6 @@ def q_dataset_counts(spark, sf):
         F.count(F.lit(1)).alias("answers"),
         F.count_if(F.col("reason").isNotNull()).alias("errors"),
         F.count_distinct(F.when(F.col("class").isNotNull(), F.col("custom_id"))).alias("labeled_ids"))
-    return (m.crossJoin(p)  # two one-row aggregates
+    return (m.withColumn("_k", F.lit(1)).join(p.withColumn("_k", F.lit(1)), "_k")  # two one-row aggregates
             .select("total", "kept", (F.col("total") - F.col("kept")).alias("removed"),
                     "answers", "errors", "labeled_ids"))
