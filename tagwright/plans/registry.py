@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load_all() -> None:
-    from tagwright.plans import q_labels, q_metrics, q_prepare, q_split  # noqa: F401  (registration side effects)
+    from tagwright.plans import q_compare, q_labels, q_metrics, q_prepare, q_split  # noqa: F401  (registration side effects)
