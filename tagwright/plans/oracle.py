@@ -88,7 +88,7 @@ RESPONSES = (
 )
 
 PARSED = (
-    "SELECT line_no, custom_id, content, class, CASE WHEN NOT ok THEN 'bad_json' WHEN content IS NULL "
+    "SELECT line_no, custom_id, content, class, ok, CASE WHEN NOT ok THEN 'bad_json' WHEN content IS NULL "
     "THEN 'missing_content' WHEN class IS NULL THEN 'bad_format' END AS reason FROM ("
     f"SELECT line_no, ok, custom_id, content, {strict('content')} AS class FROM ("
     "SELECT line_no, json_valid(raw) AS ok, "
