@@ -22,14 +22,22 @@ def read_requests_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def read_responses_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Responses -> ``(custom_id, content, corrupt, line_key)`` (S3).
 
-    Bad lines are kept (PERMISSIVE) and flagged, never fatal. ``line_key``
+    Lines are read as text and decoded with ``from_json`` (the same decoding
+    the table path uses), so a bad line is flagged, never fatal. ``line_key``
     orders lines like the files do (file, split start, position in the
     split), which is what "the last answer wins" needs.
     """
-    r = (spark.read.schema(schemas.RESPONSE_WITH_CORRUPT).option("mode", "PERMISSIVE")
-         .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    content = F.get(F.col("response.body.choices"), 0)["message"]["content"]
+    raw = read_response_lines(spark, path)
+    j = F.from_json("raw", schemas.RESPONSE)
+    ok = F.get_json_object("raw", "$").isNotNull()
+    return raw.select(F.when(ok, j["custom_id"]).alias("custom_id"),
+                      F.when(ok, F.get(j["response"]["body"]["choices"], 0)["message"]["content"]).alias("content"),
+                      (~ok).cast("int").alias("corrupt"), "line_key")
+
+
+def read_response_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(raw, line_key)`` for every line of the response files; feed to ``parse_responses(order_col='line_key')``."""
+    t = spark.read.text(path)
     key = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
                    F.monotonically_increasing_id().alias("seq"))
-    return r.select(F.col("custom_id"), content.alias("content"),
-                    F.col("_corrupt_record").isNotNull().cast("int").alias("corrupt"), key.alias("line_key"))
+    return t.select(F.col("value").alias("raw"), key.alias("line_key"))
