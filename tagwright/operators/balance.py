@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagwright import constants as K
 from tagwright.operators.prepare import assign_row_id
-from tagwright.operators.split import key_hash, rank_in_class
+from tagwright.operators.split import HashRanks, key_hash
 
 
 def hash_unit(h: Column) -> Column:
@@ -38,18 +38,19 @@ def balanced_resample(df: DataFrame, key: str = "custom_id", label: str = "class
     Returns ``(key, label, draws)``; ``explode_draws`` gives one row per draw.
     """
     spark = df.sparkSession
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    hr = HashRanks(df.select(key, label), key_hash(key, seed, "resample"), label)
+    counts = hr.class_counts().withColumnRenamed("n", "n_c")
     allw = Window.partitionBy()  # one row per class
     classes = counts.select(label, "n_c", (F.row_number().over(Window.orderBy(label)) - 1).alias("_ci"),
-                            F.count(F.lit(1)).over(allw).alias("_k"))
-    n = n_draws if n_draws is not None else df.count()
+                            F.count(F.lit(1)).over(allw).alias("_k"), F.sum("n_c").over(allw).alias("_n"))
+    n = n_draws if n_draws is not None else classes.select(F.max("_n")).first()[0] or 0
     draws = spark.range(n).select(
         hash_unit(key_hash("id", seed, "r1")).alias("_u1"), hash_unit(key_hash("id", seed, "r2")).alias("_u2"))
-    cls = F.broadcast(classes)  # one row per class
+    cls = hr.small(classes)  # one row per class
     picked = draws.join(cls, F.floor(draws["_u1"] * cls["_k"]) == cls["_ci"])
     per_cell = picked.groupBy(label, F.floor(F.col("_u2") * F.col("n_c")).cast("bigint").alias("_rank")) \
         .agg(F.count(F.lit(1)).alias("draws"))
-    ranked = rank_in_class(df.select(key, label), key_hash(key, seed, "resample"), key, label, name="_rank")
+    ranked = hr.ranked(key, "_rank")
     return ranked.join(per_cell, [label, "_rank"]).select(key, label, "draws")
 
 

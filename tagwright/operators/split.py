@@ -39,9 +39,8 @@ def approximate_mode(counts: DataFrame, n_col: str, draws_col: str, out: str, la
     return t.drop("_cont", "_floor", "_rem", "_need", "_rk")
 
 
-def split_quotas(df: DataFrame, label: str = "class") -> DataFrame:
-    """Per class: n, n_test, n_validation, n_train."""
-    counts = df.groupBy(F.col(label)).agg(F.count(F.lit(1)).alias("n"))
+def quotas_from_counts(counts: DataFrame, label: str = "class") -> DataFrame:
+    """Per class ``(n)`` -> n, n_test, n_validation, n_train (a K-row table)."""
     allw = Window.partitionBy()
     tot = F.sum("n").over(allw)
     q = counts.withColumn("_n_test_total", F.ceil(F.lit(0.2) * tot).cast("bigint"))
@@ -55,36 +54,61 @@ def split_quotas(df: DataFrame, label: str = "class") -> DataFrame:
     return q.select(label, "n", "n_test", "n_validation", "n_train")
 
 
+def split_quotas(df: DataFrame, label: str = "class") -> DataFrame:
+    """Per class: n, n_test, n_validation, n_train."""
+    return quotas_from_counts(df.groupBy(F.col(label)).agg(F.count(F.lit(1)).alias("n")), label)
+
+
+class HashRanks:
+    """Rows with their md5 hash and bucket, plus the materialized (class, bucket) size table.
+
+    The size table holds at most K * 16**digits rows. It is computed once,
+    written to the shared checkpoint folder (cutting lineage, so the input is
+    not re-scanned for it) and its row count is the proven bound under which
+    it is broadcast. Class counts and quotas derive from it.
+    """
+
+    def __init__(self, df: DataFrame, h: Column, label: str = "class", digits: int = 3):
+        self.label = label
+        self.rows = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
+        sizes = self.rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+        self.sizes = sizes.checkpoint(eager=True)
+        self.n_sizes = self.sizes.count()
+
+    def small(self, d: DataFrame) -> DataFrame:
+        return F.broadcast(d) if self.n_sizes <= BROADCAST_ROWS else d
+
+    def class_counts(self) -> DataFrame:
+        return self.sizes.groupBy(self.label).agg(F.sum("_bn").alias("n"))
+
+    def ranked(self, key: str, name: str = "rank") -> DataFrame:
+        """0-based rank of each row inside its class by ``(h, key)``."""
+        label = self.label
+        w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        prefix = self.sizes.select(label, "_b", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"))
+        inner = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)) - 1
+        return (self.rows.withColumn("_r", inner).join(self.small(prefix), [label, "_b"])
+                .withColumn(name, (F.col("_off") + F.col("_r")).cast("bigint"))
+                .drop("_h", "_b", "_r", "_off"))
+
+
 def rank_in_class(df: DataFrame, h: Column, key: str, label: str = "class", digits: int = 3,
                   name: str = "rank") -> DataFrame:
     """0-based rank of each row inside its class by ``(h, key)``, computed in hash buckets."""
-    d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
-    sizes = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = sizes.select(label, "_b", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"))
-    bound = 16 ** digits * _class_bound(df, label)
-    prefix = F.broadcast(prefix) if bound <= BROADCAST_ROWS else prefix
-    inner = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)) - 1
-    return (d.withColumn("_r", inner).join(prefix, [label, "_b"])
-            .withColumn(name, (F.col("_off") + F.col("_r")).cast("bigint"))
-            .drop("_h", "_b", "_r", "_off"))
-
-
-def _class_bound(df: DataFrame, label: str) -> int:
-    """Number of classes (a handful of rows reach the driver)."""
-    return df.select(label).distinct().count()
+    return HashRanks(df, h, label, digits).ranked(key, name)
 
 
 def stratified_split(df: DataFrame, key: str = "custom_id", label: str = "class", seed=K.SPLIT_SEED,
                      digits: int = 3) -> DataFrame:
     """Adds ``split`` in {'train', 'validation', 'test'}."""
-    quotas = split_quotas(df, label).select(label, "n_test", "n_validation")
-    ranked = rank_in_class(df, key_hash(key, seed), key, label, digits, "_rank")
+    hr = HashRanks(df, key_hash(key, seed), label, digits)
+    quotas = quotas_from_counts(hr.class_counts(), label).select(label, "n_test", "n_validation")
+    ranked = hr.ranked(key, "_rank")
     split = (F.when(F.col("_rank") < F.col("n_test"), F.lit("test"))
              .when(F.col("_rank") < F.col("n_test") + F.col("n_validation"), F.lit("validation"))
              .otherwise(F.lit("train")))
-    # quotas: one row per class, same bound as above
-    return ranked.join(F.broadcast(quotas), label).withColumn("split", split).drop("_rank", "n_test", "n_validation")
+    # quotas: one row per class, never more rows than the size table
+    return ranked.join(hr.small(quotas), label).withColumn("split", split).drop("_rank", "n_test", "n_validation")
 
 
 def split_distribution(split_df: DataFrame, label: str = "class") -> DataFrame:
