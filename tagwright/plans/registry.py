@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load_all() -> None:
-    from tagwright.plans import q_compare, q_encode, q_io, q_labels, q_metrics, q_prepare, q_score, q_split, q_train  # noqa: F401  (registration side effects)
+    from tagwright.plans import q_compare, q_encode, q_io, q_labels, q_metrics, q_prepare, q_score, q_split, q_stream, q_train  # noqa: F401  (registration side effects)
