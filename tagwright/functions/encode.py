@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tagwright import constants as K
 from tagwright.functions.text import _c
@@ -27,26 +28,41 @@ def char_vocabulary(df: DataFrame, text_col: str = "message") -> DataFrame:
     return counts.select("char", "n", (rank + K.END_ID).cast("int").alias("id"))
 
 
-def vocabulary_map(vocab: DataFrame) -> DataFrame:
-    """One row holding ``map<char, id>``, size-checked so it can be broadcast."""
-    return vocab.agg(F.map_from_entries(F.collect_list(F.struct("char", "id"))).alias("_vocab"))
+def vocabulary_dict(vocab: DataFrame) -> dict:
+    """The learned vocabulary as a model object ``{char: id}``.
 
+    Like Spark ML's CountVectorizerModel it is collected once; its size is
+    checked against the code-point bound before it is shipped as a
+    broadcast variable.
+    """
+    n = vocab.count()
+    if n > MAX_VOCAB:
+        raise ValueError(f"vocabulary of {n} entries exceeds the code-point bound")
+    return {r["char"]: int(r["id"]) for r in vocab.select("char", "id").toLocalIterator()}
+
+
+def token_ids(c, vocab: dict) -> Column:
+    """Characters of the whole text -> ids, unknown -> 1 (no start/end, no padding).
+
+    Vectorized over Arrow batches with an O(1) dictionary lookup per
+    character; the dictionary travels once per executor as a broadcast.
+    """
+    from pyspark import SparkContext
 
-def with_vocabulary(df: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Attach the vocabulary map to every row through a broadcast one-row equi-join."""
-    m = vocabulary_map(vocab).withColumn("_vk", F.lit(0))
-    return df.withColumn("_vk", F.lit(0)).join(F.broadcast(m), "_vk").drop("_vk")
+    bc = SparkContext.getOrCreate().broadcast(vocab)
 
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def _ids(s: pd.Series) -> pd.Series:
+        get = bc.value.get
+        return pd.Series([None if t is None else [get(ch, K.UNK_ID) for ch in t] for t in s], dtype=object)
 
-def token_ids(c, vocab_col: str = "_vocab") -> Column:
-    """Characters -> ids, unknown characters -> 1 (no padding, no start/end)."""
-    return F.transform(chars(c), lambda ch: F.coalesce(F.try_element_at(F.col(vocab_col), ch), F.lit(K.UNK_ID)))
+    return _ids(_c(c))
 
 
-def encode_fixed_length(c, max_len: int = K.CLASSIFIER_MAX_LEN, vocab_col: str = "_vocab") -> Column:
-    """``struct(input_ids, attention_mask, token_type_ids)``: start + ids + end, truncated and padded to max_len."""
-    core = F.concat(F.array(F.lit(K.START_ID)), F.slice(token_ids(c, vocab_col), 1, max_len - 2),
-                    F.array(F.lit(K.END_ID)))
+def encode_fixed_length(ids, max_len: int = K.CLASSIFIER_MAX_LEN) -> Column:
+    """``struct(input_ids, attention_mask, token_type_ids)`` from token ids (F12):
+    start + ids + end, truncated and padded to ``max_len``."""
+    core = F.concat(F.array(F.lit(K.START_ID)), F.slice(_c(ids), 1, max_len - 2), F.array(F.lit(K.END_ID)))
     n = F.size(core)
     ids = F.concat(core, F.array_repeat(F.lit(K.PAD_ID), F.lit(max_len) - n))
     mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_len) - n))

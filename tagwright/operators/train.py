@@ -67,22 +67,36 @@ def score_classifier(model: PipelineModel, df: DataFrame, key: str = "custom_id"
 
 
 def select_best_model(train: DataFrame, validation: DataFrame, reg_params=(0.1, 0.5, 1.0),
-                      label_col: str = "class", **params) -> DataFrame:
-    """Fit one model per parameter value, score validation, keep the best weighted F1.
+                      label_col: str = "class", text_col: str = "message", key: str = "custom_id",
+                      algorithm: str = "naive_bayes", **params) -> DataFrame:
+    """Fit one learner per parameter value, score validation, keep the best weighted F1.
 
-    Returns one row per candidate with validation accuracy and weighted F1
-    and a ``chosen`` flag (ties: the earlier candidate).
+    The feature stages (tokenizer, hashed TF, IDF) do not depend on the
+    candidate: they are fitted once and the featurised rows are cached, so
+    each candidate costs one learner fit. Returns one row per candidate with
+    validation accuracy and weighted F1 and a ``chosen`` flag (ties: the
+    earlier candidate).
     """
+    stages = text_classifier(text_col, label_col, "weight", algorithm=algorithm, **params).getStages()
+    tr = B.attach_class_weight(train.withColumn("_label", F.col(label_col).cast("double")),
+                               B.class_weights(train, label_col), label_col)
+    features = Pipeline(stages=stages[:-1]).fit(tr)
+    tr_f = features.transform(tr).select("_features", "_label", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+    va_f = features.transform(validation.withColumn("_label", F.col(label_col).cast("double"))) \
+        .select(key, "_features", "_label").persist(StorageLevel.MEMORY_AND_DISK)
+    learner = stages[-1]
+    param = learner.smoothing if algorithm == "naive_bayes" else learner.regParam
     rows = None
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    validation = validation.persist(StorageLevel.MEMORY_AND_DISK)
     for i, rp in enumerate(reg_params):
-        model = train_text_classifier(train, label_col=label_col, reg_param=rp, **params)
-        scored = score_classifier(model, validation, label_col=label_col)
+        model = learner.copy({param: float(rp)}).fit(tr_f)
+        p = vector_to_array(F.col("_prob"))
+        scored = model.transform(va_f).select(F.col("_label").cast("int").alias("true_label"),
+                                              argmax(p).alias("predicted_label"))
         m = M.weighted_prf(scored).select(F.lit(i).alias("candidate"), F.lit(float(rp)).alias("reg_param"),
                                           F.col("accuracy").alias("val_accuracy"), F.col("f1").alias("val_f1"))
         rows = m if rows is None else rows.unionByName(m)
     rows = rows.cache()
     best = rows.agg(F.max_by("candidate", F.struct(F.col("val_f1"), -F.col("candidate"))).alias("_best"))
-    return rows.join(best.withColumn("_j", F.lit(1)), F.lit(1) == F.col("_j")).select(
+    out = rows.join(best.withColumn("_j", F.lit(1)), F.lit(1) == F.col("_j")).select(
         "candidate", "reg_param", "val_accuracy", "val_f1", (F.col("candidate") == F.col("_best")).cast("int").alias("chosen"))
+    return out

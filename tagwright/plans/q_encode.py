@@ -45,7 +45,8 @@ FROM ({ids_sql(TEST, 'message', L - 2)}) e
 """)
 def q_encode_fixed_length(spark, sf):
     test = split_df(spark, sf).where(F.col("split") == "test").select("custom_id", "message")
-    enc = E.with_vocabulary(test, vocab(spark, sf)).select("custom_id", E.encode_fixed_length("message", L).alias("e"))
+    ids = E.token_ids("message", E.vocabulary_dict(vocab(spark, sf)))
+    enc = test.select("custom_id", E.encode_fixed_length(ids, L).alias("e"))
     ids = F.col("e.input_ids")
     return enc.select("custom_id", F.array_join(ids, ",").alias("input_ids"),
                       F.aggregate(F.col("e.attention_mask"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_sum"),
@@ -62,7 +63,8 @@ SELECT custom_id, CAST(least(length(prompt), {K.LLM_MAX_LEN - 2}) + 2 AS BIGINT)
 def q_causal_labels(spark, sf):
     t = split_df(spark, sf).where(F.col("split") == "train")
     p = t.select("custom_id", FT.prompt_train("message", "class").alias("prompt"))
-    enc = E.with_vocabulary(p, vocab(spark, sf)).select("custom_id", E.encode_fixed_length("prompt", K.LLM_MAX_LEN).alias("e"))
+    ids = E.token_ids("prompt", E.vocabulary_dict(vocab(spark, sf)))
+    enc = p.select("custom_id", E.encode_fixed_length(ids, K.LLM_MAX_LEN).alias("e"))
     enc = enc.select("custom_id", F.col("e.input_ids").alias("input_ids"), F.col("e.attention_mask").alias("mask"),
                      E.causal_labels("e.input_ids").alias("labels"))
     return enc.select("custom_id",
@@ -78,6 +80,6 @@ def q_strip_prompt_tokens(spark, sf):
     t = split_df(spark, sf).where(F.col("split") == "train")
     p = t.select("custom_id", FT.prompt_infer("message").alias("prompt_in"),
                  FT.prompt_train("message", "class").alias("prompt_out"))
-    p = E.with_vocabulary(p, vocab(spark, sf))
-    d = p.select("custom_id", E.token_ids("prompt_in").alias("inp"), E.token_ids("prompt_out").alias("out"))
+    v = E.vocabulary_dict(vocab(spark, sf))
+    d = p.select("custom_id", E.token_ids("prompt_in", v).alias("inp"), E.token_ids("prompt_out", v).alias("out"))
     return d.select("custom_id", F.array_join(E.strip_prompt_tokens("inp", "out"), ",").alias("generated_ids"))

@@ -21,4 +21,6 @@ def q_train_text_classifier(spark, sf):
 
 @register("select_best_model")
 def q_select_best_model(spark, sf):
-    return TR.select_best_model(_part(spark, sf, "train"), _part(spark, sf, "validation"))
+    s = split_df(spark, sf).select("custom_id", "message", "class", "split").persist()  # one split, two parts
+    return TR.select_best_model(s.where(F.col("split") == "train").drop("split"),
+                                s.where(F.col("split") == "validation").drop("split"))

@@ -76,8 +76,8 @@ def test_dense_row_id_many_partitions(spark):
 
 def test_encode_length(spark):
     docs = spark.createDataFrame([("a", "héllo wörld"), ("b", ""), ("c", "x" * 500)], "custom_id string, message string")
-    vocab = E.char_vocabulary(docs)
-    enc = E.with_vocabulary(docs, vocab).select("custom_id", E.encode_fixed_length("message", 16).alias("e")).collect()
+    vocab = E.vocabulary_dict(E.char_vocabulary(docs))
+    enc = docs.select("custom_id", E.encode_fixed_length(E.token_ids("message", vocab), 16).alias("e")).collect()
     by = {r.custom_id: r.e for r in enc}
     for e in by.values():
         assert len(e.input_ids) == 16 and len(e.attention_mask) == 16 and len(e.token_type_ids) == 16
