@@ -38,6 +38,26 @@ def compare_models(rows: DataFrame, original: DataFrame, finetuned: DataFrame, k
         flag_improvement(op, fp, t).alias("improvement"))
 
 
+def single_model_results(rows: DataFrame, predictions: DataFrame, key: str = "custom_id",
+                         pred: str = "predicted_label") -> DataFrame:
+    """``message, true_label, predicted_label, correct`` for the one model that produced output."""
+    d = rows.select(key, "message", F.col(T).cast("int").alias(T)).join(
+        predictions.select(key, F.col(pred).cast("int").alias("predicted_label")), key)
+    return d.withColumn("correct", (F.col("predicted_label") == F.col(T)).cast("int"))
+
+
+def compare_or_single(rows: DataFrame, original: DataFrame | None, finetuned: DataFrame | None,
+                      key: str = "custom_id", pred: str = "predicted_label") -> tuple[str, DataFrame] | None:
+    """Both models -> ("comparison", compare_models); one -> ("original"|"finetuned", single_model_results)."""
+    if original is not None and finetuned is not None:
+        return "comparison", compare_models(rows, original, finetuned, key, pred)
+    if original is not None:
+        return "original", single_model_results(rows, original, key, pred)
+    if finetuned is not None:
+        return "finetuned", single_model_results(rows, finetuned, key, pred)
+    return None
+
+
 def prediction_changes(comparison: DataFrame) -> DataFrame:
     """Improved / worsened / unchanged counts and percent of all rows (A13), on a 3-row spine."""
     spark = comparison.sparkSession

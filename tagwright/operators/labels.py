@@ -68,7 +68,8 @@ def purge_unlabeled(df: DataFrame) -> DataFrame:
 def response_errors(parsed: DataFrame, comments: DataFrame, key: str = "custom_id") -> DataFrame:
     """Quarantine (J9): every unusable answer line, plus comments that got no answer."""
     bad = parsed.where(F.col("reason").isNotNull()).select("line_no", key, "reason")
-    answered = parsed.where(F.col(key).isNotNull()).select(key)
+    # distinct first (partially aggregated), so an id answered very often is one row before the anti join
+    answered = parsed.where(F.col(key).isNotNull()).select(key).distinct()
     missing = (comments.select(key).join(answered, key, "left_anti")
                .select(F.lit(None).cast("bigint").alias("line_no"), key, F.lit(REASON_NO_ANSWER).alias("reason")))
     return bad.unionByName(missing)

@@ -27,6 +27,9 @@ def select_features_target(df: DataFrame) -> DataFrame:
 def assign_row_id(df: DataFrame, order_cols, name: str = "row_idx", checkpoint: bool = True) -> DataFrame:
     """Dense zero-based position in ``order_cols`` order (P5), without a global window.
 
+    ``order_cols`` should form a unique key: positions of tied rows are not
+    defined, and a value shared by many rows would land in one range partition.
+
     The input is range-partitioned and sorted by Spark; the sorted data is
     checkpointed (shared ``spark.checkpoint.dir``) so partition contents are
     fixed. Each row's position is the row count of all earlier partitions
@@ -46,6 +49,13 @@ def assign_row_id(df: DataFrame, order_cols, name: str = "row_idx", checkpoint:
             .drop("_pid", "_mid", "_off"))
 
 
+def ensure_custom_id(df: DataFrame, order_cols, key: str = "custom_id") -> DataFrame:
+    """Keep an existing ``custom_id``; otherwise make ``row-<position>`` from the dense index (P5)."""
+    if key in df.columns:
+        return df
+    return assign_row_id(df, order_cols, "_pos").withColumn(key, custom_id_from_index("_pos")).drop("_pos")
+
+
 def custom_id_from_index(idx_col: str = "row_idx"):
     return F.concat(F.lit("row-"), F.col(idx_col).cast("string"))
 

@@ -76,8 +76,9 @@ def q_read_responses_jsonl(spark, sf):
 
 @register("write_metrics_report")
 def q_write_metrics_report(spark, sf):
+    from tagwright.plans.q_metrics import base_scored
     path = scratch_path(spark, "report-txt")
-    TX.write_metrics_report(TX.report_lines(M.classification_report(scored(spark, sf))), path)
+    TX.write_metrics_report(TX.metrics_summary_lines(base_scored(spark, sf)).orderBy("_o"), path)
     return spark.read.text(path)
 
 

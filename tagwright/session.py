@@ -27,7 +27,7 @@ def get_spark(master: str | None = None, app: str = "tagwright",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 2))
-        .config("spark.driver.memory", os.environ.get("TAGWRIGHT_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("TAGWRIGHT_DRIVER_MEMORY", "4g"))
     )
     for k, v in extra.items():
         builder = builder.config(k, v)

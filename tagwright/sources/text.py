@@ -25,6 +25,33 @@ def report_lines(metrics: DataFrame) -> DataFrame:
     return acc.unionByName(cls)
 
 
+def percent_format(c, decimals: int = 2) -> Column:
+    """Share in percent as text, e.g. ``42.33%``."""
+    return F.format_string(f"%.{decimals}f%%", c)
+
+
+def metrics_summary_lines(scored: DataFrame, true: str = "true_label", pred: str = "predicted_label") -> DataFrame:
+    """The evaluation summary as text lines (S8): totals, valid share, accuracy, per-class report, confusion rows.
+
+    ``_o`` orders the lines; all numbers come from one confusion aggregate.
+    """
+    from tagwright.operators import metrics as M
+
+    valid = M.valid_predictions(scored, pred)
+    vr = M.valid_rate(scored, pred).select(
+        F.lit(0).alias("_o"), F.format_string("Total samples: %d", "n").alias("value")).unionByName(
+        M.valid_rate(scored, pred).select(
+            F.lit(1).alias("_o"),
+            F.concat(F.format_string("Valid predictions: %d (", "valid"), percent_format(F.col("valid_pct")),
+                     F.lit(")")).alias("value")))
+    report = report_lines(M.classification_report(valid, true, pred)).select((F.col("_o") + 3).alias("_o"), "value")
+    cm = M.confusion_pivot(valid, true, pred).select(
+        (F.col(true) + 100).alias("_o"),
+        F.concat(F.lit("["), F.concat_ws(" ", *[F.col(f"pred_{j}").cast("string") for j in range(4)]), F.lit("]"))
+        .alias("value"))
+    return vr.unionByName(report).unionByName(cm)
+
+
 def write_metrics_report(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Text report, one line per row."""
     lines.select("value").write.mode(mode).text(path)
