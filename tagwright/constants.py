@@ -55,6 +55,10 @@ WS_CLASS = (
     r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# The same 29 code points as a plain set, for trim(BOTH ... FROM s): strips only the ends, no regex scan.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
 DIGIT_CLASS = "[0-9０-９]"
 FULLWIDTH_DIGITS = "０１２３４５６７８９"
 ASCII_DIGITS = "0123456789"

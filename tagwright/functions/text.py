@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 
 from tagwright import constants as K
@@ -13,18 +11,13 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def regex_literal(text: str) -> str:
-    """Escape ``text`` for Java regex and RE2 alike (newlines as ``\\n``)."""
-    out = re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", text)
-    return out.replace("\n", r"\n").replace("\r", r"\r").replace("\t", r"\t")
-
-
-STRIP_PATTERN = rf"\A{K.WS_CLASS}+|{K.WS_CLASS}+\z"
-
-
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(c), STRIP_PATTERN, "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace.
+
+    ``trim`` with an explicit character set touches only the two ends (a
+    regex replace would scan the whole text).
+    """
+    return F.trim(_c(c), F.lit(K.WS_CHARS))
 
 
 def clean_text(c) -> Column:
@@ -32,20 +25,17 @@ def clean_text(c) -> Column:
     return F.lower(strip_ws(c))
 
 
-def extract_pattern(marker: str = K.PROMPT_MARKER) -> str:
-    return "(?s)" + regex_literal(marker) + "(.*)"
-
-
 def extract_message(c, marker: str = K.PROMPT_MARKER) -> Column:
-    """Text after the first marker, stripped; the fallback text when absent (F1).
+    """Text after the first marker to the end, stripped; the fallback text when absent (F1).
 
-    ``regexp_extract`` returns '' both for no match and for an empty match,
-    so the match itself is tested with ``rlike``.
+    A substring search (``instr``, code-point positions) instead of a regex
+    over the whole text.
     """
     col = _c(c)
-    pat = extract_pattern(marker)
+    pos = F.instr(col, marker)
+    after = col.substr(pos + F.lit(len(marker)), F.length(col))
     return (F.when(col.isNull(), F.lit(None).cast("string"))
-            .when(col.rlike(pat), strip_ws(F.regexp_extract(col, pat, 1)))
+            .when(pos > 0, strip_ws(after))
             .otherwise(F.lit(K.EXTRACT_FALLBACK)))
 
 

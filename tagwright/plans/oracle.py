@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from tagwright import constants as K
 from tagwright.functions.labels import BRACKET_PATTERN, STRICT_PATTERN
-from tagwright.functions.text import STRIP_PATTERN, extract_pattern
 from tagwright.plans.fixtures import RESPONSE_CONTENT
 
 
@@ -21,13 +20,13 @@ def U(tag: str, key: str = "doc_id") -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {lit(STRIP_PATTERN)}, '', 'g')"
+    return f"trim({x}, {lit(K.WS_CHARS)})"
 
 
 def extract_message(x: str) -> str:
-    p = lit(extract_pattern())
-    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN regexp_matches({x}, {p}) "
-            f"THEN {strip(f'regexp_extract({x}, {p}, 1)')} ELSE {lit(K.EXTRACT_FALLBACK)} END)")
+    m = lit(K.PROMPT_MARKER)
+    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN instr({x}, {m}) > 0 "
+            f"THEN {strip(f'substring({x}, instr({x}, {m}) + {len(K.PROMPT_MARKER)})')} ELSE {lit(K.EXTRACT_FALLBACK)} END)")
 
 
 def to_int(x: str) -> str:
