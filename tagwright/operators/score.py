@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tagwright import constants as K
+from tagwright.functions.text import strip_ws
 from tagwright.functions.vectors import prob_at
 
 Scorer = Callable[[list], list]
@@ -39,7 +40,7 @@ def _run_batch(fn: Scorer, texts: list, per_row_retry: bool) -> list:
 
 def batch_score(df: DataFrame, fn: Scorer, text_col: str = "prompt", key: str = "custom_id",
                 batch_size: int = K.LLM_BATCH, on_error: str = "batch", batch_col: str | None = None,
-                out_col: str = "model_output") -> DataFrame:
+                out_col: str = "model_output", strip_output: bool = True) -> DataFrame:
     """Score ``text_col`` with ``fn`` in batches (U1); the key passes through.
 
     on_error='batch': a batch that raises yields ``[ERROR]`` for all its rows
@@ -48,7 +49,8 @@ def batch_score(df: DataFrame, fn: Scorer, text_col: str = "prompt", key: str =
     sorted, so every batch is whole inside one task whatever the Arrow
     boundaries are. on_error='row': the failing batch is retried row by row.
     Adds ``chunk_id``/``chunk_seconds`` (scoring time of the row's batch) for
-    throughput reports.
+    throughput reports. Outputs are stripped of surrounding whitespace
+    (JVM-side) unless ``strip_output=False``.
     """
     per_row = on_error == "row"
     out_schema = T.StructType([
@@ -74,7 +76,7 @@ def batch_score(df: DataFrame, fn: Scorer, text_col: str = "prompt", key: str =
                     seq += 1
                 yield pd.DataFrame({key: pdf[key].values, out_col: outs, "chunk_id": ids, "chunk_seconds": secs})
 
-        return df.select(key, text_col).mapInPandas(run, out_schema)
+        return _strip(df.select(key, text_col).mapInPandas(run, out_schema), out_col, strip_output)
 
     def run_grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pending = None
@@ -99,11 +101,15 @@ def batch_score(df: DataFrame, fn: Scorer, text_col: str = "prompt", key: str =
         if pending is not None and len(pending):
             yield flush(pending)
 
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    # every batch lands whole in one partition; AQE may coalesce partitions, which keeps batches whole
     ordered = (df.select(key, text_col, batch_col)
-               .repartition(int(parts), batch_col)
+               .repartition(batch_col)
                .sortWithinPartitions(batch_col, key))
-    return ordered.mapInPandas(run_grouped, out_schema)
+    return _strip(ordered.mapInPandas(run_grouped, out_schema), out_col, strip_output)
+
+
+def _strip(df: DataFrame, out_col: str, on: bool) -> DataFrame:
+    return df.withColumn(out_col, strip_ws(out_col)) if on else df
 
 
 def throughput(scored: DataFrame) -> DataFrame:
