@@ -50,10 +50,18 @@ def confusion(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
 
 
+def in_domain(df: DataFrame, *cols: str, n: int = K.NUM_CLASSES) -> DataFrame:
+    """Rows whose label columns are class ids 0..n-1: an aggregate over them has a proven size bound."""
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).between(0, n - 1)
+    return df.where(cond)
+
+
 def confusion_matrix(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
     """Confusion counts over the full K x K grid, zeros included."""
     spark = df.sparkSession
-    c = confusion(df, true, pred)
+    c = in_domain(confusion(df, true, pred), T, P)  # <= K*K rows
     return (cell_spine(spark).join(F.broadcast(c), [T, P], "left")
             .select(T, P, F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
@@ -61,7 +69,7 @@ def confusion_matrix(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
 def confusion_pivot(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
     """The K x K matrix: one row per true label, one column per predicted label."""
     spark = df.sparkSession
-    wide = confusion(df, true, pred).groupBy(T).pivot(P, list(range(K.NUM_CLASSES))).agg(F.sum("n"))
+    wide = in_domain(confusion(df, true, pred), T, P).groupBy(T).pivot(P, list(range(K.NUM_CLASSES))).agg(F.sum("n"))
     cols = [F.coalesce(F.col(str(j)), F.lit(0)).cast("bigint").alias(f"pred_{j}") for j in range(K.NUM_CLASSES)]
     return class_spine(spark, name=T).join(F.broadcast(wide), T, "left").select(T, *cols)
 
@@ -79,6 +87,7 @@ def per_class(conf: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("x.k") == 0, F.col("x.n")).otherwise(0)).alias("support"),
         F.sum(F.when(F.col("x.k") == 1, F.col("x.n")).otherwise(0)).alias("predicted"),
         F.sum(F.when(F.col("x.k") == 2, F.col("x.n")).otherwise(0)).alias("tp"))
+    agg = in_domain(agg, "label")  # <= K rows
     return (class_spine(spark).join(F.broadcast(agg), "label", "left")
             .select("label", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("tp", "support", "predicted")]))
 

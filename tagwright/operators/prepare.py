@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tagwright import constants as K
+from tagwright.session import ensure_checkpoint_dir
 from tagwright.functions.text import compose_message, extract_message
 
 
@@ -38,6 +39,7 @@ def assign_row_id(df: DataFrame, order_cols, name: str = "row_idx", checkpoint:
     """
     s = df.orderBy(*order_cols)
     if checkpoint:
+        ensure_checkpoint_dir(df.sparkSession)
         s = s.checkpoint(eager=True)
     s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

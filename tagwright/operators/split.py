@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagwright import constants as K
+from tagwright.session import ensure_checkpoint_dir
 
 BROADCAST_ROWS = 1_000_000
 
@@ -72,6 +73,7 @@ class HashRanks:
         self.label = label
         self.rows = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
         sizes = self.rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+        ensure_checkpoint_dir(df.sparkSession)
         self.sizes = sizes.checkpoint(eager=True)
         self.n_sizes = self.sizes.count()
 

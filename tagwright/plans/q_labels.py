@@ -29,6 +29,7 @@ def class_spine(spark: SparkSession, n: int = K.NUM_CLASSES) -> DataFrame:
 def purge_class_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Rows per class 0..3 after purge; classes outside 0..3 stay in the data but are not counted."""
     counts = L.purge_unlabeled(merged(spark, sf)).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.where(F.col("class").between(0, K.NUM_CLASSES - 1))  # <= K rows, safe to broadcast
     return (class_spine(spark).join(F.broadcast(counts), "class", "left")
             .select("class", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 

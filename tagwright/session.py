@@ -15,6 +15,11 @@ from pyspark.sql import SparkSession
 
 def get_spark(master: str | None = None, app: str = "tagwright",
               shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
+    """The active session untouched (cluster settings win), else a new local session with our defaults."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ensure_checkpoint_dir(active)
+        return active
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
         SparkSession.builder.master(master or f"local[{cpus}]")
