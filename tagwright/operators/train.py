@@ -23,7 +23,7 @@ from tagwright.operators import balance as B, metrics as M
 
 
 def text_classifier(text_col: str = "message", label_col: str = "class", weight_col: str | None = "weight",
-                    reg_param: float = 1.0, num_features: int = 1 << 18, max_iter: int = 30,
+                    reg_param: float = 1.0, num_features: int = 1 << 16, max_iter: int = 30,
                     algorithm: str = "naive_bayes") -> Pipeline:
     """``reg_param`` is the additive smoothing for Naive Bayes, the L2 penalty for logistic regression."""
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+", toLowercase=True)

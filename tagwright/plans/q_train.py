@@ -9,18 +9,19 @@ from tagwright.plans.q_split import split_df
 from tagwright.plans.registry import register
 
 
-def _part(spark, sf, name):
-    return split_df(spark, sf).where(F.col("split") == name).select("custom_id", "message", "class")
+def _split(spark, sf):
+    return split_df(spark, sf).select("custom_id", "message", "class", "split").persist()  # one split, several parts
 
 
 @register("train_text_classifier")
 def q_train_text_classifier(spark, sf):
-    model = TR.train_text_classifier(_part(spark, sf, "train"))
-    return TR.score_classifier(model, _part(spark, sf, "test"))
+    s = _split(spark, sf)
+    model = TR.train_text_classifier(s.where(F.col("split") == "train").drop("split"))
+    return TR.score_classifier(model, s.where(F.col("split") == "test").drop("split"))
 
 
 @register("select_best_model")
 def q_select_best_model(spark, sf):
-    s = split_df(spark, sf).select("custom_id", "message", "class", "split").persist()  # one split, two parts
+    s = _split(spark, sf)
     return TR.select_best_model(s.where(F.col("split") == "train").drop("split"),
                                 s.where(F.col("split") == "validation").drop("split"))

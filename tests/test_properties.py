@@ -144,3 +144,23 @@ def test_balanced_resample_exact_n(spark):
     per = {x["class"]: x["s"] for x in r.groupBy("class").agg(F.sum("draws").alias("s")).collect()}
     assert all(250 < v < 420 for v in per.values())  # class-uniform
     assert B.explode_draws(r).count() == 1000
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_merge_independent_of_partitions(spark, parts):
+    from tagwright.operators import labels as L
+    from tagwright.plans import q_labels as QL
+    raw = fx.responses(spark, SF01).repartition(parts)
+    got = L.merge_labels(QL.unlabeled(spark, SF01).repartition(parts), L.last_valid_per_key(L.parse_responses(raw)))
+    ref = QL.merged(spark, SF01)
+    assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
+
+
+def test_batch_score_independent_of_partitions(spark):
+    t = fx.truth(spark, SF01).select("custom_id", "doc_id", F.col("message").alias("prompt"))
+    outs = []
+    for parts in (1, 7):
+        p = P.assign_batches(P.assign_row_id(t.repartition(parts), ["doc_id"]), K.LLM_BATCH)
+        outs.append(SC.batch_score(p, SC.length_stub_scorer, batch_col="batch_id").select("custom_id", "model_output"))
+    assert outs[0].exceptAll(outs[1]).count() == 0 and outs[0].count() == t.count()
+    assert outs[0].where(F.col("model_output") == K.ERROR_OUTPUT).count() % K.LLM_BATCH == 0
