@@ -164,3 +164,18 @@ def test_batch_score_independent_of_partitions(spark):
         outs.append(SC.batch_score(p, SC.length_stub_scorer, batch_col="batch_id").select("custom_id", "model_output"))
     assert outs[0].exceptAll(outs[1]).count() == 0 and outs[0].count() == t.count()
     assert outs[0].where(F.col("model_output") == K.ERROR_OUTPUT).count() % K.LLM_BATCH == 0
+
+
+def test_ensure_custom_id(spark):
+    df = spark.createDataFrame([("b", 2), ("a", 1), ("c", 3)], "comment string, k int")
+    got = {r.comment: r.custom_id for r in P.ensure_custom_id(df, ["k"]).collect()}
+    assert got == {"a": "row-0", "b": "row-1", "c": "row-2"}
+    keep = spark.createDataFrame([("x", "id-9")], "comment string, custom_id string")
+    assert P.ensure_custom_id(keep, ["comment"]).first().custom_id == "id-9"
+
+
+def test_published_valid_rate(spark):
+    # 6,285 valid predictions of 14,849 test rows -> 42.33 %
+    df = spark.range(14849).select((F.when(F.col("id") < 6285, 1).otherwise(-1)).alias("predicted_label"))
+    r = M.valid_rate(df).select("valid", TX.percent_format(F.col("valid_pct")).alias("p")).first()
+    assert r.valid == 6285 and r.p == "42.33%"
