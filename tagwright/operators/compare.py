@@ -107,17 +107,14 @@ def improvement_vs_baseline(baseline: DataFrame, tuned: DataFrame) -> DataFrame:
 
 
 def report_metrics(report: DataFrame) -> DataFrame:
-    """Long report -> ``(metric, value)``: accuracy, macro and weighted precision/recall/F1."""
-    acc = report.where(F.col("row_kind") == "accuracy").select(F.lit("accuracy").alias("metric"), F.col("f1").alias("value"))
-    parts = [acc]
-    for kind, tag in (("macro avg", "macro"), ("weighted avg", "weighted")):
-        r = report.where(F.col("row_kind") == kind)
-        for m in ("precision", "recall", "f1"):
-            parts.append(r.select(F.lit(f"{tag}_{m}").alias("metric"), F.col(m).alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Long report -> ``(metric, value)``: accuracy, macro and weighted precision/recall/F1 (one pass)."""
+    kind = F.col("row_kind")
+    tag = F.when(kind == "macro avg", F.lit("macro")).otherwise(F.lit("weighted"))
+    entry = lambda name, v: F.struct(name.alias("metric"), F.col(v).alias("value"))
+    entries = F.when(kind == "accuracy", F.array(entry(F.lit("accuracy"), "f1"))).otherwise(F.array(
+        *[entry(F.concat(tag, F.lit(f"_{m}")), m) for m in ("precision", "recall", "f1")]))
+    return (report.where(kind.isin("accuracy", "macro avg", "weighted avg"))
+            .select(F.explode(entries).alias("e")).select("e.metric", "e.value"))
 
 
 def model_stage_pivot(long_df: DataFrame, stages=("before", "after")) -> DataFrame:

@@ -44,9 +44,12 @@ def valid_predictions(df: DataFrame, pred: str = P) -> DataFrame:
     return df.where(F.col(pred) != K.UNLABELED)
 
 
-def confusion(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
-    """Long confusion counts ``(true_label, predicted_label, n)`` over observed cells."""
-    return df.groupBy(F.col(true).cast("int").alias(T), F.col(pred).cast("int").alias(P)) \
+def confusion(df: DataFrame, true: str = T, pred: str = P, by=()) -> DataFrame:
+    """Long confusion counts ``(*by, true_label, predicted_label, n)`` over observed cells.
+
+    ``by`` evaluates several slices or models in the same pass (one aggregate).
+    """
+    return df.groupBy(*by, F.col(true).cast("int").alias(T), F.col(pred).cast("int").alias(P)) \
         .agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -74,22 +77,29 @@ def confusion_pivot(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
     return class_spine(spark, name=T).join(F.broadcast(wide), T, "left").select(T, *cols)
 
 
-def per_class(conf: DataFrame) -> DataFrame:
-    """(label, tp, support, predicted) from confusion counts, on the fixed class spine."""
+def per_class(conf: DataFrame, by=()) -> DataFrame:
+    """(*by, label, tp, support, predicted) from confusion counts, on the fixed class spine."""
     spark = conf.sparkSession
+    by = list(by)
     parts = F.explode(F.array(
         F.struct(F.col(T).alias("label"), F.lit(0).alias("k"), F.col("n").alias("n")),
         F.struct(F.col(P).alias("label"), F.lit(1).alias("k"), F.col("n").alias("n")),
         F.struct(F.col(T).alias("label"), F.lit(2).alias("k"),
                  F.when(F.col(T) == F.col(P), F.col("n")).otherwise(F.lit(0)).alias("n")),
     )).alias("x")
-    agg = conf.select(parts).groupBy(F.col("x.label").alias("label")).agg(
+    agg = conf.select(*by, parts).groupBy(*by, F.col("x.label").alias("label")).agg(
         F.sum(F.when(F.col("x.k") == 0, F.col("x.n")).otherwise(0)).alias("support"),
         F.sum(F.when(F.col("x.k") == 1, F.col("x.n")).otherwise(0)).alias("predicted"),
         F.sum(F.when(F.col("x.k") == 2, F.col("x.n")).otherwise(0)).alias("tp"))
-    agg = in_domain(agg, "label")  # <= K rows
-    return (class_spine(spark).join(F.broadcast(agg), "label", "left")
-            .select("label", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("tp", "support", "predicted")]))
+    agg = in_domain(agg, "label")  # <= K rows per group
+    if by:
+        # every group gets all K labels: distinct groups x sequence(0, K-1), no product
+        spine = conf.select(*by).distinct().select(
+            *by, F.explode(F.sequence(F.lit(0), F.lit(K.NUM_CLASSES - 1))).alias("label"))
+        j = spine.join(agg, by + ["label"], "left")
+    else:
+        j = class_spine(spark).join(F.broadcast(agg), "label", "left")
+    return j.select(*by, "label", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("tp", "support", "predicted")])
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -104,19 +114,20 @@ def _prf(pc: DataFrame) -> DataFrame:
             .withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))))
 
 
-def classification_report(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
+def classification_report(df: DataFrame, true: str = T, pred: str = P, by=()) -> DataFrame:
     """Per-class precision/recall/F1/support, accuracy, macro avg, weighted avg.
 
-    Long table ``(row_kind, label, precision, recall, f1, support)``; the
+    Long table ``(*by, row_kind, label, precision, recall, f1, support)``; the
     accuracy row carries accuracy in ``f1`` like the printed report.
     """
-    prf = _prf(per_class(confusion(df, true, pred))).cache()
+    by = list(by)
+    prf = _prf(per_class(confusion(df, true, pred, by), by)).cache()  # <= K rows per group, used four times
     r6 = lambda c: F.round(c, 6)
-    classes = prf.select(F.lit("class").alias("row_kind"), F.col("label").cast("int").alias("label"),
+    classes = prf.select(*by, F.lit("class").alias("row_kind"), F.col("label").cast("int").alias("label"),
                          r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"),
                          r6(F.col("f1")).alias("f1"), F.col("support"))
     tot = F.sum("support")
-    summary = prf.agg(
+    summary = prf.groupBy(*by).agg(
         tot.alias("n"), F.sum("tp").alias("tp"),
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
         (F.sum(F.col("precision") * F.col("support")) / tot).alias("wp"),
@@ -124,34 +135,36 @@ def classification_report(df: DataFrame, true: str = T, pred: str = P) -> DataFr
         (F.sum(F.col("f1") * F.col("support")) / tot).alias("wf"))
     null = F.lit(None).cast("double")
     nolabel = F.lit(None).cast("int")
-    acc = summary.select(F.lit("accuracy").alias("row_kind"), nolabel.alias("label"), null.alias("precision"),
+    acc = summary.select(*by, F.lit("accuracy").alias("row_kind"), nolabel.alias("label"), null.alias("precision"),
                          null.alias("recall"), r6(_ratio(F.col("tp"), F.col("n"))).alias("f1"),
                          F.col("n").alias("support"))
-    macro = summary.select(F.lit("macro avg").alias("row_kind"), nolabel.alias("label"), r6(F.col("mp")).alias("precision"),
-                           r6(F.col("mr")).alias("recall"), r6(F.col("mf")).alias("f1"), F.col("n").alias("support"))
-    weighted = summary.select(F.lit("weighted avg").alias("row_kind"), nolabel.alias("label"),
+    macro = summary.select(*by, F.lit("macro avg").alias("row_kind"), nolabel.alias("label"),
+                           r6(F.col("mp")).alias("precision"), r6(F.col("mr")).alias("recall"), r6(F.col("mf")).alias("f1"),
+                           F.col("n").alias("support"))
+    weighted = summary.select(*by, F.lit("weighted avg").alias("row_kind"), nolabel.alias("label"),
                               r6(F.col("wp")).alias("precision"), r6(F.col("wr")).alias("recall"),
                               r6(F.col("wf")).alias("f1"), F.col("n").alias("support"))
     return classes.unionByName(acc).unionByName(macro).unionByName(weighted)
 
 
-def weighted_prf(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
-    """Accuracy and support-weighted precision/recall/F1 in one row."""
-    prf = _prf(per_class(confusion(df, true, pred)))
+def weighted_prf(df: DataFrame, true: str = T, pred: str = P, by=()) -> DataFrame:
+    """Accuracy and support-weighted precision/recall/F1, one row per group."""
+    by = list(by)
+    prf = _prf(per_class(confusion(df, true, pred, by), by))
     tot = F.sum("support")
-    return prf.agg(
+    return prf.groupBy(*by).agg(
         F.round(_ratio(F.sum("tp"), tot), 6).alias("accuracy"),
         F.round(F.sum(F.col("precision") * F.col("support")) / tot, 6).alias("precision"),
         F.round(F.sum(F.col("recall") * F.col("support")) / tot, 6).alias("recall"),
         F.round(F.sum(F.col("f1") * F.col("support")) / tot, 6).alias("f1"))
 
 
-def accuracy(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
-    """``sum(correct) / n`` in one row (A5)."""
+def accuracy(df: DataFrame, true: str = T, pred: str = P, by=()) -> DataFrame:
+    """``sum(correct) / n``, one row per group (A5)."""
     correct = F.sum((F.col(true) == F.col(pred)).cast("int"))
     n = F.count(F.lit(1))
-    return df.agg(n.alias("n"), correct.cast("bigint").alias("correct"),
-                  _ratio(correct, n).alias("accuracy"))
+    return df.groupBy(*by).agg(n.alias("n"), correct.cast("bigint").alias("correct"),
+                               _ratio(correct, n).alias("accuracy"))
 
 
 def class_accuracy(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:

@@ -86,15 +86,17 @@ def select_best_model(train: DataFrame, validation: DataFrame, reg_params=(0.1,
         .select(key, "_features", "_label").persist(StorageLevel.MEMORY_AND_DISK)
     learner = stages[-1]
     param = learner.smoothing if algorithm == "naive_bayes" else learner.regParam
-    rows = None
+    scored = None
     for i, rp in enumerate(reg_params):
         model = learner.copy({param: float(rp)}).fit(tr_f)
         p = vector_to_array(F.col("_prob"))
-        scored = model.transform(va_f).select(F.col("_label").cast("int").alias("true_label"),
-                                              argmax(p).alias("predicted_label"))
-        m = M.weighted_prf(scored).select(F.lit(i).alias("candidate"), F.lit(float(rp)).alias("reg_param"),
-                                          F.col("accuracy").alias("val_accuracy"), F.col("f1").alias("val_f1"))
-        rows = m if rows is None else rows.unionByName(m)
+        part = model.transform(va_f).select(F.lit(i).alias("candidate"), F.lit(float(rp)).alias("reg_param"),
+                                            F.col("_label").cast("int").alias("true_label"),
+                                            argmax(p).alias("predicted_label"))
+        scored = part if scored is None else scored.unionByName(part)
+    # all candidates evaluated in one aggregate, grouped by candidate
+    rows = M.weighted_prf(scored, by=["candidate", "reg_param"]).select(
+        "candidate", "reg_param", F.col("accuracy").alias("val_accuracy"), F.col("f1").alias("val_f1"))
     rows = rows.cache()
     best = rows.agg(F.max_by("candidate", F.struct(F.col("val_f1"), -F.col("candidate"))).alias("_best"))
     out = rows.join(best.withColumn("_j", F.lit(1)), F.lit(1) == F.col("_j")).select(
