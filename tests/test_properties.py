@@ -179,3 +179,13 @@ def test_published_valid_rate(spark):
     df = spark.range(14849).select((F.when(F.col("id") < 6285, 1).otherwise(-1)).alias("predicted_label"))
     r = M.valid_rate(df).select("valid", TX.percent_format(F.col("valid_pct")).alias("p")).first()
     assert r.valid == 6285 and r.p == "42.33%"
+
+
+def test_grouped_report_equals_per_group(spark):
+    p = fx.preds(spark, SF01).join(spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "lang"), "doc_id") \
+        .select("lang", "true_label", F.col("tuned_pred").alias("predicted_label"))
+    grouped = M.classification_report(p, by=["lang"])
+    for lang in [r.lang for r in p.select("lang").distinct().collect()]:
+        one = M.classification_report(p.where(F.col("lang") == lang))
+        g = grouped.where(F.col("lang") == lang).drop("lang")
+        assert g.exceptAll(one).count() == 0 and one.exceptAll(g).count() == 0
