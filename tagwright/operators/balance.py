@@ -40,14 +40,14 @@ def balanced_resample(df: DataFrame, key: str = "custom_id", label: str = "class
     spark = df.sparkSession
     hr = HashRanks(df.select(key, label), key_hash(key, seed, "resample"), label)
     counts = hr.class_counts().withColumnRenamed("n", "n_c")
-    allw = Window.partitionBy()  # one row per class
-    classes = counts.select(label, "n_c", (F.row_number().over(Window.orderBy(label)) - 1).alias("_ci"),
-                            F.count(F.lit(1)).over(allw).alias("_k"), F.sum("n_c").over(allw).alias("_n"))
-    n = n_draws if n_draws is not None else classes.select(F.max("_n")).first()[0] or 0
+    classes = counts.select(label, "n_c", (F.row_number().over(Window.orderBy(label)) - 1).alias("_ci"))
+    totals = counts.agg(F.count(F.lit(1)).alias("k"), F.sum("n_c").alias("n")).first()  # two scalars
+    k = int(totals.k)
+    n = n_draws if n_draws is not None else int(totals.n or 0)
     draws = spark.range(n).select(
-        hash_unit(key_hash("id", seed, "r1")).alias("_u1"), hash_unit(key_hash("id", seed, "r2")).alias("_u2"))
-    cls = hr.small(classes)  # one row per class
-    picked = draws.join(cls, F.floor(draws["_u1"] * cls["_k"]) == cls["_ci"])
+        F.floor(hash_unit(key_hash("id", seed, "r1")) * F.lit(k)).cast("int").alias("_ci"),
+        hash_unit(key_hash("id", seed, "r2")).alias("_u2"))
+    picked = draws.join(hr.small(classes), "_ci")  # equi-join on the class index; one row per class
     per_cell = picked.groupBy(label, F.floor(F.col("_u2") * F.col("n_c")).cast("bigint").alias("_rank")) \
         .agg(F.count(F.lit(1)).alias("draws"))
     ranked = hr.ranked(key, "_rank")
