@@ -78,6 +78,21 @@ def batch_score(df: DataFrame, fn: Scorer, text_col: str = "prompt", key: str =
 
         return _strip(df.select(key, text_col).mapInPandas(run, out_schema), out_col, strip_output)
 
+    run_grouped = _grouped_runner(fn, text_col, key, batch_col, out_col, per_row)
+
+    # every batch lands whole in one partition; AQE may coalesce partitions, which keeps batches whole
+    ordered = (df.select(key, text_col, batch_col)
+               .repartition(batch_col)
+               .sortWithinPartitions(batch_col, key))
+    return _strip(ordered.mapInPandas(run_grouped, out_schema), out_col, strip_output)
+
+
+def _grouped_runner(fn: Scorer, text_col: str, key: str, batch_col: str, out_col: str, per_row: bool):
+    """mapInPandas body: rows arrive ordered by batch id; each batch is scored whole.
+
+    A batch cut by an Arrow batch boundary is carried over to the next Arrow
+    batch of the same partition.
+    """
     def run_grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pending = None
 
@@ -101,17 +116,57 @@ def batch_score(df: DataFrame, fn: Scorer, text_col: str = "prompt", key: str =
         if pending is not None and len(pending):
             yield flush(pending)
 
-    # every batch lands whole in one partition; AQE may coalesce partitions, which keeps batches whole
-    ordered = (df.select(key, text_col, batch_col)
-               .repartition(batch_col)
-               .sortWithinPartitions(batch_col, key))
-    return _strip(ordered.mapInPandas(run_grouped, out_schema), out_col, strip_output)
+    return run_grouped
 
 
 def _strip(df: DataFrame, out_col: str, on: bool) -> DataFrame:
     return df.withColumn(out_col, strip_ws(out_col)) if on else df
 
 
+def batch_score_ordered(df: DataFrame, fn: Scorer, order_cols, text_col: str = "prompt", key: str = "custom_id",
+                        batch_size: int = K.LLM_BATCH, on_error: str = "batch", out_col: str = "model_output",
+                        strip_output: bool = True) -> DataFrame:
+    """Score consecutive fixed-size batches in ``order_cols`` order (U1), shuffling only boundary batches.
+
+    The rows are range-sorted and checkpointed (as for the dense index). A
+    batch lies inside one partition except at most one batch per partition
+    boundary: those (<= P-1 batches) are shuffled together by batch id; all
+    other rows are scored where they are, in order, without any exchange.
+    Output equals ``batch_score`` on ``assign_batches(assign_row_id(...))``.
+    """
+    from pyspark.sql import Window
+
+    from tagwright.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    per_row = on_error == "row"
+    ensure_checkpoint_dir(spark)
+    s = df.select(key, text_col, *[c for c in order_cols if c not in (key, text_col)]).orderBy(*order_cols) \
+        .checkpoint(eager=True)
+    s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off")).cache()  # P rows
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
+    rows = (s.join(F.broadcast(offsets), "_pid")
+            .withColumn("_idx", F.col("_off") + local)
+            .withColumn("batch_id", F.floor(F.col("_idx") / F.lit(batch_size)).cast("bigint")))
+    # batches cut by a partition boundary: the batch of each partition's first row when it does not start a batch
+    cut = (offsets.where((F.col("_off") > 0) & (F.col("_off") % batch_size != 0))
+           .select(F.floor(F.col("_off") / F.lit(batch_size)).cast("bigint").alias("batch_id")).distinct())
+    cut = F.broadcast(cut)  # at most P-1 rows
+    runner = _grouped_runner(fn, text_col, key, "batch_id", out_col, per_row)
+    out_schema = T.StructType([
+        T.StructField(key, df.schema[key].dataType), T.StructField(out_col, T.StringType()),
+        T.StructField("chunk_id", T.StringType()), T.StructField("chunk_seconds", T.DoubleType())])
+    cols = [key, text_col, "batch_id"]
+    inner = rows.join(cut, "batch_id", "left_anti").select(*cols).mapInPandas(runner, out_schema)
+    edge = (rows.join(cut, "batch_id", "left_semi").select(*cols, "_idx")
+            .repartition("batch_id").sortWithinPartitions("batch_id", "_idx").select(*cols)
+            .mapInPandas(runner, out_schema))
+    return _strip(inner.unionByName(edge), out_col, strip_output)
+
+
 def throughput(scored: DataFrame) -> DataFrame:
     """Rows, scoring seconds and rows per second from ``batch_score`` output."""
     per_chunk = scored.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("rows"), F.max("chunk_seconds").alias("sec"))

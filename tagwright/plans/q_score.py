@@ -22,8 +22,7 @@ STUB = "'[' || CAST(length(prompt) % 4 AS VARCHAR) || ']'"
 
 
 def scored_batches(spark, sf):
-    p = P.assign_batches(P.assign_row_id(prompts(spark, sf), ["doc_id"]), K.LLM_BATCH)
-    return SC.batch_score(p, SC.length_stub_scorer, batch_col="batch_id", on_error="batch")
+    return SC.batch_score_ordered(prompts(spark, sf), SC.length_stub_scorer, ["doc_id"], batch_size=K.LLM_BATCH)
 
 
 @register("batch_score", f"""

@@ -95,9 +95,8 @@ def run_model_evaluation(test: DataFrame, scorer: SC.Scorer, out_dir: str,
                          on_error: str = "batch") -> dict[str, DataFrame]:
     """Test rows ``(custom_id, message, class)`` -> prompts -> batched scorer -> lenient parse -> evaluation."""
     t = test.select("custom_id", "message", F.col("class").cast("int").alias("true_label"))
-    p = P.assign_batches(P.assign_row_id(t.withColumn("prompt", prompt_infer("message", system_message)),
-                                         ["custom_id"]), batch_size)
-    out = SC.batch_score(p, scorer, batch_col="batch_id", on_error=on_error)
+    p = t.withColumn("prompt", prompt_infer("message", system_message))
+    out = SC.batch_score_ordered(p, scorer, ["custom_id"], batch_size=batch_size, on_error=on_error)
     results = t.join(out.select("custom_id", "model_output"), "custom_id").withColumn(
         "predicted_label", parse_label_lenient("model_output"))
     tables = evaluate_predictions(results.select("custom_id", "message", "true_label", "predicted_label",

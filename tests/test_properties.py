@@ -189,3 +189,24 @@ def test_grouped_report_equals_per_group(spark):
         one = M.classification_report(p.where(F.col("lang") == lang))
         g = grouped.where(F.col("lang") == lang).drop("lang")
         assert g.exceptAll(one).count() == 0 and one.exceptAll(g).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_batch_score_ordered_equals_shuffled(spark, parts):
+    t = fx.truth(spark, SF01).select("custom_id", "doc_id", F.col("message").alias("prompt")).repartition(parts)
+    ref = SC.batch_score(P.assign_batches(P.assign_row_id(t, ["doc_id"]), K.LLM_BATCH), SC.length_stub_scorer,
+                         batch_col="batch_id").select("custom_id", "model_output").collect()
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keep 8 range partitions: boundaries
+    try:
+        s = t.orderBy("doc_id").checkpoint()
+        sizes = [r.n for r in s.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+                 .orderBy("p").collect()]
+        offs = [sum(sizes[:i]) for i in range(len(sizes))]
+        assert any(o % K.LLM_BATCH for o in offs)  # some batches straddle partitions: the boundary path runs
+        got = SC.batch_score_ordered(t, SC.length_stub_scorer, ["doc_id"]).select("custom_id", "model_output").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len(got) == t.count()
+    assert sorted(got) == sorted(ref)
+
