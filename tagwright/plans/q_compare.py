@@ -8,7 +8,7 @@ from tagwright import constants as K
 from tagwright.functions import vectors as V
 from tagwright.operators import balance as B, compare as C, history as H, metrics as M, prepare as P
 from tagwright.plans import fixtures as fx, oracle as O
-from tagwright.plans.q_metrics import BASE, SCORED, VALID, base_scored, conf_sql, name_sql, ratio, report_sql, scored
+from tagwright.plans.q_metrics import SCORED, VALID, base_scored, conf_sql, name_sql, ratio, report_sql, scored
 from tagwright.plans.q_split import SPLIT, split_df
 from tagwright.plans.registry import register
 from tagwright.sources.tables import load

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagwright import constants as K, schemas
-from tagwright.operators import labels as L, metrics as M, prepare as P
+from tagwright.operators import metrics as M, prepare as P
 from tagwright.plans import fixtures as fx, oracle as O
 from tagwright.plans.q_labels import merged
 from tagwright.plans.q_metrics import SCORED, report_sql, scored

@@ -1,7 +1,6 @@
 """Golden semantics of the scalar functions (parsers, message recovery, strip)."""
 
 import pytest
-from pyspark.sql import functions as F, types as T
 
 from tagwright import constants as K
 from tagwright.functions import labels as FL, text as FT, vectors as V
