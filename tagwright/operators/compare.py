@@ -69,7 +69,7 @@ def prediction_changes(comparison: DataFrame) -> DataFrame:
                                                    (F.col("id") + 2).cast("int")).alias("change"))
     j = spine.join(F.broadcast(counts), "improvement", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
     total = F.max("_total").over(Window.partitionBy())  # three rows
-    return j.select("improvement", "change", "n", M._ratio(F.col("n") * 100, total).alias("pct"))
+    return j.select("improvement", "change", "n", M.safe_ratio(F.col("n") * 100, total).alias("pct"))
 
 
 def join_class_reports(orig_report: DataFrame, tuned_report: DataFrame) -> DataFrame:

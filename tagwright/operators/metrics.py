@@ -102,16 +102,16 @@ def per_class(conf: DataFrame, by=()) -> DataFrame:
     return j.select(*by, "label", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("tp", "support", "predicted")])
 
 
-def _ratio(a: Column, b: Column) -> Column:
+def safe_ratio(a: Column, b: Column) -> Column:
     """a / b as double, 0 when b is 0 (sklearn's zero_division behaviour)."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
 def _prf(pc: DataFrame) -> DataFrame:
-    p = _ratio(F.col("tp"), F.col("predicted"))
-    r = _ratio(F.col("tp"), F.col("support"))
+    p = safe_ratio(F.col("tp"), F.col("predicted"))
+    r = safe_ratio(F.col("tp"), F.col("support"))
     return (pc.withColumn("precision", p).withColumn("recall", r)
-            .withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))))
+            .withColumn("f1", safe_ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))))
 
 
 def classification_report(df: DataFrame, true: str = T, pred: str = P, by=()) -> DataFrame:
@@ -136,7 +136,7 @@ def classification_report(df: DataFrame, true: str = T, pred: str = P, by=()) ->
     null = F.lit(None).cast("double")
     nolabel = F.lit(None).cast("int")
     acc = summary.select(*by, F.lit("accuracy").alias("row_kind"), nolabel.alias("label"), null.alias("precision"),
-                         null.alias("recall"), r6(_ratio(F.col("tp"), F.col("n"))).alias("f1"),
+                         null.alias("recall"), r6(safe_ratio(F.col("tp"), F.col("n"))).alias("f1"),
                          F.col("n").alias("support"))
     macro = summary.select(*by, F.lit("macro avg").alias("row_kind"), nolabel.alias("label"),
                            r6(F.col("mp")).alias("precision"), r6(F.col("mr")).alias("recall"), r6(F.col("mf")).alias("f1"),
@@ -153,7 +153,7 @@ def weighted_prf(df: DataFrame, true: str = T, pred: str = P, by=()) -> DataFram
     prf = _prf(per_class(confusion(df, true, pred, by), by))
     tot = F.sum("support")
     return prf.groupBy(*by).agg(
-        F.round(_ratio(F.sum("tp"), tot), 6).alias("accuracy"),
+        F.round(safe_ratio(F.sum("tp"), tot), 6).alias("accuracy"),
         F.round(F.sum(F.col("precision") * F.col("support")) / tot, 6).alias("precision"),
         F.round(F.sum(F.col("recall") * F.col("support")) / tot, 6).alias("recall"),
         F.round(F.sum(F.col("f1") * F.col("support")) / tot, 6).alias("f1"))
@@ -164,14 +164,14 @@ def accuracy(df: DataFrame, true: str = T, pred: str = P, by=()) -> DataFrame:
     correct = F.sum((F.col(true) == F.col(pred)).cast("int"))
     n = F.count(F.lit(1))
     return df.groupBy(*by).agg(n.alias("n"), correct.cast("bigint").alias("correct"),
-                               _ratio(correct, n).alias("accuracy"))
+                               safe_ratio(correct, n).alias("accuracy"))
 
 
 def class_accuracy(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
     """Accuracy inside each true class (= recall), 0 for an empty class."""
     pc = per_class(confusion(df, true, pred))
     return pc.select(F.col("label").alias(T), F.col("support").alias("samples"), F.col("tp").alias("correct"),
-                     _ratio(F.col("tp"), F.col("support")).alias("accuracy"))
+                     safe_ratio(F.col("tp"), F.col("support")).alias("accuracy"))
 
 
 def error_by_class(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
@@ -179,7 +179,7 @@ def error_by_class(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
     pc = per_class(confusion(df, true, pred))
     errors = F.col("support") - F.col("tp")
     return pc.select(F.col("label").alias(T), F.col("support").alias("samples"), errors.alias("errors"),
-                     _ratio(errors, F.col("support")).alias("error_rate"))
+                     safe_ratio(errors, F.col("support")).alias("error_rate"))
 
 
 def error_transitions(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
@@ -189,7 +189,7 @@ def error_transitions(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
     out = (wrong.withColumn("total_errors", F.sum("n").over(Window.partitionBy()))
            .select(T, P, label_name(T).alias("true_name"), label_name(P).alias("predicted_name"),
                    F.concat_ws(" -> ", label_name(T), label_name(P)).alias("transition"),
-                   F.col("n"), _ratio(F.col("n") * 100, F.col("total_errors")).alias("pct_of_errors")))
+                   F.col("n"), safe_ratio(F.col("n") * 100, F.col("total_errors")).alias("pct_of_errors")))
     return out.orderBy(F.desc("n"), T, P)
 
 
@@ -197,14 +197,14 @@ def error_summary(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
     """Total errors and their share of the set."""
     errors = F.count_if(F.col(true) != F.col(pred))
     n = F.count(F.lit(1))
-    return df.agg(n.alias("n"), errors.alias("errors"), _ratio(errors * 100, n).alias("pct_of_set"))
+    return df.agg(n.alias("n"), errors.alias("errors"), safe_ratio(errors * 100, n).alias("pct_of_set"))
 
 
 def valid_rate(df: DataFrame, pred: str = P) -> DataFrame:
     """Valid predictions and their percent of all rows."""
     valid = F.count_if(F.col(pred) != K.UNLABELED)
     n = F.count(F.lit(1))
-    return df.agg(n.alias("n"), valid.alias("valid"), _ratio(valid * 100, n).alias("valid_pct"))
+    return df.agg(n.alias("n"), valid.alias("valid"), safe_ratio(valid * 100, n).alias("valid_pct"))
 
 
 def high_confidence_mistakes(df: DataFrame, k: int = K.TOP_MISTAKES, true: str = T, pred: str = P,
@@ -222,5 +222,5 @@ def class_distribution(df: DataFrame, label: str = "class") -> DataFrame:
     counts = df.groupBy(F.col(label).cast("int").alias(label)).agg(F.count(F.lit(1)).alias("n"))
     # total over the per-class counts (one row per class): window over the tiny table
     return (counts.withColumn("total", F.sum("n").over(Window.partitionBy()))
-            .select(label, "n", _ratio(F.col("n") * 100, F.col("total")).alias("pct"))
+            .select(label, "n", safe_ratio(F.col("n") * 100, F.col("total")).alias("pct"))
             .orderBy(label))

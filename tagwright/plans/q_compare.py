@@ -103,10 +103,10 @@ def q_model_stage_pivot(spark, sf):
     model = F.concat(F.lit("classifier/"), F.col("lang"))
     before = (p.where(F.col("base_pred") != K.UNLABELED)
               .groupBy(model.alias("model"))
-              .agg(M._ratio(F.count_if(F.col("base_pred") == F.col("true_label")), F.count(F.lit(1))).alias("accuracy"))
+              .agg(M.safe_ratio(F.count_if(F.col("base_pred") == F.col("true_label")), F.count(F.lit(1))).alias("accuracy"))
               .withColumn("stage", F.lit("before")))
     after = (p.groupBy(model.alias("model"))
-             .agg(M._ratio(F.count_if(F.col("tuned_pred") == F.col("true_label")), F.count(F.lit(1))).alias("accuracy"))
+             .agg(M.safe_ratio(F.count_if(F.col("tuned_pred") == F.col("true_label")), F.count(F.lit(1))).alias("accuracy"))
              .withColumn("stage", F.lit("after")))
     return C.model_stage_pivot(before.unionByName(after))
 
