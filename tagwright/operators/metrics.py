@@ -130,9 +130,9 @@ def classification_report(df: DataFrame, true: str = T, pred: str = P, by=()) ->
     summary = prf.groupBy(*by).agg(
         tot.alias("n"), F.sum("tp").alias("tp"),
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / tot).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / tot).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / tot).alias("wf"))
+        safe_ratio(F.sum(F.col("precision") * F.col("support")), tot).alias("wp"),
+        safe_ratio(F.sum(F.col("recall") * F.col("support")), tot).alias("wr"),
+        safe_ratio(F.sum(F.col("f1") * F.col("support")), tot).alias("wf"))
     null = F.lit(None).cast("double")
     nolabel = F.lit(None).cast("int")
     acc = summary.select(*by, F.lit("accuracy").alias("row_kind"), nolabel.alias("label"), null.alias("precision"),
@@ -154,9 +154,9 @@ def weighted_prf(df: DataFrame, true: str = T, pred: str = P, by=()) -> DataFram
     tot = F.sum("support")
     return prf.groupBy(*by).agg(
         F.round(safe_ratio(F.sum("tp"), tot), 6).alias("accuracy"),
-        F.round(F.sum(F.col("precision") * F.col("support")) / tot, 6).alias("precision"),
-        F.round(F.sum(F.col("recall") * F.col("support")) / tot, 6).alias("recall"),
-        F.round(F.sum(F.col("f1") * F.col("support")) / tot, 6).alias("f1"))
+        F.round(safe_ratio(F.sum(F.col("precision") * F.col("support")), tot), 6).alias("precision"),
+        F.round(safe_ratio(F.sum(F.col("recall") * F.col("support")), tot), 6).alias("recall"),
+        F.round(safe_ratio(F.sum(F.col("f1") * F.col("support")), tot), 6).alias("f1"))
 
 
 def accuracy(df: DataFrame, true: str = T, pred: str = P, by=()) -> DataFrame:

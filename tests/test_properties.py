@@ -210,3 +210,14 @@ def test_batch_score_ordered_equals_shuffled(spark, parts):
     assert len(got) == t.count()
     assert sorted(got) == sorted(ref)
 
+
+
+def test_report_all_predictions_invalid(spark):
+    # every prediction is -1: no valid rows, the report is all zeros instead of failing
+    df = spark.createDataFrame([(0, -1), (1, -1), (3, -1)], "true_label int, predicted_label int")
+    v = M.valid_predictions(df)
+    rep = {(r.row_kind, r.label): r for r in M.classification_report(v).collect()}
+    assert rep[("accuracy", None)].f1 == 0.0 and rep[("weighted avg", None)].f1 == 0.0
+    assert all(rep[("class", c)].support == 0 for c in range(4))
+    assert M.valid_rate(df).first().valid == 0
+    assert M.weighted_prf(v).first().f1 == 0.0
