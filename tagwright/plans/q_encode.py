@@ -78,8 +78,10 @@ ANSWERS = f"SELECT custom_id, '[' || CAST(class AS VARCHAR) || ']' || {O.lit(K.C
 @register("strip_prompt_tokens", f"SELECT custom_id, array_to_string(ids, ',') AS generated_ids FROM ({ids_sql(ANSWERS, 'answer', None)}) a")
 def q_strip_prompt_tokens(spark, sf):
     t = split_df(spark, sf).where(F.col("split") == "train")
-    p = t.select("custom_id", FT.prompt_infer("message").alias("prompt_in"),
-                 FT.prompt_train("message", "class").alias("prompt_out"))
+    # a generation output is the input ids followed by the generated ids (here: the answer of the train prompt)
+    answer = F.concat(F.lit("["), F.col("class").cast("string"), F.lit("]" + K.CHAT_TURN_END))
+    p = t.select("custom_id", FT.prompt_infer("message").alias("prompt_in"), answer.alias("answer"))
     v = E.vocabulary_dict(vocab(spark, sf))
-    d = p.select("custom_id", E.token_ids("prompt_in", v).alias("inp"), E.token_ids("prompt_out", v).alias("out"))
+    d = p.select("custom_id", E.token_ids("prompt_in", v).alias("inp"), E.token_ids("answer", v).alias("gen"))
+    d = d.select("custom_id", "inp", F.concat("inp", "gen").alias("out"))
     return d.select("custom_id", F.array_join(E.strip_prompt_tokens("inp", "out"), ",").alias("generated_ids"))
