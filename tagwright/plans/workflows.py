@@ -20,8 +20,13 @@ def _p(base: str, name: str) -> str:
 
 
 def write_label_requests(comments: DataFrame, out_path: str, template: str = K.DEFAULT_TEMPLATE,
-                         order_cols=("username", "comment")) -> DataFrame:
-    """Comments ``(username, comment[, custom_id])`` -> one JSON request per line."""
+                         order_cols=("username", "comment"), template_path: str | None = None) -> DataFrame:
+    """Comments ``(username, comment[, custom_id])`` -> one JSON request per line.
+
+    ``template_path`` reads the template from a text file (whole file, stripped).
+    """
+    if template_path:
+        template = TX.template_text(comments.sparkSession, template_path)
     c = P.ensure_custom_id(comments, list(order_cols))
     req = P.build_request(c, template)
     J.write_requests_jsonl(req, out_path)

@@ -13,6 +13,14 @@ def read_prompt_template(spark: SparkSession, path: str, strip: bool = False) ->
     return t.select(strip_ws("template").alias("template")) if strip else t
 
 
+def template_text(spark: SparkSession, path: str, strip: bool = True) -> str:
+    """The prompt template as one string (a single small file; stripped as the request builder does)."""
+    row = read_prompt_template(spark, path, strip).first()
+    if row is None:
+        raise ValueError(f"empty template: {path}")
+    return row.template
+
+
 def report_lines(metrics: DataFrame) -> DataFrame:
     """Long classification report -> text lines ``Name: Precision=…, Recall=…, F1=…``."""
     from tagwright.operators.metrics import label_name

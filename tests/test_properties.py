@@ -123,6 +123,12 @@ def test_prompt_template_reader(spark):
     spark.createDataFrame([("  Label this.\n" + K.PROMPT_MARKER + "\n",)], "value string").coalesce(1).write.text(path)
     t = TX.read_prompt_template(spark, path, strip=True).first().template
     assert t == ("  Label this.\n" + K.PROMPT_MARKER + "\n").strip()
+    raw = TX.read_prompt_template(spark, path).first().template
+    assert raw == "  Label this.\n" + K.PROMPT_MARKER + "\n\n"  # not stripped: chat prompts keep it as is
+    from tagwright.plans import workflows as W
+    c = spark.createDataFrame([("u", "hello")], "username string, comment string")
+    req = W.write_label_requests(c, scratch_path(spark, "t-req"), template_path=path)
+    assert req.select(F.get("body.messages", 1)["content"].alias("m")).first().m == t + "u+hello"
 
 
 def test_batch_isolation(spark):
