@@ -14,6 +14,19 @@ from tagwright import constants as K
 T, P = "true_label", "predicted_label"
 
 
+def side_by_side(*one_row: DataFrame) -> DataFrame:
+    """Several one-row aggregates (distinct column names) as one row, without a join:
+    union with null-padded columns, then one aggregate."""
+    types = {f.name: f.dataType for d in one_row for f in d.schema.fields}
+    cols = list(types)
+    parts = [d.select(*[F.col(c) if c in d.columns else F.lit(None).cast(types[c]).alias(c) for c in cols])
+             for d in one_row]
+    u = parts[0]
+    for d in parts[1:]:
+        u = u.unionByName(d)
+    return u.agg(*[F.max(c).alias(c) for c in cols])
+
+
 def class_spine(spark, n: int = K.NUM_CLASSES, name: str = "label") -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias(name))
 

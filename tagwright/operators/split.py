@@ -134,6 +134,5 @@ def split_integrity(original: DataFrame, split_df: DataFrame, key: str = "custom
         F.count_if(F.col("split") == "validation").alias("n_validation"),
         F.count_if(F.col("split") == "test").alias("n_test"))
     n_in = original.agg(F.count(F.lit(1)).alias("n_input"))
-    one = F.lit(1)
-    return (n_in.withColumn("_j", one).join(sizes.withColumn("_j", one), "_j")
-            .join(missing.withColumn("_j", one), "_j").join(dup.withColumn("_j", one), "_j").drop("_j"))
+    from tagwright.operators.metrics import side_by_side
+    return side_by_side(n_in, sizes, missing, dup)

@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tagwright import constants as K
 from tagwright.functions.vectors import argmax, spread_probs
@@ -97,8 +97,8 @@ def select_best_model(train: DataFrame, validation: DataFrame, reg_params=(0.1,
     # all candidates evaluated in one aggregate, grouped by candidate
     rows = M.weighted_prf(scored, by=["candidate", "reg_param"]).select(
         "candidate", "reg_param", F.col("accuracy").alias("val_accuracy"), F.col("f1").alias("val_f1"))
-    rows = rows.cache()
-    best = rows.agg(F.max_by("candidate", F.struct(F.col("val_f1"), -F.col("candidate"))).alias("_best"))
-    out = rows.join(best.withColumn("_j", F.lit(1)), F.lit(1) == F.col("_j")).select(
-        "candidate", "reg_param", "val_accuracy", "val_f1", (F.col("candidate") == F.col("_best")).cast("int").alias("chosen"))
+    # one row per candidate: the best (highest F1, then earliest) by a window over that small table
+    best = F.max_by("candidate", F.struct(F.col("val_f1"), -F.col("candidate"))).over(Window.partitionBy())
+    out = rows.select("candidate", "reg_param", "val_accuracy", "val_f1",
+                      (F.col("candidate") == best).cast("int").alias("chosen"))
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagwright import constants as K
-from tagwright.operators import labels as L, prepare as P
+from tagwright.operators import labels as L, metrics as M, prepare as P
 from tagwright.plans import fixtures as fx, oracle as O
 from tagwright.plans.registry import register
 
@@ -92,6 +92,6 @@ def q_dataset_counts(spark, sf):
         F.count(F.lit(1)).alias("answers"),
         F.count_if(F.col("reason").isNotNull()).alias("errors"),
         F.count_distinct(F.when(F.col("class").isNotNull(), F.col("custom_id"))).alias("labeled_ids"))
-    return (m.withColumn("_k", F.lit(1)).join(p.withColumn("_k", F.lit(1)), "_k")  # two one-row aggregates
+    return (M.side_by_side(m, p)  # two one-row aggregates
             .select("total", "kept", (F.col("total") - F.col("kept")).alias("removed"),
                     "answers", "errors", "labeled_ids"))
