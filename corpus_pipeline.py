@@ -24,8 +24,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeated runs of lines; what is a copy of earlier text by 0.8 of its words goes as a whole."""
-    d = linededup.dedup_lines(docs)
-    return d.where(F.col("lost_share") < NEAR_COPY_SHARE).select(docs.columns)
+    return linededup.dedup_documents(docs, NEAR_COPY_SHARE)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,17 @@ def text_key(text: Column | str) -> Column:
     return F.coalesce(F.md5(text), F.lit("null"))
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of a table as one struct ``_row``: whatever their names, they can't clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
+def unpacked(df: DataFrame, without: Iterable[str] = ()) -> list[Column]:
+    """The columns of the table that was packed, but for ``without`` (in any case) which the operator replaces."""
+    drop = {c.lower() for c in without}
+    return [F.col("_row")[c].alias(c) for c in df.columns if c.lower() not in drop]
+
+
 def by_size(texts: Iterable[str | None], limit: int = SUB_BATCH_CHARS) -> Iterator[list[str]]:
     """Consecutive lists of texts of about ``limit`` characters, so that memory does not follow the batch's text length."""
     out: list[str] = []

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tagwright.llm.common import n_words, text_key
+from tagwright.llm.common import n_words, packed, text_key, unpacked
 from tagwright.session import ensure_checkpoint_dir
 
 MIN_WEIGHT = 0.05
@@ -136,8 +136,7 @@ def mixed_rows(docs: DataFrame, weight: Column | None = None, seed: str = "mix",
     weight = letter_share() if weight is None else weight
     sized = _sized(docs, weight, seed).checkpoint()
     cut = cuts(sized, max_epochs).checkpoint()
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(kept, F.col("source"), F.col("doc_id"), text_key("text").alias("_text"),
+    rows = docs.select(packed(docs), F.col("source"), F.col("doc_id"), text_key("text").alias("_text"),
                        exponential_key(F.col("doc_id"), F.col("text"), weight, seed).alias("_key"))
     taken = decide(rows, cut).where(F.col("copies") > 0)
-    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*unpacked(docs))

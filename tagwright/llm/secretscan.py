@@ -91,17 +91,19 @@ def candidates(docs: DataFrame, rules: dict[str, tuple[str, int, int]]) -> DataF
     return met.groupBy("doc_id", "_h").agg(F.collect_set("kind").alias("kinds"))
 
 
-def _spans(text: Column, expression: str, group: int, least: int, order: int) -> Column:
-    """Spans of one rule as structs (start, rule's place, end): pieces between matches give the positions."""
-    pieces = F.transform(F.split(text, expression, -1), F.length)
-    hits = F.transform(F.regexp_extract_all(text, F.lit(expression), F.lit(0)), F.length)
-    parts = F.regexp_extract_all(text, F.lit(expression), F.lit(group))
-    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    every = F.transform(hits, lambda n, i: F.struct(
-        (add(F.slice(pieces, 1, i + 1)) + add(F.slice(hits, 1, i))).alias("start"), F.lit(order).alias("kind"),
-        (add(F.slice(pieces, 1, i + 1)) + add(F.slice(hits, 1, i + 1))).alias("end"),
-        F.length(F.get(parts, i)).alias("n")))
-    return F.transform(F.filter(every, lambda s: s["n"] >= least), lambda s: F.struct(s["start"], s["kind"], s["end"]))
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _spans(parts: Column, least: int, order: int) -> Column:
+    """Spans of one rule from the lengths of pieces, matches and checked groups: one running position over them."""
+    def step(a, x):
+        start = a["pos"] + x["piece"]
+        end = start + F.coalesce(x["hit"], F.lit(0))
+        span = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"))
+        return F.struct(end.alias("pos"), F.when(x["part"] >= least, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPANS).alias("out"))
+    return F.coalesce(F.aggregate(parts, begin, step, lambda a: a["out"]), F.array().cast(_SPANS))
 
 
 def scan(docs: DataFrame, rules: dict[str, tuple[str, int, int]] = RULES) -> DataFrame:
@@ -112,13 +114,17 @@ def scan(docs: DataFrame, rules: dict[str, tuple[str, int, int]] = RULES) -> Dat
     cand = candidates(docs, rules).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_text"), "kinds")
     d = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.join(cand, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_text")), "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    found = []
-    for i, (k, (e, group, least)) in enumerate(rules.items()):
-        # rlike first: the pieces and matches are only built where there is one
-        reads = F.col("text").rlike(e) if trigram_query(e) is None else \
-            F.coalesce(F.array_contains("kinds", k), F.lit(False)) & F.col("text").rlike(e)
-        found.append(F.when(reads, _spans(F.col("text"), e, group, least, i)).otherwise(none))
+    text, parts = F.col("text"), []
+    for k, (e, group, _) in rules.items():
+        # rlike first: pieces and matches are only built where there is one
+        read = text.rlike(e) if trigram_query(e) is None else F.array_contains("kinds", k) & text.rlike(e)
+        lengths = F.arrays_zip(F.transform(F.split(text, e, -1), F.length).alias("piece"),
+                               F.transform(F.regexp_extract_all(text, F.lit(e), F.lit(0)), F.length).alias("hit"),
+                               F.transform(F.regexp_extract_all(text, F.lit(e), F.lit(group)), F.length).alias("part"))
+        typed = lengths.cast("array<struct<piece:int,hit:int,part:int>>")
+        parts.append(F.when(F.coalesce(read, F.lit(False)), typed).alias(f"_p{len(parts)}"))
+    d = d.select("doc_id", *parts)
+    found = [_spans(F.col(f"_p{i}"), least, i) for i, (_, _, least) in enumerate(rules.values())]
     ordered = F.array_sort(F.concat(*found))
     names = F.array(*[F.lit(k) for k in kinds])
     return d.select("doc_id", F.transform(ordered, lambda s: F.struct(

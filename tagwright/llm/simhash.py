@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tagwright.llm.common import text_key, utf8
+from tagwright.llm.common import packed, text_key, unpacked, utf8
 from tagwright.session import ensure_checkpoint_dir
 
 SEED = 42
@@ -150,6 +150,6 @@ def one_per_group(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataF
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("_")
     keep = near_groups(docs, shingle, distance).groupBy("root").agg(first).select(
         F.col("_.doc_id").alias("_id"), F.col("_.text_key").alias("_text"))
-    keyed = docs.withColumn("_key", text_key("text"))
-    mine = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["_id"]) & (keyed["_key"] == keep["_text"]), "left_semi")
-    return mine.dropDuplicates(["doc_id", "_key"]).select(docs.columns)
+    rows = docs.select(packed(docs), F.col("doc_id").alias("_doc"), text_key("text").alias("_key"))
+    mine = rows.join(keep, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left_semi")
+    return mine.dropDuplicates(["_doc", "_key"]).select(*unpacked(docs))

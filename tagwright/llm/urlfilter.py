@@ -22,6 +22,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tagwright.llm.common import packed, unpacked
+
 HOST = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -55,12 +57,12 @@ def _month(date: Column) -> Column:
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
-    """The captures with ``blocked`` and ``pattern``, the longest pattern that blocks them (of equal length the largest)."""
+    """The captures with ``blocked`` and ``pattern``, the longest pattern that blocks them (of equal length the largest);
+    these two replace columns of their names."""
     last = captures.agg(F.max(F.col(fetched).cast("date"))).first()[0]   # one value: no interval is read beyond it
     at = F.col(fetched).cast("date")
-    kept = F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("_row")
     # equal rows are one capture with a count
-    rows = captures.groupBy(kept).agg(F.count(F.lit(1)).alias("_times")).select(
+    rows = captures.groupBy(packed(captures)).agg(F.count(F.lit(1)).alias("_times")).select(
         "_row", "_times", F.sha2(F.to_json("_row"), 256).alias("_id"))
     keyed = rows.select("_id", F.col(f"_row.{fetched}").cast("date").alias("_date"), F.explode(keys_of(F.col(f"_row.{url}"))).alias("_key"))
     keyed = keyed.where(F.col("_date").isNotNull()).withColumn("_at", _month(F.col("_date")))
@@ -73,5 +75,5 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
                                             & (F.col("to_date").isNull() | (F.col("_date") < F.col("to_date"))))
     longest = active.groupBy("_id").agg(F.max(F.struct(F.length("_pattern").alias("n"), F.col("_pattern").alias("p"))).alias("_best"))
     out = rows.join(longest, "_id", "left").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return out.select(*[F.col("_row")[c].alias(c) for c in captures.columns],
+    return out.select(*unpacked(captures, ("blocked", "pattern")),
                       F.col("_best").isNotNull().alias("blocked"), F.col("_best.p").alias("pattern"))
