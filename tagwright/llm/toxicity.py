@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tagwright.llm.common import by_size, labelled_texts
+from tagwright.llm.common import by_size, labelled_texts, packed, unpacked
 
 SPACES = np.array([9, 10, 11, 12, 13, 32], dtype=np.uint32)
 
@@ -35,7 +35,7 @@ class Config:
     dim: int = 8
     sizes: tuple[int, ...] = (3, 4, 5)
     passage_words: int = 8
-    max_rows: int = 8000       # bound of the labelled sample the model is fitted on
+    max_rows: int = 4000       # bound of the labelled sample the model is fitted on
     epochs: int = 25
     rate: float = 0.05
     decay: float = 3e-4
@@ -102,6 +102,13 @@ def passage_scores(grams: np.ndarray, owner: np.ndarray, count: int, table: np.n
     return total / np.maximum(1, np.bincount(owner, minlength=count))
 
 
+def _means(grams: np.ndarray, edge: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Mean of the table's values over each stretch of grams between two edges; an empty stretch has 0."""
+    total = np.concatenate([[0.0], np.cumsum(table[grams[edge[0]:edge[-1]]], dtype=np.float64)])
+    at = edge - edge[0]
+    return (total[at[1:]] - total[at[:-1]]) / np.maximum(1, np.diff(edge))
+
+
 def text_logits(texts: list[str], table: np.ndarray, bias: float, config: Config) -> np.ndarray:
     grams, owner, head = ngrams(texts, config)
     return np.maximum.reduceat(passage_scores(grams, owner, int(head[-1]), table), head[:-1]) + bias
@@ -117,22 +124,24 @@ def fit(texts: list[str], labels: list[int], config: Config = Config()) -> Model
     bias = np.zeros(2)
     if len(set(labels)) < 2:
         return Model(config, vectors * 0, weights, np.log(np.array([1 - share, share])))
-    parts, heads, base = [], [0], 0
-    for group in by_size(texts):
+    # the n-grams of all passages side by side (4 bytes each); edge: where each passage begins
+    grams, filled = np.empty(len(config.sizes) * sum(len(t.lower()) + 2 for t in texts), dtype=np.int32), 0
+    sizes_of, heads, base = [], [0], 0
+    for group in by_size(texts, 200_000):
         g, o, h = ngrams(group, config)
-        order = np.argsort(o, kind="stable")
-        parts.append((g[order].astype(np.int32), o[order] + base))
+        grams[filled:filled + len(g)] = g[np.argsort(o, kind="stable")]
+        filled += len(g)
+        sizes_of.append(np.bincount(o, minlength=int(h[-1])))
         heads += (h[1:] + base).tolist()
         base += int(h[-1])
-    grams, owner = (np.concatenate(x) for x in zip(*parts))
     head = np.asarray(heads[:-1])
-    edge = np.searchsorted(owner, np.arange(base + 1))
+    edge = np.concatenate([[0], np.cumsum(np.concatenate(sizes_of))])
     lengths = np.diff(heads)
     class_weight = 0.5 / np.array([1 - share, share])
     g2v, g2w, g2b = np.full(config.buckets, 1e-8), np.full(weights.shape, 1e-8), np.full(2, 1e-8)
     for epoch in range(config.epochs):
         diff = (vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32)
-        score = passage_scores(grams, owner, base, diff)
+        score = np.concatenate([_means(grams, edge[k:k + 100_001], diff) for k in range(0, base, 100_000)])
         top = np.maximum.reduceat(score, head)
         best = np.maximum.reduceat(np.where(score == np.repeat(top, lengths), np.arange(base), -1), head)
         if epoch == 0:  # before anything is learned, any passage is as good
@@ -188,5 +197,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, config: Config = Config()) -> DataFrame:
     """Documents whose score stays under ``threshold``, with their own columns unchanged."""
-    scored = score(docs, train(docs, labels, ~held_out(), config), out="__toxic_score")
-    return scored.where(F.col("__toxic_score") < threshold).select(docs.columns)
+    rows = docs.select(packed(docs), F.col("text").alias("_text"))
+    scored = score(rows, train(docs, labels, ~held_out(), config), "_text", "_score")
+    return scored.where(F.col("_score") < threshold).select(*unpacked(docs))
