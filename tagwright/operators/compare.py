@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tagwright import constants as K
 from tagwright.operators import metrics as M
 
 T = "true_label"
@@ -121,3 +122,16 @@ def model_stage_pivot(long_df: DataFrame, stages=("before", "after")) -> DataFra
     """``(model, stage, accuracy)`` -> one row per model, a column per stage, and the uplift."""
     wide = long_df.groupBy("model").pivot("stage", list(stages)).agg(F.first("accuracy"))
     return wide.withColumn("uplift", F.col(stages[-1]) - F.col(stages[0]))
+
+
+def stage_uplift(df: DataFrame, model: str, true: str, stages: dict[str, str]) -> DataFrame:
+    """As ``model_stage_pivot`` from one row per example with a prediction column per stage: one conditional aggregate.
+
+    Accuracy of a stage is over its valid predictions.
+    """
+    aggs = []
+    for stage, pred in stages.items():
+        valid = F.col(pred) != K.UNLABELED
+        aggs.append(M.safe_ratio(F.count_if(valid & (F.col(pred) == F.col(true))), F.count_if(valid)).alias(stage))
+    names = list(stages)
+    return df.groupBy(model).agg(*aggs).withColumn("uplift", F.col(names[-1]) - F.col(names[0]))

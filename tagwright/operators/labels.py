@@ -2,42 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tagwright import constants as K, schemas
-from tagwright.functions.labels import parse_label_strict
+from tagwright import constants as K
+from tagwright.functions.labels import STRICT_PATTERN, parse_label_strict
 
 REASON_BAD_JSON = "bad_json"
 REASON_MISSING = "missing_content"
 REASON_FORMAT = "bad_format"
+REASON_NOT_TEXT = "not_text"
+REASON_RANGE = "out_of_range"
+REASON_NO_ID = "missing_id"
 REASON_NO_ANSWER = "no_answer"
 
 
-def response_content(resp) -> "F.Column":
-    """``response.body.choices[0].message.content`` with safe array access."""
-    return F.get(resp["response"]["body"]["choices"], 0)["message"]["content"]
+def answer_fields(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """Add ok, custom_id, content and present to answer lines (P7), from one strict JSON parse; the raw line goes.
+
+    A line is ok if it is exactly one JSON object: text after it, a second object on the line, quotes of another kind and
+    blank lines are not. ``content`` is ``response.body.choices[0].message.content`` where that is text;
+    ``present`` says that the path holds any value but null.
+    """
+    part = lambda path, kind: F.try_variant_get("_v", path, kind)
+    d = raw.withColumn("_v", F.try_parse_json(F.concat(F.lit("["), F.col(raw_col), F.lit("]")))).drop(raw_col)
+    d = d.withColumns({"_one": part("$[0]", "variant"), "_more": part("$[1]", "variant"),
+                       "_content": part("$[0].response.body.choices[0].message.content", "variant")})
+    d = d.withColumns({"ok": F.coalesce(F.schema_of_variant("_one").startswith("OBJECT") & F.col("_more").isNull(), F.lit(False)),
+                       "_kind": F.schema_of_variant("_content")})
+    fields = F.struct("ok", F.when(F.col("ok"), F.try_variant_get("_one", "$.custom_id", "string")).alias("custom_id"),
+                      F.when(F.col("ok") & (F.col("_kind") == "STRING"), F.try_variant_get("_content", "$", "string")).alias("content"),
+                      F.coalesce(F.col("ok") & (F.col("_kind") != "VOID"), F.lit(False)).alias("present"))
+    # inline: a filter on the fields isn't pushed below it, which would parse the line again for every field it names
+    return d.select(*[c for c in raw.columns if c != raw_col], F.inline(F.array(fields)))
 
 
 def parse_responses(raw: DataFrame, raw_col: str = "raw", order_col: str = "line_no") -> DataFrame:
     """JSON answer lines -> (line_no, custom_id, content, class, reason).
 
     ``class`` is the strict parse (F2) and null when the line is not usable;
-    ``reason`` says why (bad JSON, missing path, wrong format). The id of a
-    corrupt line is null (the line carries none that can be trusted).
+    ``reason`` says why: bad JSON, missing content, content that is no text, wrong format, a number beyond the class
+    type, no id. The id of a corrupt line is null (the line carries none that can be trusted).
     """
-    j = F.from_json(F.col(raw_col), schemas.RESPONSE)
-    valid_json = F.get_json_object(F.col(raw_col), "$").isNotNull()
-    parsed = raw.select(F.col(order_col).alias("line_no"), valid_json.alias("_ok"), j.alias("_j"))
-    content = F.when(F.col("_ok"), response_content(F.col("_j")))
-    parsed = parsed.select(
-        "line_no",
-        F.when(F.col("_ok"), F.col("_j.custom_id")).alias("custom_id"),
-        content.alias("content"),
-        "_ok",
-    ).withColumn("class", parse_label_strict("content"))
-    reason = (F.when(~F.col("_ok"), F.lit(REASON_BAD_JSON))
-              .when(F.col("content").isNull(), F.lit(REASON_MISSING))
-              .when(F.col("class").isNull(), F.lit(REASON_FORMAT)))
+    parsed = answer_fields(raw.select(F.col(order_col).alias("line_no"), F.col(raw_col).alias("raw")))
+    parsed = parsed.withColumn("class", parse_label_strict("content"))
+    reason = (F.when(~F.col("ok"), F.lit(REASON_BAD_JSON))
+              .when(~F.col("present"), F.lit(REASON_MISSING))
+              .when(F.col("content").isNull(), F.lit(REASON_NOT_TEXT))
+              .when(F.col("class").isNull() & F.col("content").rlike(STRICT_PATTERN), F.lit(REASON_RANGE))
+              .when(F.col("class").isNull(), F.lit(REASON_FORMAT))
+              .when(F.col("custom_id").isNull(), F.lit(REASON_NO_ID)))
     return parsed.select("line_no", "custom_id", "content", "class", reason.alias("reason"))
 
 

@@ -37,9 +37,11 @@ def cell_spine(spark, n: int = K.NUM_CLASSES) -> DataFrame:
 
 
 def label_name(c) -> Column:
+    """Name of a class id; an id outside the known classes is ``class <id>``, null stays null."""
     col = F.col(c) if isinstance(c, str) else c
     names = F.array(*[F.lit(n) for n in K.CLASS_NAMES])
-    return F.when(col.between(0, K.NUM_CLASSES - 1), F.element_at(names, (col + 1).cast("int")))
+    return F.when(col.between(0, K.NUM_CLASSES - 1), F.element_at(names, (col + 1).cast("int"))).otherwise(
+        F.concat(F.lit("class "), col.cast("string")))
 
 
 def flag_correct(df: DataFrame, true: str = T, pred: str = P, name: str = "correct") -> DataFrame:
@@ -66,53 +68,39 @@ def confusion(df: DataFrame, true: str = T, pred: str = P, by=()) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
 
 
-def in_domain(df: DataFrame, *cols: str, n: int = K.NUM_CLASSES) -> DataFrame:
-    """Rows whose label columns are class ids 0..n-1: an aggregate over them has a proven size bound."""
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(c).between(0, n - 1)
-    return df.where(cond)
-
-
 def confusion_matrix(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
-    """Confusion counts over the full K x K grid, zeros included."""
-    spark = df.sparkSession
-    c = in_domain(confusion(df, true, pred), T, P)  # <= K*K rows
-    return (cell_spine(spark).join(F.broadcast(c), [T, P], "left")
-            .select(T, P, F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    """Confusion counts over the K x K grid (zeros included) and every other cell that was observed.
+
+    The counts add up to all rows, labels outside 0..K-1 and null ones included.
+    """
+    zeros = cell_spine(df.sparkSession).withColumn("n", F.lit(0).cast("bigint"))
+    return confusion(df, true, pred).unionByName(zeros).groupBy(T, P).agg(F.sum("n").alias("n"))
 
 
 def confusion_pivot(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
-    """The K x K matrix: one row per true label, one column per predicted label."""
-    spark = df.sparkSession
-    wide = in_domain(confusion(df, true, pred), T, P).groupBy(T).pivot(P, list(range(K.NUM_CLASSES))).agg(F.sum("n"))
-    cols = [F.coalesce(F.col(str(j)), F.lit(0)).cast("bigint").alias(f"pred_{j}") for j in range(K.NUM_CLASSES)]
-    return class_spine(spark, name=T).join(F.broadcast(wide), T, "left").select(T, *cols)
+    """The matrix: one row per true label (0..K-1 and others observed), a column per class and one for other predictions."""
+    n = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0)).cast("bigint")
+    inside = F.coalesce(F.col(P).between(0, K.NUM_CLASSES - 1), F.lit(False))
+    return confusion_matrix(df, true, pred).groupBy(T).agg(
+        *[n(F.col(P) == j).alias(f"pred_{j}") for j in range(K.NUM_CLASSES)], n(~inside).alias("pred_other"))
 
 
 def per_class(conf: DataFrame, by=()) -> DataFrame:
-    """(*by, label, tp, support, predicted) from confusion counts, on the fixed class spine."""
-    spark = conf.sparkSession
+    """(*by, label, tp, support, predicted) from confusion counts, for 0..K-1 and every other observed label.
+
+    One aggregate over exploded entries: the spine's zeros travel with the counts, so nothing is joined.
+    """
     by = list(by)
-    parts = F.explode(F.array(
-        F.struct(F.col(T).alias("label"), F.lit(0).alias("k"), F.col("n").alias("n")),
-        F.struct(F.col(P).alias("label"), F.lit(1).alias("k"), F.col("n").alias("n")),
-        F.struct(F.col(T).alias("label"), F.lit(2).alias("k"),
-                 F.when(F.col(T) == F.col(P), F.col("n")).otherwise(F.lit(0)).alias("n")),
-    )).alias("x")
-    agg = conf.select(*by, parts).groupBy(*by, F.col("x.label").alias("label")).agg(
-        F.sum(F.when(F.col("x.k") == 0, F.col("x.n")).otherwise(0)).alias("support"),
-        F.sum(F.when(F.col("x.k") == 1, F.col("x.n")).otherwise(0)).alias("predicted"),
-        F.sum(F.when(F.col("x.k") == 2, F.col("x.n")).otherwise(0)).alias("tp"))
-    agg = in_domain(agg, "label")  # <= K rows per group
-    if by:
-        # every group gets all K labels: distinct groups x sequence(0, K-1), no product
-        spine = conf.select(*by).distinct().select(
-            *by, F.explode(F.sequence(F.lit(0), F.lit(K.NUM_CLASSES - 1))).alias("label"))
-        j = spine.join(agg, by + ["label"], "left")
-    else:
-        j = class_spine(spark).join(F.broadcast(agg), "label", "left")
-    return j.select(*by, "label", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("tp", "support", "predicted")])
+    entry = lambda label, kind, n: F.struct(label.cast("int").alias("label"), F.lit(kind).alias("k"), n.cast("bigint").alias("n"))
+    zeros = [entry(F.lit(c), 0, F.lit(0)) for c in range(K.NUM_CLASSES)]
+    hit = F.when(F.col(T) == F.col(P), F.col("n")).otherwise(F.lit(0))
+    own = [entry(F.col(T), 0, F.col("n")), entry(F.col(P), 1, F.col("n")), entry(F.col(T), 2, hit)]
+    parts = conf.select(*by, F.explode(F.array(*own, *zeros)).alias("x"))
+    if not by:  # the spine also for no rows at all
+        parts = parts.unionByName(conf.sparkSession.range(1).select(F.explode(F.array(*zeros)).alias("x")))
+    total = lambda kind: F.sum(F.when(F.col("x.k") == kind, F.col("x.n")).otherwise(0)).cast("bigint")
+    return parts.groupBy(*by, F.col("x.label").alias("label")).agg(
+        total(2).alias("tp"), total(0).alias("support"), total(1).alias("predicted"))
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
@@ -127,49 +115,40 @@ def _prf(pc: DataFrame) -> DataFrame:
             .withColumn("f1", safe_ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))))
 
 
+def _averages() -> list[Column]:
+    tot = F.sum("support")
+    weighted = lambda c: safe_ratio(F.sum(F.col(c) * F.col("support")), tot)
+    return [tot.alias("n"), safe_ratio(F.sum("tp"), tot).alias("accuracy"),
+            *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")],
+            *[weighted(c).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")]]
+
+
 def classification_report(df: DataFrame, true: str = T, pred: str = P, by=()) -> DataFrame:
     """Per-class precision/recall/F1/support, accuracy, macro avg, weighted avg.
 
     Long table ``(*by, row_kind, label, precision, recall, f1, support)``; the
-    accuracy row carries accuracy in ``f1`` like the printed report.
+    accuracy row carries accuracy in ``f1`` like the printed report. One
+    aggregate per group of class rows emits all of its rows.
     """
     by = list(by)
-    prf = _prf(per_class(confusion(df, true, pred, by), by)).cache()  # <= K rows per group, used four times
-    r6 = lambda c: F.round(c, 6)
-    classes = prf.select(*by, F.lit("class").alias("row_kind"), F.col("label").cast("int").alias("label"),
-                         r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"),
-                         r6(F.col("f1")).alias("f1"), F.col("support"))
-    tot = F.sum("support")
-    summary = prf.groupBy(*by).agg(
-        tot.alias("n"), F.sum("tp").alias("tp"),
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        safe_ratio(F.sum(F.col("precision") * F.col("support")), tot).alias("wp"),
-        safe_ratio(F.sum(F.col("recall") * F.col("support")), tot).alias("wr"),
-        safe_ratio(F.sum(F.col("f1") * F.col("support")), tot).alias("wf"))
-    null = F.lit(None).cast("double")
-    nolabel = F.lit(None).cast("int")
-    acc = summary.select(*by, F.lit("accuracy").alias("row_kind"), nolabel.alias("label"), null.alias("precision"),
-                         null.alias("recall"), r6(safe_ratio(F.col("tp"), F.col("n"))).alias("f1"),
-                         F.col("n").alias("support"))
-    macro = summary.select(*by, F.lit("macro avg").alias("row_kind"), nolabel.alias("label"),
-                           r6(F.col("mp")).alias("precision"), r6(F.col("mr")).alias("recall"), r6(F.col("mf")).alias("f1"),
-                           F.col("n").alias("support"))
-    weighted = summary.select(*by, F.lit("weighted avg").alias("row_kind"), nolabel.alias("label"),
-                              r6(F.col("wp")).alias("precision"), r6(F.col("wr")).alias("recall"),
-                              r6(F.col("wf")).alias("f1"), F.col("n").alias("support"))
-    return classes.unionByName(acc).unionByName(macro).unionByName(weighted)
+    prf = _prf(per_class(confusion(df, true, pred, by), by))
+    none, nolabel = F.lit(None).cast("double"), F.lit(None).cast("int")
+    row = lambda kind, label, p, r, f, n: F.struct(
+        F.lit(kind).alias("row_kind"), label.alias("label"), p.alias("precision"), r.alias("recall"), f.alias("f1"), n.alias("support"))
+    classes = F.collect_list(row("class", F.col("label"), F.col("precision"), F.col("recall"), F.col("f1"), F.col("support")))
+    groups = prf.groupBy(*by).agg(classes.alias("_classes"), *_averages())
+    summary = F.array(
+        row("accuracy", nolabel, none, none, F.col("accuracy"), F.col("n")),
+        *[row(f"{k} avg", nolabel, *[F.col(f"{k}_{c}") for c in ("precision", "recall", "f1")], F.col("n")) for k in ("macro", "weighted")])
+    return groups.select(*by, F.explode(F.concat("_classes", summary)).alias("_r")).select(*by, "_r.*")
 
 
 def weighted_prf(df: DataFrame, true: str = T, pred: str = P, by=()) -> DataFrame:
     """Accuracy and support-weighted precision/recall/F1, one row per group."""
     by = list(by)
     prf = _prf(per_class(confusion(df, true, pred, by), by))
-    tot = F.sum("support")
-    return prf.groupBy(*by).agg(
-        F.round(safe_ratio(F.sum("tp"), tot), 6).alias("accuracy"),
-        F.round(safe_ratio(F.sum(F.col("precision") * F.col("support")), tot), 6).alias("precision"),
-        F.round(safe_ratio(F.sum(F.col("recall") * F.col("support")), tot), 6).alias("recall"),
-        F.round(safe_ratio(F.sum(F.col("f1") * F.col("support")), tot), 6).alias("f1"))
+    return prf.groupBy(*by).agg(*_averages()).select(
+        *by, "accuracy", *[F.col(f"weighted_{c}").alias(c) for c in ("precision", "recall", "f1")])
 
 
 def accuracy(df: DataFrame, true: str = T, pred: str = P, by=()) -> DataFrame:

@@ -11,11 +11,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tagwright import constants as K
 from tagwright.functions.text import strip_ws
-from tagwright.functions.vectors import prob_at
+from tagwright.session import ensure_checkpoint_dir
 
 Scorer = Callable[[list], list]
 
@@ -32,7 +32,8 @@ def _run_batch(fn: Scorer, texts: list, per_row_retry: bool) -> list:
         res = []
         for t in texts:
             try:
-                res.append(str(list(fn([t]))[0]))
+                one = list(fn([t]))[0]
+                res.append(None if one is None else str(one))
             except Exception:  # noqa: BLE001
                 res.append(K.ERROR_OUTPUT)
         return res
@@ -53,9 +54,7 @@ def batch_score(df: DataFrame, fn: Scorer, text_col: str = "prompt", key: str =
     (JVM-side) unless ``strip_output=False``.
     """
     per_row = on_error == "row"
-    out_schema = T.StructType([
-        T.StructField(key, df.schema[key].dataType), T.StructField(out_col, T.StringType()),
-        T.StructField("chunk_id", T.StringType()), T.StructField("chunk_seconds", T.DoubleType())])
+    out_schema = T.StructType([df.schema[key], *_result_fields(out_col)])
 
     if batch_col is None:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,7 +77,7 @@ def batch_score(df: DataFrame, fn: Scorer, text_col: str = "prompt", key: str =
 
         return _strip(df.select(key, text_col).mapInPandas(run, out_schema), out_col, strip_output)
 
-    run_grouped = _grouped_runner(fn, text_col, key, batch_col, out_col, per_row)
+    run_grouped = _grouped_runner(fn, text_col, [key], batch_col, out_col, per_row)
 
     # every batch lands whole in one partition; AQE may coalesce partitions, which keeps batches whole
     ordered = (df.select(key, text_col, batch_col)
@@ -87,7 +86,12 @@ def batch_score(df: DataFrame, fn: Scorer, text_col: str = "prompt", key: str =
     return _strip(ordered.mapInPandas(run_grouped, out_schema), out_col, strip_output)
 
 
-def _grouped_runner(fn: Scorer, text_col: str, key: str, batch_col: str, out_col: str, per_row: bool):
+def _result_fields(out_col: str) -> list[T.StructField]:
+    return [T.StructField(out_col, T.StringType()), T.StructField("chunk_id", T.StringType()),
+            T.StructField("chunk_seconds", T.DoubleType())]
+
+
+def _grouped_runner(fn: Scorer, text_col: str, through: list[str], batch_col: str, out_col: str, per_row: bool):
     """mapInPandas body: rows arrive ordered by batch id; each batch is scored whole.
 
     A batch cut by an Arrow batch boundary is carried over to the next Arrow
@@ -97,14 +101,14 @@ def _grouped_runner(fn: Scorer, text_col: str, key: str, batch_col: str, out_col
         pending = None
 
         def flush(part: pd.DataFrame) -> pd.DataFrame:
-            outs, ids, secs = [], [], []
+            outs = []
             for b, g in part.groupby(batch_col, sort=False):
                 t0 = time.perf_counter()
                 res = _run_batch(fn, g[text_col].tolist(), per_row)
                 dt = time.perf_counter() - t0
-                outs.append(pd.DataFrame({key: g[key].values, out_col: res, "chunk_id": str(b),
+                outs.append(pd.DataFrame({**{c: g[c].values for c in through}, out_col: res, "chunk_id": str(b),
                                           "chunk_seconds": dt}))
-            return pd.concat(outs) if outs else pd.DataFrame(columns=[key, out_col, "chunk_id", "chunk_seconds"])
+            return pd.concat(outs) if outs else pd.DataFrame(columns=[*through, out_col, "chunk_id", "chunk_seconds"])
 
         for pdf in batches:
             if pending is not None:
@@ -125,41 +129,41 @@ def _strip(df: DataFrame, out_col: str, on: bool) -> DataFrame:
 
 def batch_score_ordered(df: DataFrame, fn: Scorer, order_cols, text_col: str = "prompt", key: str = "custom_id",
                         batch_size: int = K.LLM_BATCH, on_error: str = "batch", out_col: str = "model_output",
-                        strip_output: bool = True) -> DataFrame:
+                        strip_output: bool = True, text: Column | None = None) -> DataFrame:
     """Score consecutive fixed-size batches in ``order_cols`` order (U1), shuffling only boundary batches.
 
     The rows are range-sorted and checkpointed (as for the dense index). A
     batch lies inside one partition except at most one batch per partition
     boundary: those (<= P-1 batches) are shuffled together by batch id; all
     other rows are scored where they are, in order, without any exchange.
-    Output equals ``batch_score`` on ``assign_batches(assign_row_id(...))``.
+    ``text`` builds the scorer's input (``text_col``) from the columns after the
+    sort, so a long fixed prompt is neither sorted nor stored. All columns of
+    ``df`` pass through. The result is lazy: store it once and derive from the
+    stored rows, or the scorer runs again for every use.
     """
-    from pyspark.sql import Window
-
-    from tagwright.session import ensure_checkpoint_dir
-
     spark = df.sparkSession
     per_row = on_error == "row"
     ensure_checkpoint_dir(spark)
-    s = df.select(key, text_col, *[c for c in order_cols if c not in (key, text_col)]).orderBy(*order_cols) \
-        .checkpoint(eager=True)
+    s = df.orderBy(*order_cols).checkpoint(eager=True)
     s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off")).cache()  # P rows
+    # P rows, checkpointed (nothing to release): read by the rows and by the list of cut batches
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off")).checkpoint(eager=True)
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     rows = (s.join(F.broadcast(offsets), "_pid")
             .withColumn("_idx", F.col("_off") + local)
-            .withColumn("batch_id", F.floor(F.col("_idx") / F.lit(batch_size)).cast("bigint")))
+            .withColumn("batch_id", F.floor(F.col("_idx") / F.lit(batch_size)).cast("bigint")).drop("_pid", "_mid", "_off"))
+    if text is not None:
+        rows = rows.withColumn(text_col, text)
     # batches cut by a partition boundary: the batch of each partition's first row when it does not start a batch
     cut = (offsets.where((F.col("_off") > 0) & (F.col("_off") % batch_size != 0))
            .select(F.floor(F.col("_off") / F.lit(batch_size)).cast("bigint").alias("batch_id")).distinct())
     cut = F.broadcast(cut)  # at most P-1 rows
-    runner = _grouped_runner(fn, text_col, key, "batch_id", out_col, per_row)
-    out_schema = T.StructType([
-        T.StructField(key, df.schema[key].dataType), T.StructField(out_col, T.StringType()),
-        T.StructField("chunk_id", T.StringType()), T.StructField("chunk_seconds", T.DoubleType())])
-    cols = [key, text_col, "batch_id"]
+    through = [c for c in df.columns if c != text_col]
+    runner = _grouped_runner(fn, text_col, through, "batch_id", out_col, per_row)
+    out_schema = T.StructType([*[df.schema[c] for c in through], *_result_fields(out_col)])
+    cols = [*through, text_col, "batch_id"]
     inner = rows.join(cut, "batch_id", "left_anti").select(*cols).mapInPandas(runner, out_schema)
     edge = (rows.join(cut, "batch_id", "left_semi").select(*cols, "_idx")
             .repartition("batch_id").sortWithinPartitions("batch_id", "_idx").select(*cols)
@@ -175,20 +179,25 @@ def throughput(scored: DataFrame) -> DataFrame:
                          F.try_divide(F.sum("rows").cast("double"), F.sum("sec")).alias("rows_per_second"))
 
 
-def log_loss(df: DataFrame, prob: str = "p", true: str = "true_label", weight: str = "weight",
+def log_loss(df: DataFrame, logits: str = "logits", true: str = "true_label", weight: str = "weight",
              batch: str = "batch_id") -> DataFrame:
-    """Cross-entropy from stored probabilities.
+    """Cross-entropy from logits (A15): ``logsumexp(logits) - logits[true]``, finite for any finite logits.
 
+    A certain mistake costs its full logit difference; a true label outside the logits is an error, not a skipped row.
     Per batch the class-weighted mean ``sum(w * nll) / sum(w)``; the reported
     loss is the plain mean over batches, plus the row-level mean.
     """
-    nll = -F.log(prob_at(prob, F.col(true)))
+    z, y = F.col(logits), F.col(true)
+    top = F.array_max(z)
+    lse = top + F.log(F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top)))
+    known = y.isNotNull() & (y >= 0) & (y < F.size(z))
+    wrong = F.raise_error(F.concat(F.lit("log_loss: no logit for true label "), F.coalesce(y.cast("string"), F.lit("null"))))
+    nll = F.when(known, lse - F.get(z, y.cast("int"))).otherwise(wrong.cast("double"))
     per_batch = df.groupBy(batch).agg(
         (F.sum(F.col(weight) * nll) / F.sum(weight)).alias("bl"), F.sum(nll).alias("sn"),
         F.count(F.lit(1)).alias("bn"))
     return per_batch.agg(F.sum("bn").cast("bigint").alias("n_rows"), F.count(F.lit(1)).alias("n_batches"),
-                         F.round(F.avg("bl"), 6).alias("weighted_batch_loss"),
-                         F.round(F.sum("sn") / F.sum("bn"), 6).alias("mean_loss"))
+                         F.avg("bl").alias("weighted_batch_loss"), (F.sum("sn") / F.sum("bn")).alias("mean_loss"))
 
 
 def length_stub_scorer(texts: list) -> list:

@@ -39,10 +39,10 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, custom_id, message, true_label drawn close to the published supports."""
+    """doc_id, custom_id, message, true_label drawn close to the published supports; one row in 97 has the unknown class 7."""
     c = comments(spark, sf_dir)
     y = u("y")
-    lab = (F.when(y < 0.13, 0).when(y < 0.56, 1).when(y < 0.65, 2).otherwise(3)).cast("int")
+    lab = (F.when(F.col("doc_id") % 97 == 5, 7).when(y < 0.13, 0).when(y < 0.56, 1).when(y < 0.65, 2).otherwise(3)).cast("int")
     return c.select("doc_id", "custom_id", "message", lab.alias("true_label"))
 
 
@@ -52,7 +52,7 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = (F.when(u("v") < 0.2, F.lit(-1))
             .when(u("b") < 0.55, F.col("true_label"))
             .otherwise(F.floor(4 * u("b2")).cast("int"))).cast("int")
-    tuned = (F.when(u("t") < 0.8, F.col("true_label"))
+    tuned = (F.when(F.col("doc_id") % 89 == 3, F.lit(7)).when(u("t") < 0.8, F.col("true_label"))
              .otherwise(F.floor(4 * u("t2")).cast("int"))).cast("int")
     conf = F.round(0.25 + 0.75 * u("c"), 6)
     return t.select("doc_id", "custom_id", "message", "true_label",
@@ -70,6 +70,17 @@ def response_json(custom_id: Column, content: Column) -> Column:
                     F.lit('"}}]}}}'))
 
 
+def damaged(raw: Column, custom_id: Column) -> Column:
+    """The answer lines of some documents with the faults that labellers' files show, by doc_id % 29."""
+    k = F.col("doc_id") % 29
+    number = F.concat(F.lit('{"custom_id": "'), custom_id, F.lit('", "response": {"body": {"choices": [{"message": {"content": 1}}]}}}'))
+    no_id = F.lit('{"response": {"body": {"choices": [{"message": {"content": "[1]"}}]}}}')
+    return (F.when(k == 1, F.concat(raw, F.lit(" done"))).when(k == 2, F.concat(raw, raw))
+            .when(k == 3, F.translate(raw, '"', "'")).when(k == 4, number).when(k == 5, no_id)
+            .when(k == 6, response_json(custom_id, F.lit("[99999999999]"))).when(k == 7, F.lit(""))
+            .when(k == 8, F.concat(raw, F.lit(", "), raw)).otherwise(raw))
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line_no, custom_id, raw: the labeller's answers as JSON text lines."""
     d = load(spark, sf_dir, "documents").select("doc_id")
@@ -78,7 +89,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                            (F.col("doc_id") % 12 + 1).cast("int"))
     first = d.where(F.col("doc_id") % 17 != 0).select(
         (2 * F.col("doc_id")).alias("line_no"), cid.alias("custom_id"),
-        F.when(F.col("doc_id") % 19 == 0, F.lit("{bad")).otherwise(response_json(cid, content)).alias("raw"))
+        damaged(F.when(F.col("doc_id") % 19 == 0, F.lit("{bad")).otherwise(response_json(cid, content)), cid).alias("raw"))
     second = d.where((F.col("doc_id") % 13 == 0) & (F.col("doc_id") % 17 != 0)).select(
         (2 * F.col("doc_id") + 1).alias("line_no"), cid.alias("custom_id"),
         response_json(cid, F.when(F.col("doc_id") % 2 == 0, F.lit("[3]")).otherwise(F.lit("sorry"))).alias("raw"))

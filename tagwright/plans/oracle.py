@@ -61,13 +61,13 @@ COMMENTS = ("SELECT doc_id, 'row-' || CAST(doc_id AS VARCHAR) AS custom_id, sour
 GOLD = (f"SELECT c.doc_id, c.custom_id, c.message, CAST(coalesce(2 * l.quality + l.toxic, -1) AS INTEGER) AS class "
         f"FROM ({COMMENTS}) c LEFT JOIN labels l ON c.doc_id = l.doc_id")
 
-TRUTH = (f"SELECT doc_id, custom_id, message, CAST(CASE WHEN {U('y')} < 0.13 THEN 0 WHEN {U('y')} < 0.56 THEN 1 "
+TRUTH = (f"SELECT doc_id, custom_id, message, CAST(CASE WHEN doc_id % 97 = 5 THEN 7 WHEN {U('y')} < 0.13 THEN 0 WHEN {U('y')} < 0.56 THEN 1 "
          f"WHEN {U('y')} < 0.65 THEN 2 ELSE 3 END AS INTEGER) AS true_label FROM ({COMMENTS}) c")
 
 PREDS = (f"SELECT doc_id, custom_id, message, true_label, "
          f"CAST(CASE WHEN {U('v')} < 0.2 THEN -1 WHEN {U('b')} < 0.55 THEN true_label "
          f"ELSE CAST(floor(4 * {U('b2')}) AS INTEGER) END AS INTEGER) AS base_pred, "
-         f"CAST(CASE WHEN {U('t')} < 0.8 THEN true_label ELSE CAST(floor(4 * {U('t2')}) AS INTEGER) END AS INTEGER) AS tuned_pred, "
+         f"CAST(CASE WHEN doc_id % 89 = 3 THEN 7 WHEN {U('t')} < 0.8 THEN true_label ELSE CAST(floor(4 * {U('t2')}) AS INTEGER) END AS INTEGER) AS tuned_pred, "
          f"round(0.25 + 0.75 * {U('c')}, 6) AS confidence FROM ({TRUTH}) t")
 
 
@@ -78,22 +78,32 @@ def _json(cid: str, content: str) -> str:
 
 _CONTENTS = "[" + ", ".join(lit(c) for c in RESPONSE_CONTENT) + "]"
 _CID = "('row-' || CAST(doc_id AS VARCHAR))"
+_GOOD = f"CASE WHEN doc_id % 19 = 0 THEN '{{bad' ELSE {_json(_CID, f'{_CONTENTS}[doc_id % 12 + 1]')} END"
+_NUMBER = f"""('{{"custom_id": "' || {_CID} || '", "response": {{"body": {{"choices": [{{"message": {{"content": 1}}}}]}}}}}}')"""
+_NO_ID = """'{"response": {"body": {"choices": [{"message": {"content": "[1]"}}]}}}'"""
+_DAMAGED = ("CASE doc_id % 29 WHEN 1 THEN good || ' done' WHEN 2 THEN good || good WHEN 3 THEN replace(good, '\"', chr(39)) "
+            f"WHEN 4 THEN {_NUMBER} WHEN 5 THEN {_NO_ID} WHEN 6 THEN {_json(_CID, lit('[99999999999]'))} "
+            "WHEN 7 THEN '' WHEN 8 THEN good || ', ' || good ELSE good END")
 RESPONSES = (
-    f"SELECT 2 * doc_id AS line_no, {_CID} AS custom_id, CASE WHEN doc_id % 19 = 0 THEN '{{bad' "
-    f"ELSE {_json(_CID, f'{_CONTENTS}[doc_id % 12 + 1]')} END AS raw FROM documents WHERE doc_id % 17 <> 0 "
+    f"SELECT 2 * doc_id AS line_no, {_CID} AS custom_id, {_DAMAGED} AS raw FROM (SELECT doc_id, {_GOOD} AS good FROM documents) d "
+    f"WHERE doc_id % 17 <> 0 "
     f"UNION ALL SELECT 2 * doc_id + 1 AS line_no, {_CID} AS custom_id, "
     f"{_json(_CID, 'CASE WHEN doc_id % 2 = 0 THEN ' + lit('[3]') + ' ELSE ' + lit('sorry') + ' END')} AS raw "
     f"FROM documents WHERE doc_id % 13 = 0 AND doc_id % 17 <> 0"
 )
 
+_PATH = "'$.response.body.choices[0].message.content'"
 PARSED = (
-    "SELECT line_no, custom_id, content, class, ok, CASE WHEN NOT ok THEN 'bad_json' WHEN content IS NULL "
-    "THEN 'missing_content' WHEN class IS NULL THEN 'bad_format' END AS reason FROM ("
-    f"SELECT line_no, ok, custom_id, content, {strict('content')} AS class FROM ("
-    "SELECT line_no, json_valid(raw) AS ok, "
-    "CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.custom_id') END AS custom_id, "
-    "CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.response.body.choices[0].message.content') END AS content "
-    f"FROM ({RESPONSES}) r) a) b"
+    "SELECT line_no, custom_id, content, class, ok, CASE WHEN NOT ok THEN 'bad_json' WHEN kind IS NULL OR kind = 'NULL' "
+    f"THEN 'missing_content' WHEN content IS NULL THEN 'not_text' WHEN class IS NULL AND regexp_matches(content, {lit(STRICT_PATTERN)}) "
+    "THEN 'out_of_range' WHEN class IS NULL THEN 'bad_format' WHEN custom_id IS NULL THEN 'missing_id' END AS reason FROM ("
+    f"SELECT line_no, ok, custom_id, kind, content, {strict('content')} AS class FROM ("
+    "SELECT line_no, ok, json_extract_string(raw, '$.custom_id') AS custom_id, "
+    f"json_type(raw, {_PATH}) AS kind, "
+    f"CASE WHEN json_type(raw, {_PATH}) = 'VARCHAR' THEN json_extract_string(raw, {_PATH}) END AS content "
+    "FROM (SELECT line_no, coalesce(ok, false) AS ok, CASE WHEN ok THEN raw END AS raw FROM ("
+    "SELECT line_no, CASE WHEN json_valid(raw) THEN json_type(raw) = 'OBJECT' ELSE false END AS ok, raw "
+    f"FROM ({RESPONSES}) r) r1) r2) a) b"
 )
 
 LAST_VALID = (f"SELECT custom_id, arg_max(class, line_no) AS class FROM ({PARSED}) p "

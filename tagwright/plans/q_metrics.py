@@ -29,7 +29,7 @@ NAMES = "[" + ", ".join(O.lit(n) for n in K.CLASS_NAMES) + "]"
 
 
 def name_sql(x: str) -> str:
-    return f"(CASE WHEN {x} BETWEEN 0 AND 3 THEN {NAMES}[{x} + 1] END)"
+    return f"(CASE WHEN {x} BETWEEN 0 AND 3 THEN {NAMES}[{x} + 1] ELSE 'class ' || CAST({x} AS VARCHAR) END)"
 
 
 def ratio(a: str, b: str) -> str:
@@ -40,17 +40,15 @@ CELLS = "SELECT CAST(range // 4 AS INTEGER) AS true_label, CAST(range % 4 AS INT
 
 
 def conf_sql(src: str) -> str:
-    return (f"SELECT c.true_label, c.predicted_label, CAST(coalesce(x.n, 0) AS BIGINT) AS n FROM ({CELLS}) c LEFT JOIN "
-            f"(SELECT true_label, predicted_label, count(*) AS n FROM ({src}) s GROUP BY 1, 2) x "
-            f"USING (true_label, predicted_label)")
+    return (f"SELECT true_label, predicted_label, CAST(sum(n) AS BIGINT) AS n FROM (SELECT true_label, predicted_label, 0 AS n FROM ({CELLS}) c "
+            f"UNION ALL SELECT true_label, predicted_label, count(*) FROM ({src}) s GROUP BY 1, 2) x GROUP BY 1, 2")
 
 
 def per_class_sql(src: str) -> str:
-    return (f"SELECT s.label, CAST(coalesce(t.tp, 0) AS BIGINT) AS tp, CAST(coalesce(t.support, 0) AS BIGINT) AS support, "
-            f"CAST(coalesce(p.predicted, 0) AS BIGINT) AS predicted FROM (SELECT CAST(range AS INTEGER) AS label FROM range(4)) s "
-            f"LEFT JOIN (SELECT true_label AS label, count(*) AS support, count(*) FILTER (WHERE true_label = predicted_label) AS tp "
-            f"FROM ({src}) a GROUP BY 1) t ON s.label = t.label "
-            f"LEFT JOIN (SELECT predicted_label AS label, count(*) AS predicted FROM ({src}) b GROUP BY 1) p ON s.label = p.label")
+    return (f"SELECT label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(support) AS BIGINT) AS support, CAST(sum(predicted) AS BIGINT) AS predicted FROM ("
+            f"SELECT CAST(range AS INTEGER) AS label, 0 AS tp, 0 AS support, 0 AS predicted FROM range(4) "
+            f"UNION ALL SELECT true_label, count(*) FILTER (WHERE true_label = predicted_label), count(*), 0 FROM ({src}) a GROUP BY 1 "
+            f"UNION ALL SELECT predicted_label, 0, 0, count(*) FROM ({src}) b GROUP BY 1) u GROUP BY label")
 
 
 def prf_sql(src: str) -> str:
@@ -61,14 +59,18 @@ def prf_sql(src: str) -> str:
 def report_sql(src: str) -> str:
     prf = prf_sql(src)
     return f"""
-SELECT 'class' AS row_kind, label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM ({prf}) a
-UNION ALL SELECT 'accuracy', NULL, NULL, NULL, round({ratio('sum(tp)', 'sum(support)')}, 6), CAST(sum(support) AS BIGINT) FROM ({prf}) b
-UNION ALL SELECT 'macro avg', NULL, round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM ({prf}) c
-UNION ALL SELECT 'weighted avg', NULL, round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
-  round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM ({prf}) d
+SELECT 'class' AS row_kind, label, precision, recall, f1, support FROM ({prf}) a
+UNION ALL SELECT 'accuracy', NULL, NULL, NULL, {ratio('sum(tp)', 'sum(support)')}, CAST(sum(support) AS BIGINT) FROM ({prf}) b
+UNION ALL SELECT 'macro avg', NULL, avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM ({prf}) c
+UNION ALL SELECT 'weighted avg', NULL, sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+  sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM ({prf}) d
 """
 
 
+def rounded(df, *cols):
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
 @register("flag_correct", f"SELECT custom_id, true_label, predicted_label, CAST(predicted_label = true_label AS INTEGER) AS correct FROM ({SCORED}) s")
 def q_flag_correct(spark, sf):
     return M.flag_correct(scored(spark, sf)).select("custom_id", "true_label", "predicted_label", "correct")
@@ -107,12 +109,12 @@ SELECT round({ratio('sum(tp)', 'sum(support)')}, 6) AS accuracy, round(sum(preci
   round(sum(recall * support) / sum(support), 6) AS recall, round(sum(f1 * support) / sum(support), 6) AS f1 FROM ({prf_sql(SCORED)}) r
 """)
 def q_weighted_prf(spark, sf):
-    return M.weighted_prf(scored(spark, sf))
+    return rounded(M.weighted_prf(scored(spark, sf)), "accuracy", "precision", "recall", "f1")
 
 
-@register("classification_report", report_sql(VALID))
+@register("classification_report", f"SELECT * REPLACE (round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1) FROM ({report_sql(VALID)}) r")
 def q_classification_report(spark, sf):
-    return M.classification_report(M.valid_predictions(base_scored(spark, sf)))
+    return rounded(M.classification_report(M.valid_predictions(base_scored(spark, sf))), "precision", "recall", "f1")
 
 
 @register("confusion_matrix", conf_sql(SCORED))
@@ -121,7 +123,8 @@ def q_confusion_matrix(spark, sf):
 
 
 @register("confusion_matrix_pivot", f"""
-SELECT true_label, {', '.join(f'CAST(sum(n) FILTER (WHERE predicted_label = {j}) AS BIGINT) AS pred_{j}' for j in range(4))}
+SELECT true_label, {', '.join(f'CAST(coalesce(sum(n) FILTER (WHERE predicted_label = {j}), 0) AS BIGINT) AS pred_{j}' for j in range(4))},
+  CAST(coalesce(sum(n) FILTER (WHERE predicted_label NOT BETWEEN 0 AND 3), 0) AS BIGINT) AS pred_other
 FROM ({conf_sql(VALID)}) c GROUP BY true_label
 """)
 def q_confusion_pivot(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagwright import schemas
+from tagwright.operators.labels import answer_fields
 from tagwright.operators.prepare import request_content
 
 
@@ -22,17 +23,13 @@ def read_requests_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def read_responses_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Responses -> ``(custom_id, content, corrupt, line_key)`` (S3).
 
-    Lines are read as text and decoded with ``from_json`` (the same decoding
-    the table path uses), so a bad line is flagged, never fatal. ``line_key``
+    Lines are read as text and decoded by ``answer_fields``, as in the table
+    path, so a bad line is flagged, never fatal. ``line_key``
     orders lines like the files do (file, split start, position in the
     split), which is what "the last answer wins" needs.
     """
-    raw = read_response_lines(spark, path)
-    j = F.from_json("raw", schemas.RESPONSE)
-    ok = F.get_json_object("raw", "$").isNotNull()
-    return raw.select(F.when(ok, j["custom_id"]).alias("custom_id"),
-                      F.when(ok, F.get(j["response"]["body"]["choices"], 0)["message"]["content"]).alias("content"),
-                      (~ok).cast("int").alias("corrupt"), "line_key")
+    lines = answer_fields(read_response_lines(spark, path))
+    return lines.select("custom_id", "content", (~F.col("ok")).cast("int").alias("corrupt"), "line_key")
 
 
 def read_response_lines(spark: SparkSession, path: str) -> DataFrame:

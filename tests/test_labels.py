@@ -26,6 +26,22 @@ def test_parse_edge_cases(spark):
     assert p[5].reason == "bad_format"
 
 
+def test_corrupt_lines_are_never_labels(spark):
+    good = '{"custom_id": "a", "response": {"body": {"choices": [{"message": {"content": "[1]"}}]}}}'
+    cases = {good: None, good + " ok": "bad_json", good + good: "bad_json", good + "," + good: "bad_json", good.replace('"', "'"): "bad_json",
+             "": "bad_json", "  ": "bad_json", "[]": "bad_json", "1": "bad_json", "[" + good + "]": "bad_json", "null": "bad_json",
+             good.replace('"[1]"', "1"): "not_text", good.replace('"[1]"', "null"): "missing_content", good.replace('"[1]"', '["[1]"]'): "not_text",
+             good.replace('[1]"', '[99999999999]"'): "out_of_range", good.replace('"custom_id": "a", ', ""): "missing_id",
+             " " + good + " ": None}
+    rows = list(enumerate(cases))
+    got = {r.line_no: r for r in L.parse_responses(_raw(spark, rows)).collect()}
+    for i, line in rows:
+        assert got[i].reason == cases[line], (line, got[i])
+        assert (got[i]["class"] == 1) == (cases[line] in (None, "missing_id")), line
+    kept = L.last_valid_per_key(L.parse_responses(_raw(spark, rows))).collect()
+    assert [(r.custom_id, r["class"]) for r in kept] == [("a", 1)]
+
+
 def test_last_valid_wins_and_invalid_does_not_erase(spark):
     def line(n, cid, content):
         return (n, f'{{"custom_id": "{cid}", "response": {{"body": {{"choices": [{{"message": {{"content": "{content}"}}}}]}}}}}}')
