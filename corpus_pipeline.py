@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagwright.llm import linededup, mixing, simhash, spm, toxicity
-from tagwright.session import scratch_path
+from tagwright.session import drop_path, scratch_path
 from tagwright.sources.tables import load
 
 NEAR_COPY_SHARE = 0.8  # a document that loses this share of its words to earlier text is a copy of it
@@ -56,9 +56,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, "pipeline-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)   # read for the last time by the stage just written
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -179,10 +179,10 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, confi
 
 def apply_rules(docs: DataFrame, trees: Trees, threshold: float = 0.5) -> DataFrame:
     """doc_id, the counts, base_failed, score (probability of good quality) and kept of every document. A narrow map."""
-    held = docs.sparkSession.sparkContext.broadcast(trees)
+    held = docs.sparkSession.sparkContext.broadcast(vars(trees))
 
     def run(cols):
-        trees = held.value
+        trees = Trees(**held.value)
         counted = [statistics(t.as_py()) for t in cols["text"]]
         counts = np.array([c for c, _ in counted], dtype=np.int64)
         score = 1 / (1 + np.exp(-trees.logits(np.array([f for _, f in counted]))))

@@ -183,13 +183,13 @@ def decode_ids(ids, table: dict[int, bytes]) -> str:
 
 def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: str = "ids") -> DataFrame:
     """Add the ids of each whole text. A narrow map: no shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(pieces)   # bounded by the model's vocabulary
+    held = docs.sparkSession.sparkContext.broadcast(vars(pieces))   # bounded by the model's vocabulary
     worker: dict[str, Encoder] = {}
 
     @pandas_udf("array<int>")
     def ids_of(texts: pd.Series) -> pd.Series:
         if not worker:
-            worker["encoder"] = Encoder(held.value)
+            worker["encoder"] = Encoder(Pieces(**held.value))
         code = worker["encoder"].encode
         return pd.Series([np.array(code(t), dtype=np.int32) for t in texts], dtype=object)
 
@@ -198,13 +198,13 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: str = "
 
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of each id list. A narrow map: no shuffle."""
-    held = encoded.sparkSession.sparkContext.broadcast(pieces)
+    held = encoded.sparkSession.sparkContext.broadcast(vars(pieces))
     worker: dict[str, dict] = {}
 
     @pandas_udf("string")
     def text_of(lists: pd.Series) -> pd.Series:
         if not worker:
-            worker["table"] = decode_table(held.value)
+            worker["table"] = decode_table(Pieces(**held.value))
         return pd.Series([decode_ids(x.tolist(), worker["table"]) if x is not None else "" for x in lists], dtype=object)
 
     return encoded.withColumn(out, text_of(F.col(ids_col)))

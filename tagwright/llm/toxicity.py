@@ -179,12 +179,11 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, confi
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """Add the probability of the toxic class of each whole text. A narrow map: no shuffle, all columns pass through."""
     table, bias = model.folded()
-    held = docs.sparkSession.sparkContext.broadcast((table, bias, model.config))  # buckets * 4 bytes
+    held, config = docs.sparkSession.sparkContext.broadcast(table), model.config  # buckets * 4 bytes
 
     @pandas_udf("double")
     def toxic(texts: pd.Series) -> pd.Series:
-        table, bias, config = held.value
-        z = [text_logits(group, table, bias, config) for group in by_size(texts)]
+        z = [text_logits(group, held.value, bias, config) for group in by_size(texts)]
         return pd.Series(1 / (1 + np.exp(-np.concatenate(z)))) if z else pd.Series([], dtype="float64")
 
     return docs.withColumn(out, toxic(F.col(text_col)))
