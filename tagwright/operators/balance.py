@@ -16,15 +16,20 @@ def hash_unit(h: Column) -> Column:
 
 def class_weights(df: DataFrame, label: str = "class") -> DataFrame:
     """``N / (n_c * K)`` per observed class (A12); K = number of observed classes."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return weights_from_counts(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label)
+
+
+def weights_from_counts(counts: DataFrame, label: str = "class") -> DataFrame:
+    """Class weights from a table ``(class, n)``; classes without rows have none."""
+    counts = counts.where(F.col("n") > 0)
     allw = Window.partitionBy()  # one row per class
     w = F.sum("n").over(allw).cast("double") / (F.col("n").cast("double") * F.count(F.lit(1)).over(allw))
     return counts.select(label, "n", w.alias("weight"))
 
 
 def attach_class_weight(df: DataFrame, weights: DataFrame, label: str = "class") -> DataFrame:
-    """Per-row weight by class lookup (J4); the weight table has one row per class."""
-    return df.join(F.broadcast(weights.select(label, "weight")), label, "left")
+    """Per-row weight by class lookup (J4); Spark broadcasts the weight table where its size allows it."""
+    return df.join(weights.select(label, "weight"), label, "left")
 
 
 def balanced_resample(df: DataFrame, key: str = "custom_id", label: str = "class", seed=K.SPLIT_SEED,
@@ -54,9 +59,14 @@ def balanced_resample(df: DataFrame, key: str = "custom_id", label: str = "class
     return ranked.join(per_cell, [label, "_rank"]).select(key, label, "draws")
 
 
-def explode_draws(resampled: DataFrame) -> DataFrame:
-    """One row per draw (the multiplicity expanded in place, no shuffle)."""
-    return resampled.withColumn("_d", F.explode(F.sequence(F.lit(1), F.col("draws").cast("int")))).drop("_d", "draws")
+def explode_draws(resampled: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """One row per draw. A row drawn often is first cut into chunks that are dealt out, then the draws of a chunk are
+    expanded: no array is longer than ``chunk`` or than the number of chunks, and no task expands a whole row."""
+    last = F.floor((F.col("draws") - 1) / chunk).cast("bigint")
+    chunks = (resampled.where(F.col("draws") > 0).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+              .withColumn("_m", F.least(F.lit(chunk).cast("bigint"), F.col("draws") - F.col("_c") * chunk)))
+    spread = chunks.repartition(F.xxhash64(*[c for c in resampled.columns if c != "draws"], "_c"))
+    return spread.withColumn("_d", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m")))).drop("_d", "_m", "_c", "draws")
 
 
 def shuffle_rows(df: DataFrame, key: str = "custom_id", seed=K.SPLIT_SEED, epoch: int = 0,

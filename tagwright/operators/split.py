@@ -63,16 +63,21 @@ def split_quotas(df: DataFrame, label: str = "class") -> DataFrame:
 class HashRanks:
     """Rows with their md5 hash and bucket, plus the materialized (class, bucket) size table.
 
-    The size table holds at most K * 16**digits rows. It is computed once,
+    A class of n rows has about sqrt(n) buckets per digit step (16**digits, digits from the row count), so neither the
+    size table nor a bucket grows with the data alone. The size table is computed once,
     written to the shared checkpoint folder (cutting lineage, so the input is
     not re-scanned for it) and its row count is the proven bound under which
-    it is broadcast. Class counts and quotas derive from it.
+    it is broadcast. Class counts and quotas derive from it. Rows without a class are not counted.
     """
 
-    def __init__(self, df: DataFrame, h: Column, label: str = "class", digits: int = 3):
+    def __init__(self, df: DataFrame, h: Column, label: str = "class", digits: int | None = None):
         self.label = label
+        if digits is None:
+            n = df.where(F.col(label).isNotNull()).count()
+            digits = next(d for d in range(2, 9) if 16 ** d >= n ** 0.5 or d == 8)
         self.rows = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
-        sizes = self.rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+        sizes = (self.rows.where(F.col(label).isNotNull()).groupBy(label, "_b")
+                 .agg(F.count(F.lit(1)).alias("_bn")))
         ensure_checkpoint_dir(df.sparkSession)
         self.sizes = sizes.checkpoint(eager=True)
         self.n_sizes = self.sizes.count()
@@ -83,34 +88,55 @@ class HashRanks:
     def class_counts(self) -> DataFrame:
         return self.sizes.groupBy(self.label).agg(F.sum("_bn").alias("n"))
 
+    def prefixes(self) -> DataFrame:
+        """(class, _b, _bn, _off): rows of the class in earlier buckets."""
+        w = Window.partitionBy(self.label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        return self.sizes.withColumn("_off", F.coalesce(F.sum("_bn").over(w), F.lit(0)))
+
     def ranked(self, key: str, name: str = "rank") -> DataFrame:
         """0-based rank of each row inside its class by ``(h, key)``."""
         label = self.label
-        w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        prefix = self.sizes.select(label, "_b", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"))
         inner = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)) - 1
-        return (self.rows.withColumn("_r", inner).join(self.small(prefix), [label, "_b"])
+        return (self.rows.withColumn("_r", inner).join(self.small(self.prefixes().drop("_bn")), [label, "_b"])
                 .withColumn(name, (F.col("_off") + F.col("_r")).cast("bigint"))
                 .drop("_h", "_b", "_r", "_off"))
 
+    def cuts(self, positions: DataFrame, key: str) -> DataFrame:
+        """For each (class, cut, pos): ``_from``, the (hash, key) of the row at that 0-based rank; null: past the last row.
 
-def rank_in_class(df: DataFrame, h: Column, key: str, label: str = "class", digits: int = 3,
-                  name: str = "rank") -> DataFrame:
-    """0-based rank of each row inside its class by ``(h, key)``, computed in hash buckets."""
-    return HashRanks(df, h, label, digits).ranked(key, name)
+        Only the one bucket that holds a cut is ranked.
+        """
+        label = self.label
+        at = positions.join(self.prefixes(), label).where(
+            (F.col("_off") <= F.col("pos")) & (F.col("pos") < F.col("_off") + F.col("_bn")))
+        near = self.rows.select(label, "_h", "_b", F.col(key).alias("_k")).join(self.small(at), [label, "_b"])
+        inner = F.row_number().over(Window.partitionBy(label, "cut").orderBy("_h", "_k")) - 1
+        return (near.withColumn("_r", inner).where(F.col("_off") + F.col("_r") == F.col("pos"))
+                .select(label, "cut", F.struct("_h", "_k").alias("_from")))
 
 
 def stratified_split(df: DataFrame, key: str = "custom_id", label: str = "class", seed=K.SPLIT_SEED,
-                     digits: int = 3) -> DataFrame:
-    """Adds ``split`` in {'train', 'validation', 'test'}."""
+                     digits: int | None = None) -> DataFrame:
+    """Adds ``split`` in {'train', 'validation', 'test', 'quarantine'} (W1); rows without a class go to quarantine.
+
+    The two cuts of a class are found as (hash, key) values, then every row is placed by comparing with them: whole
+    rows are not shuffled. Keys should be unique; rows that share a key and class stay together.
+    """
     hr = HashRanks(df, key_hash(key, seed), label, digits)
-    quotas = quotas_from_counts(hr.class_counts(), label).select(label, "n_test", "n_validation")
-    ranked = hr.ranked(key, "_rank")
-    split = (F.when(F.col("_rank") < F.col("n_test"), F.lit("test"))
-             .when(F.col("_rank") < F.col("n_test") + F.col("n_validation"), F.lit("validation"))
-             .otherwise(F.lit("train")))
-    # quotas: one row per class, never more rows than the size table
-    return ranked.join(hr.small(quotas), label).withColumn("split", split).drop("_rank", "n_test", "n_validation")
+    quotas = hr.small(quotas_from_counts(hr.class_counts(), label))
+    cut = lambda name, pos: F.struct(F.lit(name).alias("cut"), pos.cast("bigint").alias("pos"))
+    positions = quotas.select(label, F.explode(F.array(
+        cut("test", F.col("n_test")), cut("validation", F.col("n_test") + F.col("n_validation")))).alias("_c")).select(label, "_c.*")
+    found = hr.cuts(positions, key).groupBy(label).agg(
+        F.max(F.when(F.col("cut") == "test", F.col("_from"))).alias("_test_end"),
+        F.max(F.when(F.col("cut") == "validation", F.col("_from"))).alias("_validation_end"))
+    # one row per class, checkpointed: found once, however often the split is used
+    ends = hr.class_counts().select(label).join(found, label, "left").checkpoint(eager=True)
+    me = F.struct(F.col("_h"), F.col(key).alias("_k"))
+    before = lambda end: F.col(end).isNull() | (me < F.col(end))  # noqa: E731  (no such row: everything is before it)
+    split = (F.when(F.col(label).isNull(), F.lit("quarantine")).when(before("_test_end"), F.lit("test"))
+             .when(before("_validation_end"), F.lit("validation")).otherwise(F.lit("train")))
+    return hr.rows.join(hr.small(ends), label, "left").withColumn("split", split).drop("_h", "_b", "_test_end", "_validation_end")
 
 
 def split_distribution(split_df: DataFrame, label: str = "class") -> DataFrame:
@@ -124,15 +150,18 @@ def split_distribution(split_df: DataFrame, label: str = "class") -> DataFrame:
 
 
 def split_integrity(original: DataFrame, split_df: DataFrame, key: str = "custom_id") -> DataFrame:
-    """One row: input rows, rows per split, rows missing from every split, keys in more than one."""
-    per_key = split_df.groupBy(key).agg(F.count(F.lit(1)).alias("_k"))
-    missing = original.select(key).join(per_key, key, "left_anti").agg(F.count(F.lit(1)).alias("missing"))
-    dup = per_key.agg(F.count_if(F.col("_k") > 1).alias("duplicated"))
-    sizes = split_df.agg(
-        F.count(F.lit(1)).alias("n_split_rows"),
-        F.count_if(F.col("split") == "train").alias("n_train"),
-        F.count_if(F.col("split") == "validation").alias("n_validation"),
-        F.count_if(F.col("split") == "test").alias("n_test"))
-    n_in = original.agg(F.count(F.lit(1)).alias("n_input"))
-    from tagwright.operators.metrics import side_by_side
-    return side_by_side(n_in, sizes, missing, dup)
+    """One row: input rows, rows per split, rows missing from every split, keys in more than one.
+
+    Both key lists are tagged and go through one aggregate per key and one over all.
+    """
+    mark = lambda d, split: d.select(F.col(key).alias("_k"), split.alias("_s"))
+    both = mark(original, F.lit(None).cast("string")).unionByName(mark(split_df, F.col("split")))
+    in_split = lambda name: F.count_if(F.col("_s") == name)
+    names = ("train", "validation", "test", "quarantine")
+    per_key = both.groupBy("_k").agg(F.count_if(F.col("_s").isNull()).alias("_in"), F.count("_s").alias("_out"),
+                                     *[in_split(n).alias(n) for n in names])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return per_key.agg(
+        total("_in").alias("n_input"), total("_out").alias("n_split_rows"), *[total(n).alias(f"n_{n}") for n in names],
+        total(F.when(F.col("_out") == 0, F.col("_in")).otherwise(0)).alias("missing"),
+        F.count_if(F.col("_out") > 1).alias("duplicated"))
