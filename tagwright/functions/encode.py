@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import json
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagwright import constants as K
 from tagwright.functions.text import _c
@@ -31,32 +32,26 @@ def char_vocabulary(df: DataFrame, text_col: str = "message") -> DataFrame:
 def vocabulary_dict(vocab: DataFrame) -> dict:
     """The learned vocabulary as a model object ``{char: id}``.
 
-    Like Spark ML's CountVectorizerModel it is collected once; its size is
-    checked against the code-point bound before it is shipped as a
-    broadcast variable.
+    Like Spark ML's CountVectorizerModel it is collected once, in one job; there are no more characters than code
+    points, and more rows than that are an error.
     """
-    n = vocab.count()
-    if n > MAX_VOCAB:
-        raise ValueError(f"vocabulary of {n} entries exceeds the code-point bound")
-    return {r["char"]: int(r["id"]) for r in vocab.select("char", "id").toLocalIterator()}
+    rows = vocab.select("char", "id").limit(MAX_VOCAB + 1).collect()
+    if len(rows) > MAX_VOCAB:
+        raise ValueError(f"vocabulary of more than {MAX_VOCAB} entries exceeds the code-point bound")
+    return {r["char"]: int(r["id"]) for r in rows}
 
 
-def token_ids(c, vocab: dict) -> Column:
-    """Characters of the whole text -> ids, unknown -> 1 (no start/end, no padding).
+def token_ids(c, vocab: dict, limit: int | None = None) -> Column:
+    """Characters of the text (of its first ``limit`` ones if given) -> ids, unknown -> 1 (no start/end, no padding).
 
-    Vectorized over Arrow batches with an O(1) dictionary lookup per
-    character; the dictionary travels once per executor as a broadcast.
+    JVM only: the vocabulary is one array literal indexed by code point, looked up per character.
     """
-    from pyspark import SparkContext
-
-    bc = SparkContext.getOrCreate().broadcast(vocab)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _ids(s: pd.Series) -> pd.Series:
-        get = bc.value.get
-        return pd.Series([None if t is None else [get(ch, K.UNK_ID) for ch in t] for t in s], dtype=object)
-
-    return _ids(_c(c))
+    by_point = [K.UNK_ID] * (max(map(ord, vocab), default=-1) + 1)
+    for ch, i in vocab.items():
+        by_point[ord(ch)] = i
+    ids = F.from_json(F.lit(json.dumps(by_point)), "array<int>")  # folded to a literal by the optimizer
+    text = _c(c) if limit is None else F.substring(_c(c), 1, limit)
+    return F.transform(chars(text), lambda ch: F.coalesce(F.get(ids, F.ascii(ch)), F.lit(K.UNK_ID)))
 
 
 def encode_fixed_length(ids, max_len: int = K.CLASSIFIER_MAX_LEN) -> Column:

@@ -11,8 +11,8 @@ from tagwright.plans.q_split import SPLIT, TRAIN, split_df
 from tagwright.plans.registry import register
 
 
-def vocab(spark, sf):
-    return E.char_vocabulary(split_df(spark, sf).where(F.col("split") == "train"), "message")
+def vocab(split):
+    return E.char_vocabulary(split.where(F.col("split") == "train"), "message")
 
 
 VOCAB = (f"SELECT ch AS char, n, CAST(row_number() OVER (ORDER BY n DESC, ch) + {K.END_ID} AS INTEGER) AS id FROM ("
@@ -35,7 +35,7 @@ L = K.CLASSIFIER_MAX_LEN
 
 @register("char_vocabulary", VOCAB)
 def q_char_vocabulary(spark, sf):
-    return vocab(spark, sf)
+    return vocab(split_df(spark, sf))
 
 
 @register("encode_fixed_length", f"""
@@ -44,8 +44,9 @@ SELECT custom_id, array_to_string(list_concat([{K.START_ID}], ids, [{K.END_ID}])
 FROM ({ids_sql(TEST, 'message', L - 2)}) e
 """)
 def q_encode_fixed_length(spark, sf):
-    test = split_df(spark, sf).where(F.col("split") == "test").select("custom_id", "message")
-    ids = E.token_ids("message", E.vocabulary_dict(vocab(spark, sf)))
+    split = split_df(spark, sf)   # one split for the vocabulary and the texts
+    test = split.where(F.col("split") == "test").select("custom_id", "message")
+    ids = E.token_ids("message", E.vocabulary_dict(vocab(split)), L - 2)
     enc = test.select("custom_id", E.encode_fixed_length(ids, L).alias("e"))
     ids = F.col("e.input_ids")
     return enc.select("custom_id", F.array_join(ids, ",").alias("input_ids"),
@@ -58,18 +59,17 @@ TRAIN_PROMPTS = f"SELECT custom_id, {O.prompt_train('message', 'class')} AS prom
 
 
 @register("causal_labels", f"""
-SELECT custom_id, CAST(least(length(prompt), {K.LLM_MAX_LEN - 2}) + 2 AS BIGINT) AS n_tokens, 1 AS labels_equal FROM ({TRAIN_PROMPTS}) p
+SELECT custom_id, CAST(len(ids) + 2 AS BIGINT) AS n_tokens, array_to_string(list_concat([{K.START_ID}], ids, [{K.END_ID}]), ',')
+  || repeat(',{K.PAD_ID}', {K.LLM_MAX_LEN} - 2 - len(ids)) AS labels
+FROM ({ids_sql(TRAIN_PROMPTS, 'prompt', K.LLM_MAX_LEN - 2)}) e
 """)
 def q_causal_labels(spark, sf):
-    t = split_df(spark, sf).where(F.col("split") == "train")
-    p = t.select("custom_id", FT.prompt_train("message", "class").alias("prompt"))
-    ids = E.token_ids("prompt", E.vocabulary_dict(vocab(spark, sf)))
+    split = split_df(spark, sf)
+    p = split.where(F.col("split") == "train").select("custom_id", FT.prompt_train("message", "class").alias("prompt"))
+    ids = E.token_ids("prompt", E.vocabulary_dict(vocab(split)), K.LLM_MAX_LEN - 2)
     enc = p.select("custom_id", E.encode_fixed_length(ids, K.LLM_MAX_LEN).alias("e"))
-    enc = enc.select("custom_id", F.col("e.input_ids").alias("input_ids"), F.col("e.attention_mask").alias("mask"),
-                     E.causal_labels("e.input_ids").alias("labels"))
-    return enc.select("custom_id",
-                      F.aggregate("mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_tokens"),
-                      (F.col("labels") == F.col("input_ids")).cast("int").alias("labels_equal"))
+    return enc.select("custom_id", F.aggregate("e.attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_tokens"),
+                      F.array_join(E.causal_labels("e.input_ids"), ",").alias("labels"))
 
 
 ANSWERS = f"SELECT custom_id, '[' || CAST(class AS VARCHAR) || ']' || {O.lit(K.CHAT_TURN_END)} AS answer FROM ({TRAIN}) t"
@@ -77,11 +77,12 @@ ANSWERS = f"SELECT custom_id, '[' || CAST(class AS VARCHAR) || ']' || {O.lit(K.C
 
 @register("strip_prompt_tokens", f"SELECT custom_id, array_to_string(ids, ',') AS generated_ids FROM ({ids_sql(ANSWERS, 'answer', None)}) a")
 def q_strip_prompt_tokens(spark, sf):
-    t = split_df(spark, sf).where(F.col("split") == "train")
+    split = split_df(spark, sf)
+    t = split.where(F.col("split") == "train")
     # a generation output is the input ids followed by the generated ids (here: the answer of the train prompt)
     answer = F.concat(F.lit("["), F.col("class").cast("string"), F.lit("]" + K.CHAT_TURN_END))
     p = t.select("custom_id", FT.prompt_infer("message").alias("prompt_in"), answer.alias("answer"))
-    v = E.vocabulary_dict(vocab(spark, sf))
+    v = E.vocabulary_dict(vocab(split))
     d = p.select("custom_id", E.token_ids("prompt_in", v).alias("inp"), E.token_ids("answer", v).alias("gen"))
     d = d.select("custom_id", "inp", F.concat("inp", "gen").alias("out"))
     return d.select("custom_id", F.array_join(E.strip_prompt_tokens("inp", "out"), ",").alias("generated_ids"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tagwright import constants as K
 from tagwright.functions import labels as FL, text as FT
 from tagwright.operators import score as SC
@@ -20,7 +22,8 @@ STUB = "'[' || CAST(length(prompt) % 4 AS VARCHAR) || ']'"
 
 
 def scored_batches(spark, sf):
-    return SC.batch_score_ordered(prompts(spark, sf), SC.length_stub_scorer, ["doc_id"], batch_size=K.LLM_BATCH)
+    t = fx.truth(spark, sf).select("custom_id", "doc_id", "true_label", "message")
+    return SC.batch_score_ordered(t, SC.length_stub_scorer, ["doc_id"], batch_size=K.LLM_BATCH, text=FT.prompt_infer("message"))
 
 
 @register("batch_score", f"""
@@ -42,9 +45,10 @@ def q_batch_score_row(spark, sf):
     return s.select("custom_id", "model_output")
 
 
-@register("throughput")
+@register("throughput", f"SELECT count(*) AS rows, CAST(ceil(count(*) / {K.LLM_BATCH}) AS BIGINT) AS batches, true AS timed FROM documents")
 def q_throughput(spark, sf):
-    return SC.throughput(scored_batches(spark, sf))
+    t = SC.throughput(scored_batches(spark, sf))
+    return t.select("rows", "batches", ((F.col("seconds") > 0) & (F.col("rows_per_second") > 0)).alias("timed"))
 
 
 @register("sample_prompt", f"SELECT custom_id, prompt FROM ({PROMPTS}) p ORDER BY doc_id LIMIT 1")

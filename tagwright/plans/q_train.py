@@ -1,27 +1,43 @@
-"""Registered queries: classifier training and model selection (rows-only checks)."""
+"""Registered queries: classifier training and model selection."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tagwright.operators import train as TR
-from tagwright.plans.q_split import split_df
+from tagwright.plans.q_split import SPLIT, split_df
 from tagwright.plans.registry import register
+from tagwright.session import ensure_checkpoint_dir
 
 
 def _split(spark, sf):
-    return split_df(spark, sf).select("custom_id", "message", "class", "split").persist()  # one split, several parts
+    """One split, several parts; checkpointed rather than cached, so that nothing has to be released."""
+    ensure_checkpoint_dir(spark)
+    return split_df(spark, sf).where(F.col("split") != "quarantine").select("custom_id", "message", "class", "split").checkpoint()
 
 
-@register("train_text_classifier")
+@register("train_text_classifier", f"""
+SELECT custom_id, class AS true_label, 1.0::DOUBLE AS prob_sum, true AS predicts_largest FROM ({SPLIT}) s WHERE split = 'test'
+""")
 def q_train_text_classifier(spark, sf):
+    """Scored test rows: their probabilities add up to 1, and the prediction is the index of the largest."""
     s = _split(spark, sf)
     model = TR.train_text_classifier(s.where(F.col("split") == "train").drop("split"))
-    return TR.score_classifier(model, s.where(F.col("split") == "test").drop("split"))
+    d = TR.score_classifier(model, s.where(F.col("split") == "test").drop("split"))
+    probs = [F.coalesce(f"prob_class_{i}", F.lit(0.0)) for i in range(4)]
+    return d.select("custom_id", "true_label", F.round(sum(probs[1:], probs[0]), 4).alias("prob_sum"),
+                    (F.get(F.array(*probs), F.col("predicted_label")) == F.array_max(F.array(*probs))).alias("predicts_largest"))
 
 
-@register("select_best_model")
+@register("select_best_model", """
+SELECT * FROM (VALUES (0, 0.1::DOUBLE, 1, true), (1, 0.5::DOUBLE, 1, true), (2, 1.0::DOUBLE, 1, true)) t(candidate, reg_param, n_chosen, chosen_is_best)
+""")
 def q_select_best_model(spark, sf):
+    """The candidates; exactly one is chosen, and it has the largest F1."""
     s = _split(spark, sf)
-    return TR.select_best_model(s.where(F.col("split") == "train").drop("split"),
-                                s.where(F.col("split") == "validation").drop("split"))
+    t = TR.select_best_model(s.where(F.col("split") == "train").drop("split"),
+                             s.where(F.col("split") == "validation").drop("split")).table
+    from pyspark.sql import Window
+    every = Window.partitionBy()   # one row per candidate
+    return t.select("candidate", "reg_param", F.sum("chosen").over(every).cast("int").alias("n_chosen"),
+                    (F.max("val_f1").over(every) == F.max(F.when(F.col("chosen") == 1, F.col("val_f1"))).over(every)).alias("chosen_is_best"))
