@@ -73,15 +73,25 @@ def confusion_matrix(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
 
     The counts add up to all rows, labels outside 0..K-1 and null ones included.
     """
-    zeros = cell_spine(df.sparkSession).withColumn("n", F.lit(0).cast("bigint"))
-    return confusion(df, true, pred).unionByName(zeros).groupBy(T, P).agg(F.sum("n").alias("n"))
+    return matrix_of(confusion(df, true, pred))
+
+
+def matrix_of(conf: DataFrame) -> DataFrame:
+    """``confusion_matrix`` from confusion counts."""
+    zeros = cell_spine(conf.sparkSession).withColumn("n", F.lit(0).cast("bigint"))
+    return conf.unionByName(zeros).groupBy(T, P).agg(F.sum("n").alias("n"))
 
 
 def confusion_pivot(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
     """The matrix: one row per true label (0..K-1 and others observed), a column per class and one for other predictions."""
+    return pivot_of(confusion(df, true, pred))
+
+
+def pivot_of(conf: DataFrame) -> DataFrame:
+    """``confusion_pivot`` from confusion counts."""
     n = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0)).cast("bigint")
     inside = F.coalesce(F.col(P).between(0, K.NUM_CLASSES - 1), F.lit(False))
-    return confusion_matrix(df, true, pred).groupBy(T).agg(
+    return matrix_of(conf).groupBy(T).agg(
         *[n(F.col(P) == j).alias(f"pred_{j}") for j in range(K.NUM_CLASSES)], n(~inside).alias("pred_other"))
 
 
@@ -130,8 +140,13 @@ def classification_report(df: DataFrame, true: str = T, pred: str = P, by=()) ->
     accuracy row carries accuracy in ``f1`` like the printed report. One
     aggregate per group of class rows emits all of its rows.
     """
+    return report_of(confusion(df, true, pred, by), by)
+
+
+def report_of(conf: DataFrame, by=()) -> DataFrame:
+    """``classification_report`` from confusion counts."""
     by = list(by)
-    prf = _prf(per_class(confusion(df, true, pred, by), by))
+    prf = _prf(per_class(conf, by))
     none, nolabel = F.lit(None).cast("double"), F.lit(None).cast("int")
     row = lambda kind, label, p, r, f, n: F.struct(
         F.lit(kind).alias("row_kind"), label.alias("label"), p.alias("precision"), r.alias("recall"), f.alias("f1"), n.alias("support"))
@@ -176,7 +191,12 @@ def error_by_class(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
 
 def error_transitions(df: DataFrame, true: str = T, pred: str = P) -> DataFrame:
     """Wrong rows by ``true -> predicted`` names with share of all errors, most frequent first."""
-    wrong = confusion(df, true, pred).where(F.col(T) != F.col(P))
+    return transitions_of(confusion(df, true, pred))
+
+
+def transitions_of(conf: DataFrame) -> DataFrame:
+    """``error_transitions`` from confusion counts."""
+    wrong = conf.where(F.col(T) != F.col(P))
     # total over <= K*K aggregated cells: a window over the whole (tiny) table
     out = (wrong.withColumn("total_errors", F.sum("n").over(Window.partitionBy()))
            .select(T, P, label_name(T).alias("true_name"), label_name(P).alias("predicted_name"),
@@ -209,9 +229,9 @@ def high_confidence_mistakes(df: DataFrame, k: int = K.TOP_MISTAKES, true: str =
     return df.where(F.col(true) != F.col(pred)).orderBy(F.desc(conf), F.col(key)).limit(k)
 
 
-def class_distribution(df: DataFrame, label: str = "class") -> DataFrame:
+def class_distribution(df: DataFrame, label: str = "class", label_type: str = "int") -> DataFrame:
     """Count and percent per class, ordered by class id."""
-    counts = df.groupBy(F.col(label).cast("int").alias(label)).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(F.col(label).cast(label_type).alias(label)).agg(F.count(F.lit(1)).alias("n"))
     # total over the per-class counts (one row per class): window over the tiny table
     return (counts.withColumn("total", F.sum("n").over(Window.partitionBy()))
             .select(label, "n", safe_ratio(F.col("n") * 100, F.col("total")).alias("pct"))

@@ -69,7 +69,11 @@ def assign_batches(df: DataFrame, size: int, idx_col: str = "row_idx", name: str
 
 def build_request(df: DataFrame, template: str = K.DEFAULT_TEMPLATE, id_col: str = "custom_id",
                   username: str = "username", comment: str = "comment") -> DataFrame:
-    """One nested chat request per comment (P6); the user message is P4."""
+    """One nested chat request per comment (P6); the user message is P4.
+
+    A comment with a null name or text has no message and gets no request; ``without_request`` returns these.
+    """
+    df = df.where(F.col(username).isNotNull() & F.col(comment).isNotNull())
     messages = F.array(
         F.struct(F.lit("system").alias("role"), F.lit(K.REQUEST_SYSTEM).alias("content")),
         F.struct(F.lit("user").alias("role"), compose_message(template, username, comment).alias("content")),
@@ -80,6 +84,12 @@ def build_request(df: DataFrame, template: str = K.DEFAULT_TEMPLATE, id_col: str
                      F.lit(K.REQUEST_URL).alias("url"), body.alias("body"))
 
 
+def without_request(df: DataFrame, username: str = "username", comment: str = "comment") -> DataFrame:
+    """The rows that ``build_request`` leaves out, with a reason."""
+    reason = F.when(F.col(comment).isNull(), F.lit("null_comment")).otherwise(F.lit("null_username"))
+    return df.where(F.col(username).isNull() | F.col(comment).isNull()).withColumn("reason", reason)
+
+
 def request_content(requests: DataFrame) -> DataFrame:
     """``(custom_id, full_content = body.messages[1].content)``."""
     return requests.select("custom_id", F.get(F.col("body.messages"), 1)["content"].alias("full_content"))

@@ -8,7 +8,7 @@ from tagwright import constants as K, schemas
 from tagwright.operators import metrics as M, prepare as P
 from tagwright.plans import fixtures as fx, oracle as O
 from tagwright.plans.q_labels import merged
-from tagwright.plans.q_metrics import SCORED, report_sql, scored
+from tagwright.plans.q_metrics import BASE, SCORED, VALID, base_scored, conf_sql, name_sql, per_class_sql, ratio, report_sql, scored
 from tagwright.plans.q_split import LABELED, labeled
 from tagwright.plans.registry import register
 from tagwright.session import scratch_path
@@ -74,18 +74,50 @@ def q_read_responses_jsonl(spark, sf):
     return J.read_responses_jsonl(spark, path).select("custom_id", "content", "corrupt")
 
 
-@register("write_metrics_report")
+def _n(x: str, digits: int = 4) -> str:
+    return f"printf('%.{digits}f', round({x}, {digits}))"
+
+
+_PRF = f"'Precision=' || {_n('precision')} || ', Recall=' || {_n('recall')} || ', F1=' || {_n('f1')}"
+_SUPPORT = "', Support=' || support"
+_WIDE = " || ' ' || ".join(f"sum(CASE WHEN predicted_label = {j} THEN n ELSE 0 END)" for j in range(4))
+
+
+@register("write_metrics_report", f"""
+WITH r AS ({report_sql(VALID)}), c AS ({conf_sql(VALID)}), p AS ({per_class_sql(VALID)}),
+w AS (SELECT *, sum(n) OVER () AS total FROM c WHERE true_label <> predicted_label AND n > 0)
+SELECT 'Total samples: ' || count(*) AS value FROM ({BASE}) a
+UNION ALL SELECT 'Valid predictions: ' || count(*) FILTER (WHERE predicted_label <> -1) || ' (' ||
+  {_n(ratio('count(*) FILTER (WHERE predicted_label <> -1) * 100', 'count(*)'), 2)} || '%)' FROM ({BASE}) b
+UNION ALL SELECT 'Accuracy: ' || {_n('f1')} FROM r WHERE row_kind = 'accuracy'
+UNION ALL SELECT 'Weighted: ' || {_PRF} FROM r WHERE row_kind = 'weighted avg'
+UNION ALL SELECT {name_sql('label')} || ': ' || {_PRF} || {_SUPPORT} FROM r WHERE row_kind = 'class'
+UNION ALL SELECT 'Macro avg: ' || {_PRF} || {_SUPPORT} FROM r WHERE row_kind = 'macro avg'
+UNION ALL SELECT 'Weighted avg: ' || {_PRF} || {_SUPPORT} FROM r WHERE row_kind = 'weighted avg'
+UNION ALL SELECT {name_sql('true_label')} || ': [' || {_WIDE} || ' ' || sum(CASE WHEN predicted_label NOT BETWEEN 0 AND 3 THEN n ELSE 0 END) || ']'
+  FROM c GROUP BY true_label
+UNION ALL SELECT {name_sql('label')} || ' accuracy: ' || {_n(ratio('tp', 'support'))} || ' (' || tp || '/' || support || ')' FROM p
+UNION ALL SELECT 'Total errors: ' || sum(CASE WHEN true_label <> predicted_label THEN n ELSE 0 END)::BIGINT || ' (' ||
+  {_n(ratio('sum(CASE WHEN true_label <> predicted_label THEN n ELSE 0 END) * 100', 'sum(n)'), 2)} || '%)' FROM c
+UNION ALL SELECT {name_sql('true_label')} || ' -> ' || {name_sql('predicted_label')} || ': ' || n || ' (' || {_n(ratio('n * 100', 'total'), 2)} || '%)' FROM w
+""")
 def q_write_metrics_report(spark, sf):
-    from tagwright.plans.q_metrics import base_scored
     path = scratch_path(spark, "report-txt")
-    TX.write_metrics_report(TX.metrics_summary_lines(base_scored(spark, sf)).orderBy("_o"), path)
+    TX.write_metrics_report(TX.metrics_summary_lines(base_scored(spark, sf)).orderBy("section", "k"), path)
     return spark.read.text(path)
 
 
 @register("read_metrics_back", f"""
-SELECT CAST(printf('%.4f', f1) AS DOUBLE) AS accuracy FROM ({report_sql(SCORED)}) r WHERE row_kind = 'accuracy'
+SELECT CAST(printf('%.4f', round(f1, 4)) AS DOUBLE) AS accuracy FROM ({report_sql(SCORED)}) r WHERE row_kind = 'accuracy'
 """)
 def q_read_metrics_back(spark, sf):
     path = scratch_path(spark, "report-txt")
-    TX.write_metrics_report(TX.report_lines(M.classification_report(scored(spark, sf))), path)
+    TX.write_metrics_report(TX.report_text(M.classification_report(scored(spark, sf))), path)
     return TX.read_metrics_back(spark, path)
+
+
+@register("percent_format", "SELECT lang, printf('%.2f', round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 2)) || '%' AS share FROM documents GROUP BY lang")
+def q_percent_format(spark, sf):
+    from tagwright.sources.tables import load
+    d = M.class_distribution(load(spark, sf, "documents").select(F.col("lang").alias("class")), label_type="string")
+    return d.select(F.col("class").alias("lang"), TX.percent_format("pct").alias("share"))

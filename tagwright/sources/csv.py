@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+
+MAX_RECORDS = 1_000_000
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -12,7 +15,8 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def _writer(df: DataFrame, mode: str):
-    return (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+    # files stay small enough that reading one back (multi-line fields: one task a file) is a fair task
+    return (df.write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS).option("header", True).option("quote", '"').option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
@@ -24,3 +28,17 @@ def write_csv_quote_all(df: DataFrame, path: str, mode: str = "overwrite") -> No
 def write_csv_minimal(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Quote only where needed; empty strings stay empty fields."""
     _writer(df, mode).option("emptyValue", "").csv(path)
+
+
+# columns that ``read_comments`` adds: they order rows as the files do
+PLACE = ("_file", "_start", "_row")
+
+
+def read_comments(spark: SparkSession, path: str) -> DataFrame:
+    """Comments with a header (username, comment[, custom_id]) and each row's place in the files.
+
+    Files are ordered by path, rows as they stand; a file with fields over several lines is read by one task.
+    """
+    d = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return d.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                    F.monotonically_increasing_id().alias("_row"))

@@ -17,6 +17,8 @@ def test_cli_steps(spark):
     assert main(["requests", f"{base}/comments", f"{base}/requests"]) == 0
     assert main(["labels", f"{base}/requests", f"{base}/responses", f"{base}/data"]) == 0
     assert main(["split", f"{base}/data/purged_labeled", f"{base}/split"]) == 0
+    assert main(["train", f"{base}/split", f"{base}/model"]) == 0
+    assert spark.read.parquet(f"{base}/model/candidates").where("chosen = 1").count() == 1
     p = fx.preds(spark, SF001).select("custom_id", "message", "true_label", F.col("tuned_pred").alias("predicted_label"),
                                       "confidence")
     p.write.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{base}/results")
