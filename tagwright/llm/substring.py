@@ -7,6 +7,7 @@ the difference cover {1, 2, 4}: for any two positions i, j some d < 7 puts both
 i + d and j + d on cover positions, and the anchor there lies inside the 13
 words. So equal passages share an aligned anchor, wherever they begin.
 
+0. A text that a smaller id has too is removed as a whole and takes no part in what follows.
 1. Anchors that occur in two documents or more (by hash) mark candidates.
 2. Around its marked anchors a document extends to all windows that hold one; these are
    grouped by a 128-bit hash, and those that a smaller id has too are removed.
@@ -25,9 +26,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tagwright.llm.common import words_of
+from tagwright.llm.common import text_key, words_of
+from tagwright.session import ensure_checkpoint_dir
 
 WINDOW, PERIOD, COVER = 13, 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
@@ -160,10 +162,24 @@ def _by_doc(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
+    """doc, text, copy: whether an equal text has a smaller id. Such a copy is removed as a whole, whatever else repeats,
+    and its windows are those of that text: the steps below leave it out.
 
-
-def removed_windows(docs: DataFrame) -> DataFrame:
+    Texts are shuffled once, by document; every later join on the document reuses that shuffle.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    every = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
+    keys = every.select("doc", text_key("text").alias("key"))
+    # stored: texts with several ids only; a text with any number of copies is pre-aggregated, the join may be split
+    shared = (keys.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+              .where("low < high").select("key", "low").checkpoint())
+    copies = (keys.join(shared, "key").where(F.col("doc") > F.col("low"))
+              .groupBy(F.col("doc").alias("_copy")).agg(F.collect_set("key").alias("_keys")).checkpoint())
+    same = F.coalesce(F.array_contains("_keys", text_key("text")), F.lit(False))
+    return every.join(copies, F.col("doc") == F.col("_copy"), "left").select("doc", "text", same.alias("copy"))
+
+
+def removed_windows(texts: DataFrame) -> DataFrame:
     """(doc, k0): hashes of the windows of a document that a smaller document has too."""
     def anchors(row):
         h = word_hashes(words_of(row["text"]))
@@ -183,7 +199,7 @@ def removed_windows(docs: DataFrame) -> DataFrame:
         _, one = np.unique(a, return_index=True)
         return [a[one], b[one]]
 
-    texts = _texts(docs)
+    texts = texts.where(~F.col("copy")).select("doc", "text")
     marked = _repeated(texts.mapInArrow(lambda s: _batches(s, anchors, 1, True), _schema(1)), 1, with_first=True)
     held = texts.join(_by_doc(marked, "marks"), F.col("doc") == F.col("_doc")).select("doc", "text", "marks")
     return _repeated(held.mapInArrow(lambda s: _batches(s, windows, 2, False), _schema(2)), 2, with_first=False)
@@ -192,15 +208,18 @@ def removed_windows(docs: DataFrame) -> DataFrame:
 def dedup_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and ``kept`` (the words that stay, joined by one space) of every document."""
     texts = _texts(docs)
-    held = texts.join(_by_doc(removed_windows(docs), "gone"), F.col("doc") == F.col("_doc"), "left").select("doc", "text", "gone")
+    held = (texts.join(_by_doc(removed_windows(texts), "gone"), F.col("doc") == F.col("_doc"), "left")
+            .select("doc", "text", "copy", "gone"))
 
     def cut(source):
         for batch in source:
             out = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
-            for doc, text, gone in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc, text, copy, gone in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 words = words_of(text)
                 n = len(words)
-                if gone and n >= WINDOW:
+                if copy and n >= WINDOW:
+                    words = []
+                elif gone and n >= WINDOW:
                     a = run_hashes(word_hashes(words), WINDOW, np.arange(n - WINDOW + 1), _A)
                     start = np.flatnonzero(np.isin(a, np.array(gone, dtype=np.int64).view(np.uint64)))
                     depth = np.zeros(n + 1, dtype=np.int64)
