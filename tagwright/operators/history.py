@@ -30,11 +30,10 @@ def early_stopping(history: DataFrame, patience: int = K.PATIENCE, run: str = "r
     ``patience``; the best epoch is the last improvement up to that point.
     Assumes dense epochs 1..E (use a row number otherwise).
     """
-    h = history_best(history, run, epoch, metric)
-    stop = F.min(F.when(F.col("patience") >= patience, F.col(epoch)))
-    per_run = h.groupBy(run).agg(stop.alias("_stop"), F.max(epoch).alias("_last"))
-    j = h.join(per_run, run)
-    j = j.where(F.col(epoch) <= F.coalesce("_stop", "_last"))
+    whole = Window.partitionBy(run)   # one row per epoch
+    stop = F.min(F.when(F.col("patience") >= patience, F.col(epoch))).over(whole)
+    h = history_best(history, run, epoch, metric).withColumn("_stop", stop)
+    j = h.where(F.col("_stop").isNull() | (F.col(epoch) <= F.col("_stop")))
     return j.groupBy(run).agg(
         F.max(epoch).cast("int").alias("stop_epoch"),
         F.max(F.col("_stop").isNotNull().cast("int")).alias("stopped"),

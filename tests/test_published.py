@@ -34,5 +34,5 @@ def test_report_reproduces_published_table(spark):
         row = rep[("class", key)] if isinstance(key, int) else rep[(key, None)]
         assert (round(row.precision, 2), round(row.recall, 2), round(row.f1, 2), row.support) == (p, r, f, n), key
     assert round(rep[("accuracy", None)].f1, 4) == PUBLISHED_ACCURACY
-    lines = [r.value for r in TX.report_lines(M.classification_report(df)).collect()]
+    lines = [r.value for r in TX.report_text(M.classification_report(df)).collect()]
     assert "Accuracy: 0.7210" in lines
