@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 SUB_BATCH_CHARS = 2_000_000  # texts handled together by one vectorised call inside a task
@@ -67,7 +68,6 @@ def by_size(texts: Iterable[str | None], limit: int = SUB_BATCH_CHARS) -> Iterat
 
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list], ], dict[str, list]], schema: StructType | str) -> DataFrame:
     """``mapInArrow`` over record batches given and taken as ``{column: list}``."""
-    from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
     struct = _parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -82,6 +82,29 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list], ], dict[str, list]
     return df.mapInArrow(run, struct)
 
 
+def add_column(df: DataFrame, source: str, out: str, kind: str, fn: Callable[[list], pa.Array], chars: int = 500_000) -> DataFrame:
+    """Add (or replace) the column ``out`` = fn(values of ``source``), computed for a few values at a time: about ``chars``
+    characters (or list entries). A narrow map; the other columns pass through as they are."""
+    keep = [c for c in df.columns if c.lower() != out.lower()]
+    at, places = df.columns.index(source), [df.columns.index(c) for c in keep]
+    schema = StructType([*[df.schema[i] for i in places], StructField(out, _parse_datatype_string(kind))])
+    names = [f.name for f in schema]
+
+    def run(batches):
+        for b in batches:
+            begin = held = 0
+            column = b.column(at)
+            sizes = pc.fill_null((pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length)(column), 0).to_pylist()
+            for i, size in enumerate(sizes):
+                held += size
+                if held >= chars or i + 1 == b.num_rows:
+                    part = b.slice(begin, i + 1 - begin)
+                    yield pa.RecordBatch.from_arrays([*[part.column(k) for k in places], fn(part.column(at))], names=names)
+                    begin, held = i + 1, 0
+
+    return df.mapInArrow(run, schema)
+
+
 def bounded_labels(labels: DataFrame, target: str, max_rows: int, where: Column | None = None) -> DataFrame:
     """At most ``max_rows`` labelled ids (half of them per class), chosen by a hash of the id: the same on every run.
 

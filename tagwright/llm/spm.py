@@ -26,14 +26,15 @@ from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from tagwright.llm.common import add_column
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 200_000   # per generation; two generations are held
+CACHE_WORDS = 120_000   # per generation; two generations are held
 
 
 @dataclass(frozen=True)
@@ -75,7 +76,7 @@ def checked(p: Pieces) -> Pieces:
 
 
 class Encoder:
-    """Segments words; one per Python worker and model."""
+    """Segments texts; one per Python worker and model."""
 
     def __init__(self, pieces: Pieces):
         self.automaton = ahocorasick.Automaton()
@@ -85,126 +86,116 @@ class Encoder:
         self.single = {t for t in pieces.texts if len(t) == 1}
         self.unknown = min(pieces.scores, default=0.0) - UNKNOWN_PENALTY
         self.bytes = pieces.byte_ids
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-
-    def segment(self, spaces: int, word: str) -> tuple[list[int], float]:
-        """Ids and score of ``spaces`` space marks followed by a word (in which U+2581 is an ordinary character)."""
-        text = SPACE * spaces + word
-        read = SPACE * spaces + word.replace(SPACE, "\0") if SPACE in word else text
+        # words by the number of space marks before them (0 at the start of a line, else 1): recent ones and those before
+        self.young: list[dict[str, tuple[int, ...]]] = [{}, {}]
+        self.old: list[dict[str, tuple[int, ...]]] = [{}, {}]
+
+    def segment(self, marks: int, word: str) -> tuple[tuple[int, ...], float]:
+        """Ids and score of ``marks`` space marks followed by a word (in which U+2581 is an ordinary character)."""
+        text = SPACE * marks + word
+        read = SPACE * marks + word.replace(SPACE, "\0") if SPACE in word else text
         n = len(text)
         best, back = [0.0] + [float("-inf")] * n, [None] * (n + 1)
-        done = 0
-        single, unknown = self.single, self.unknown
-
-        def spell(upto: int) -> None:   # byte pieces of the characters before position upto
-            nonlocal done
-            while done < upto:
-                if read[done] not in single and best[done] + unknown > best[done + 1]:
-                    best[done + 1], back[done + 1] = best[done] + unknown, (1, -1)
-                done += 1
-
-        for end, (size, score, i) in self.automaton.iter(read):
-            if done < end:
-                spell(end)
-            got = best[end + 1 - size] + score
-            if got > best[end + 1]:
-                best[end + 1], back[end + 1] = got, (size, i)
-        spell(n)
+        if self.single.issuperset(read):
+            for end, piece in self.automaton.iter(read):
+                got = best[end + 1 - piece[0]] + piece[1]
+                if got > best[end + 1]:
+                    best[end + 1], back[end + 1] = got, piece
+        else:
+            done = 0
+            ends = [*self.automaton.iter(read), (n, None)]
+            for end, piece in ends:
+                for at in range(done, end):   # byte pieces of the characters before, before anything starts after them
+                    if read[at] not in self.single and best[at] + self.unknown > best[at + 1]:
+                        best[at + 1], back[at + 1] = best[at] + self.unknown, (1, 0.0, -1)
+                done = max(done, end)
+                if piece and best[end + 1 - piece[0]] + piece[1] > best[end + 1]:
+                    best[end + 1], back[end + 1] = best[end + 1 - piece[0]] + piece[1], piece
         out: list[int] = []
         at = n
         while at:
-            size, i = back[at]
+            size, _, i = back[at]
             if i < 0:
                 out.extend(self.bytes[b] for b in reversed(text[at - 1].encode("utf-8", "replace")))
             else:
                 out.append(i)
             at -= size
-        return out[::-1], best[n]
-
-    def word(self, key: str) -> list[int]:
-        """Ids of a key: its leading U+001F are space marks (see encode), cached."""
-        ids = self.young.get(key)
-        if ids is None:
-            ids = self.old.get(key)
-            if ids is None:
-                word = key.lstrip("\x1f")
-                ids = self.segment(len(key) - len(word), word)[0]
-            if len(self.young) >= CACHE_WORDS:
-                self.old, self.young = self.young, {}
-            if len(key) <= 64:
-                self.young[key] = ids
+        out.reverse()
+        return tuple(out), best[n]
+
+    def word(self, marks: int, word: str) -> tuple[int, ...]:
+        """Ids of a word that isn't among the recent ones, which it joins."""
+        if marks > 1:
+            return self.segment(marks, word)[0]
+        ids = self.old[marks].get(word) or self.segment(marks, word)[0]
+        if len(self.young[marks]) >= CACHE_WORDS:
+            self.old[marks], self.young[marks] = self.young[marks], {}
+        if len(word) <= 64:
+            self.young[marks][word] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None, out: list[int] | None = None) -> list[int]:
+        """Ids of a text, appended to ``out`` if given."""
+        out = [] if out is None else out
         if not text:
-            return []
-        out: list[int] = []
-        marks = 0
-        known = self.young
-        for word in text.split(" "):
-            marks += 1
-            if not word:
-                continue
-            if marks == 1 and "\n" not in word and word[0] != "\x1f":
-                known = self.young
-                ids = known.get("\x1f" + word)
-                out += ids if ids is not None else self.word("\x1f" + word)
+            return out
+        marks = 1    # one before the text
+        for line_no, line in enumerate(text.split("\n")):
+            if line_no:
+                out.append(self.bytes[10])
+            recent = self.young[1]
+            for k, word in enumerate(line.split(" ")):
+                if k:
+                    if marks == 0 and (ids := recent.get(word)):
+                        out += ids
+                        continue
+                    marks += 1
+                if word:
+                    out += self.young[marks].get(word) or self.word(marks, word) if marks < 2 else self.word(marks, word)
+                    recent, marks = self.young[1], 0
+            if marks:
+                out += self.segment(marks, "")[0]
                 marks = 0
-                continue
-            for i, part in enumerate(word.split("\n")):
-                if i:
-                    if marks:
-                        out += self.segment(marks, "")[0]
-                        marks = 0
-                    out.append(self.bytes[10])
-                if part:
-                    if part[0] == "\x1f":   # the mark itself in a text: not cached
-                        out += self.segment(marks, part)[0]
-                    else:
-                        out += self.word("\x1f" * marks + part)
-                    marks = 0
-        if marks:
-            out += self.segment(marks, "")[0]
         return out
 
 
-def decode_table(pieces: Pieces) -> dict[int, bytes]:
-    table = {i: t.replace(SPACE, " ").encode("utf-8") for t, i in zip(pieces.texts, pieces.ids)}
-    table.update({i: bytes([b]) for b, i in enumerate(pieces.byte_ids)})
+def decode_table(pieces: Pieces) -> list[bytes]:
+    """The bytes of each id; ids of control and unknown pieces have none."""
+    table = [b""] * (max([*pieces.ids, *pieces.byte_ids]) + 1)
+    for t, i in zip(pieces.texts, pieces.ids):
+        table[i] = t.replace(SPACE, " ").encode("utf-8")
+    for b, i in enumerate(pieces.byte_ids):
+        table[i] = bytes([b])
     return table
 
 
-def decode_ids(ids, table: dict[int, bytes]) -> str:
-    """The text of ids; ids of control or unknown pieces have none."""
-    raw = b"".join([table.get(i, b"") for i in ids])
+def decode_ids(ids: list[int], table: list[bytes]) -> str:
+    raw = b"".join([table[i] for i in ids])
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
 def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: str = "ids") -> DataFrame:
     """Add the ids of each whole text. A narrow map: no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(vars(pieces))   # bounded by the model's vocabulary
-    worker: dict[str, Encoder] = {}
 
-    @pandas_udf("array<int>")
-    def ids_of(texts: pd.Series) -> pd.Series:
-        if not worker:
-            worker["encoder"] = Encoder(Pieces(**held.value))
-        code = worker["encoder"].encode
-        return pd.Series([np.array(code(t), dtype=np.int32) for t in texts], dtype=object)
+    def ids_of(texts: pa.Array) -> pa.Array:
+        # the worker's own copy of the broadcast also keeps the automaton and its words from task to task
+        encoder = held.value.get("_encoder") or Encoder(Pieces(**held.value))
+        held.value["_encoder"] = encoder
+        ids, ends = [], [0]
+        for t in texts.to_pylist():
+            ends.append(len(encoder.encode(t, ids)))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, dtype=np.int32)))
 
-    return docs.withColumn(out, ids_of(F.col(text_col)))
+    return add_column(docs, text_col, out, "array<int>", ids_of)
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add the text of each id list. A narrow map: no shuffle."""
-    held = encoded.sparkSession.sparkContext.broadcast(vars(pieces))
-    worker: dict[str, dict] = {}
+    """Add the text of each id list (null: empty). A narrow map: no shuffle."""
+    held = encoded.sparkSession.sparkContext.broadcast(decode_table(pieces))
 
-    @pandas_udf("string")
-    def text_of(lists: pd.Series) -> pd.Series:
-        if not worker:
-            worker["table"] = decode_table(Pieces(**held.value))
-        return pd.Series([decode_ids(x.tolist(), worker["table"]) if x is not None else "" for x in lists], dtype=object)
+    def text_of(lists: pa.Array) -> pa.Array:
+        table = held.value
+        return pa.array([decode_ids(x or [], table) for x in lists.to_pylist()], pa.string())
 
-    return encoded.withColumn(out, text_of(F.col(ids_col)))
+    return add_column(encoded, ids_col, out, "string", text_of)
