@@ -82,14 +82,16 @@ def _signed(x: int) -> int:
 
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     """Links (a, b), a < b, between distinct fingerprints (column fp) whose components are those of all close pairs."""
+    ensure_checkpoint_dir(fps.sparkSession)
     if distance % 2:
         raise ValueError("variants at half the distance need an even distance")
     masks = _masks(distance)
     keys = F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("k"))
                      for i, m in enumerate(masks)])
     blocks = fps.select("fp", F.explode(keys).alias("_")).select("_.m", "_.k", "fp")
-    sizes = blocks.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = blocks.join(sizes, ["m", "k"])
+    # stored, as every grouped side of a join here: with a shuffle on either side a hot key can be split
+    sizes = blocks.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
+    shared = blocks.join(sizes, ["m", "k"]).checkpoint()
 
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     few = shared.where(F.col("n") <= PAIRS_UP_TO).groupBy("m", "k").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
@@ -104,7 +106,7 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     for _ in range(distance // 2):
         flipped = F.transform(F.array(*bits), lambda b: F.col("v").bitwiseXOR(b))
         variants = variants.select("fp", F.explode(F.array_append(flipped, F.col("v"))).alias("v")).distinct()
-    smallest = variants.groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("_b")).where("a < _b")
+    smallest = variants.groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("_b")).where("a < _b").checkpoint()
     stars = variants.join(smallest, "v").where(F.col("fp") > F.col("a")).select("a", F.col("fp").alias("b")).where(far <= distance)
     return pairs.unionByName(stars).distinct()
 
@@ -121,9 +123,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         swapped = F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
         both = e.select(F.explode(F.array(F.struct("u", "v"), swapped)).alias("_")).select("_.u", "_.v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct().checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -140,7 +142,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFra
     roots = components(links(nodes.select("fp"), distance))
     # a root's own row is missing from (node, root): a fingerprint without one is its own root
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id")).checkpoint()
     group = rooted.join(lowest, "root").select("fp", "root", "component_id")
     return fps.join(group, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
