@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tagwright import schemas
 from tagwright.plans import workflows as W
-from tagwright.session import get_spark
+from tagwright.session import get_spark, release_scratch
 from tagwright.sources import csv as CSV
 
 
@@ -45,6 +45,7 @@ def main(argv: list[str]) -> int:
                                T.StructField("confidence", T.DoubleType())])
         out = W.evaluate_predictions(CSV.read_csv_table(spark, args[0], schema), args[1])
         out["report"].show(truncate=False)
+    release_scratch(spark)
     return 0
 
 

@@ -37,9 +37,12 @@ def write_label_requests(comments: DataFrame, out_path: str, template: str = K.D
     """
     if template_path:
         template = TX.template_text(comments.sparkSession, template_path)
-    if order_cols is None:
-        order_cols = CSV.PLACE if set(CSV.PLACE) <= set(comments.columns) else ("username", "comment")
-    c = P.ensure_custom_id(comments, list(order_cols)).drop(*CSV.PLACE)
+    if order_cols is None and set(CSV.PLACE) <= set(comments.columns):
+        order_cols = CSV.PLACE
+    elif "custom_id" not in comments.columns:  # a row number at the end: equal comments don't share one range
+        comments = comments.withColumn(CSV.PLACE[-1], F.monotonically_increasing_id())
+        order_cols = (*(order_cols or ("username", "comment")), CSV.PLACE[-1])
+    c = P.ensure_custom_id(comments, list(order_cols or ())).drop(*CSV.PLACE)
     req = P.build_request(c, template)
     J.write_requests_jsonl(req, out_path)
     P.without_request(c).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}_quarantine")

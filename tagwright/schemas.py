@@ -2,14 +2,13 @@
 
 from pyspark.sql import types as T
 
-S, I, L, D, B = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType()
+S, I, B = T.StringType(), T.IntegerType(), T.BooleanType()
 
 
 def _f(name, dtype, nullable=True):
     return T.StructField(name, dtype, nullable)
 
 
-SIMPLE = T.StructType([_f("username", S), _f("comment", S), _f("class", I)])
 LABELED = T.StructType([_f("custom_id", S), _f("message", S), _f("class", I)])
 
 MESSAGE = T.StructType([_f("role", S), _f("content", S)])
@@ -19,19 +18,3 @@ REQUEST = T.StructType([
         _f("model", S), _f("messages", T.ArrayType(MESSAGE)), _f("stream", B), _f("max_tokens", I),
     ])),
 ])
-RESPONSE = T.StructType([
-    _f("custom_id", S),
-    _f("response", T.StructType([
-        _f("body", T.StructType([
-            _f("choices", T.ArrayType(T.StructType([_f("message", T.StructType([_f("content", S)]))]))),
-        ])),
-    ])),
-])
-RESPONSE_WITH_CORRUPT = T.StructType(RESPONSE.fields + [_f("_corrupt_record", S)])
-
-PREDICTIONS = T.StructType([
-    _f("custom_id", S), _f("message", S), _f("true_label", I), _f("predicted_label", I), _f("model_output", S),
-])
-HISTORY = T.StructType([
-    _f("run_id", S), _f("epoch", I), _f("train_loss", D), _f("val_loss", D), _f("val_acc", D), _f("val_f1", D),
-])

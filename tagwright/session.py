@@ -82,7 +82,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tagwright-{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{base}/tagwright-{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+_scratch: list[str] = []   # what scratch_path has handed out and nobody has dropped
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete every written intermediate table of this process; call it when no lazy result reads them any more."""
+    while _scratch:
+        drop_path(spark, _scratch[-1])
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -90,3 +100,5 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+    if path in _scratch:
+        _scratch.remove(path)

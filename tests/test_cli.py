@@ -4,13 +4,12 @@ from pyspark.sql import functions as F
 
 from tagwright.__main__ import main
 from tagwright.plans import fixtures as fx
-from tagwright.session import scratch_path
 
 from conftest import SF001
 
 
-def test_cli_steps(spark):
-    base = scratch_path(spark, "t-cli")
+def test_cli_steps(spark, tmp_path):
+    base = str(tmp_path)
     fx.comments(spark, SF001).select("custom_id", "username", "comment").write.option("header", True) \
         .option("escape", '"').option("quoteAll", True).csv(f"{base}/comments")
     fx.responses(spark, SF001).orderBy("line_no").select(F.col("raw").alias("value")).write.text(f"{base}/responses")

@@ -7,7 +7,8 @@ import sys
 from pyspark import SparkConf
 
 from conftest import ROOT, SF001
-from tagwright.session import drop_path, missing_settings, scratch_path
+from tagwright import session
+from tagwright.session import missing_settings
 
 
 def test_submitted_settings_are_kept():
@@ -39,8 +40,12 @@ print("ROWS", E.queries()["batch_score_row_isolation"](spark, {SF001!r}).count()
     assert "ROWS" in out.stdout, out.stderr[-2000:]
 
 
-def test_drop_path(spark):
-    path = scratch_path(spark, "test")
-    spark.range(3).write.parquet(path)
-    drop_path(spark, path)
-    assert not os.path.exists(path.removeprefix("file:"))
+def test_scratch_tables_are_dropped(spark, monkeypatch):
+    monkeypatch.setattr(session, "_scratch", [])
+    paths = [session.scratch_path(spark, "test") for _ in range(3)]
+    for path in paths:
+        spark.range(3).write.parquet(path)
+    session.drop_path(spark, paths[0])
+    assert [os.path.exists(p.removeprefix("file:")) for p in paths] == [False, True, True]
+    session.release_scratch(spark)
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths) and not session._scratch
