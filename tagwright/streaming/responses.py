@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagwright.operators.labels import last_valid_per_key, parse_responses
-from tagwright.session import scratch_path
+from tagwright.session import drop_path, scratch_path
 
 
 def response_lines_stream(spark: SparkSession, src_path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -61,3 +61,25 @@ def current_labels(spark: SparkSession, table_path: str) -> DataFrame:
     """Latest valid class per id over all micro-batches so far."""
     log = spark.read.parquet(table_path)
     return last_valid_per_key(log, order_col="line_no")
+
+
+def compact_labels(spark: SparkSession, table_path: str) -> int:
+    """Merge the changelog's micro-batches so far into one partition; returns how many were merged.
+
+    The merged rows (latest answer per id, with its line key) are written first, then the merged partitions are dropped:
+    a crash in between leaves rows twice, which ``current_labels`` resolves to the same labels. Not for use while another
+    job reads the table; the stream itself only adds partitions and may go on.
+    """
+    log = spark.read.parquet(table_path)
+    batches = sorted(r["batch_id"] for r in log.select("batch_id").distinct().collect())   # one per partition folder
+    if len(batches) < 2:
+        return 0
+    newest = batches[-1]
+    merged = min(batches[0], 0) - 1   # ids of merged partitions are negative and never those of a micro-batch
+    (log.where(F.col("batch_id") <= newest).groupBy("custom_id")
+     .agg(F.max_by("class", "line_no").alias("class"), F.max("line_no").alias("line_no"))
+     .withColumn("batch_id", F.lit(merged).cast("bigint"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(table_path))
+    for b in batches:
+        drop_path(spark, f"{table_path.rstrip('/')}/batch_id={b}")
+    return len(batches)

@@ -3,7 +3,7 @@
 import os
 
 from tagwright.session import scratch_path
-from tagwright.streaming.responses import current_labels, start_label_stream
+from tagwright.streaming.responses import compact_labels, current_labels, start_label_stream
 
 
 def _line(cid, content):
@@ -26,3 +26,9 @@ def test_label_stream_two_rounds(spark, tmp_path):
     assert {r.custom_id: r["class"] for r in current_labels(spark, table).collect()} == {"a": 0, "b": 3, "c": 2}
     reasons = sorted(r.reason for r in spark.read.parquet(errors).collect())
     assert reasons == ["bad_format", "bad_json"]
+    assert compact_labels(spark, table) == 2 and compact_labels(spark, table) == 0
+    assert {r.custom_id: r["class"] for r in current_labels(spark, table).collect()} == {"a": 0, "b": 3, "c": 2}
+    (src / "c.jsonl").write_text(_line("a", "[2]") + "\n")
+    start_label_stream(spark, str(src), table, errors, ckpt, available_now=True).awaitTermination(120)
+    assert compact_labels(spark, table) == 2
+    assert {r.custom_id: r["class"] for r in current_labels(spark, table).collect()} == {"a": 2, "b": 3, "c": 2}
