@@ -51,11 +51,18 @@ def train_text_classifier(train: DataFrame, text_col: str = "message", label_col
     d = train.withColumn("_label", F.col(label_col).cast("double"))
     if class_weighted:
         d = B.attach_class_weight(d, B.class_weights(train, label_col), label_col)
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)  # IDF and the optimizer each pass over it
+    stages = text_classifier(text_col, label_col, "weight" if class_weighted else None, **params).getStages()
+    counts = _term_counts(d, stages).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return text_classifier(text_col, label_col, "weight" if class_weighted else None, **params).fit(d)
+        idf = stages[-2].fit(counts)
+        return PipelineModel(stages=[*stages[:-2], idf, stages[-1].fit(idf.transform(counts))])
     finally:
-        d.unpersist()
+        counts.unpersist()
+
+
+def _term_counts(df: DataFrame, stages: list) -> DataFrame:
+    """The rows' hashed term counts, without their texts: IDF and every learner pass over these, no text is cut twice."""
+    return PipelineModel(stages=stages[:-2]).transform(df).drop("_chars", "_pairs", "_tokens", stages[0].getInputCol())
 
 
 def score_classifier(model: PipelineModel, df: DataFrame, key: str = "custom_id", label_col: str = "class",
@@ -86,12 +93,12 @@ def select_best_model(train: DataFrame, validation: DataFrame, reg_params=(0.1,
     """
     stages = text_classifier(text_col, label_col, "weight", algorithm=algorithm, **params).getStages()
     tr = B.attach_class_weight(train.withColumn("_label", F.col(label_col).cast("double")),
-                               B.class_weights(train, label_col), label_col).persist(StorageLevel.MEMORY_AND_DISK)
-    features = Pipeline(stages=stages[:-1]).fit(tr)
-    tr_f = features.transform(tr).select("_features", "_label", "weight").persist(StorageLevel.MEMORY_AND_DISK)
-    va_f = features.transform(validation.withColumn("_label", F.col(label_col).cast("double"))) \
-        .select("_features", "_label").persist(StorageLevel.MEMORY_AND_DISK)
+                               B.class_weights(train, label_col), label_col)
+    counts = [_term_counts(d, stages).persist(StorageLevel.MEMORY_AND_DISK)
+              for d in (tr, validation.withColumn("_label", F.col(label_col).cast("double")))]
     try:
+        idf = stages[-2].fit(counts[0])
+        tr_f, va_f = (idf.transform(c) for c in counts)
         learner = stages[-1]
         param = learner.smoothing if algorithm == "naive_bayes" else learner.regParam
         models, scored = [], None
@@ -106,10 +113,10 @@ def select_best_model(train: DataFrame, validation: DataFrame, reg_params=(0.1,
         rows = M.weighted_prf(scored, by=["candidate", "reg_param"]).select(
             "candidate", "reg_param", F.col("accuracy").alias("val_accuracy"), F.col("f1").alias("val_f1")).collect()
     finally:
-        for d in (tr, tr_f, va_f):
-            d.unpersist()
+        for c in counts:
+            c.unpersist()
     best = max(rows, key=lambda r: (r["val_f1"], -r["candidate"]))["candidate"] if rows else 0
     table = train.sparkSession.createDataFrame(
         [(r["candidate"], r["reg_param"], r["val_accuracy"], r["val_f1"], int(r["candidate"] == best)) for r in rows],
         "candidate int, reg_param double, val_accuracy double, val_f1 double, chosen int")
-    return Selection(table, PipelineModel(stages=[*features.stages, models[best]]))
+    return Selection(table, PipelineModel(stages=[*stages[:-2], idf, models[best]]))
