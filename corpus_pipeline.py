@@ -14,7 +14,7 @@ from tagwright.llm import linededup, mixing, simhash, spm, toxicity
 from tagwright.session import drop_path, scratch_path
 from tagwright.sources.tables import load
 
-NEAR_COPY_SHARE = 0.8  # a document that loses this share of its words to earlier text is a copy of it
+NEAR_COPY_SHARE = 0.8  # a document that loses this share of its words and is as like an earlier document is a copy of it
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeated runs of lines; what is a copy of earlier text by 0.8 of its words goes as a whole."""
+    """Deletes later repeated runs of lines; what has no words left, or is a copy of one earlier document by 0.8, goes as a whole."""
     return linededup.dedup_documents(docs, NEAR_COPY_SHARE)
 
 
