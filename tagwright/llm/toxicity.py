@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tagwright.llm.common import by_size, labelled_texts, packed, unpacked
+from tagwright.llm.common import by_size, labelled_texts, packed, unpacked, utf8
 
 SPACES = np.array([9, 10, 11, 12, 13, 32], dtype=np.uint32)
 
@@ -35,7 +35,7 @@ class Config:
     dim: int = 8
     sizes: tuple[int, ...] = (3, 4, 5)
     passage_words: int = 8
-    max_rows: int = 4000       # bound of the labelled sample the model is fitted on
+    max_rows: int = 8000       # bound of the labelled sample the model is fitted on
     epochs: int = 25
     rate: float = 0.05
     decay: float = 3e-4
@@ -102,11 +102,53 @@ def passage_scores(grams: np.ndarray, owner: np.ndarray, count: int, table: np.n
     return total / np.maximum(1, np.bincount(owner, minlength=count))
 
 
-def _means(grams: np.ndarray, edge: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Mean of the table's values over each stretch of grams between two edges; an empty stretch has 0."""
-    total = np.concatenate([[0.0], np.cumsum(table[grams[edge[0]:edge[-1]]], dtype=np.float64)])
-    at = edge - edge[0]
-    return (total[at[1:]] - total[at[:-1]]) / np.maximum(1, np.diff(edge))
+@dataclass
+class Sample:
+    """Texts as numbers of words: n-grams don't reach over a word's end, so each distinct word is cut once."""
+    words: np.ndarray         # word of each place, 4 bytes each
+    edge: np.ndarray          # place where each passage begins, and the end
+    passages: np.ndarray      # passages of each text
+    grams: np.ndarray         # buckets of the n-grams, word by word
+    begin: np.ndarray         # where each word's n-grams begin, and the end
+
+    @classmethod
+    def of(cls, texts: list[str], config: Config) -> Sample:
+        known: dict[bytes, int] = {}
+        parts, sizes, passages = [], [], np.empty(len(texts), dtype=np.int64)
+        for i, t in enumerate(texts):
+            ids = np.array([known.setdefault(w, len(known)) for w in utf8(t.lower()).split()], dtype=np.int32)
+            parts.append(ids)
+            passages[i] = many = max(1, len(ids) // config.passage_words)
+            sizes.append(np.append(np.full(many - 1, config.passage_words), len(ids) - (many - 1) * config.passage_words))
+        grams, counts = [], []
+        for group in by_size((w.decode() for w in known), 200_000):
+            g, o, _ = ngrams(group, config)
+            grams.append(g[np.argsort(o, kind="stable")].astype(np.int32))
+            counts.append(np.bincount(o, minlength=len(group)))
+        none = [np.zeros(0, dtype=np.int32)]
+        ends = lambda x: np.concatenate([[0], np.cumsum(np.concatenate(x))]).astype(np.int64)
+        return cls(np.concatenate(parts + none), ends(sizes), passages, np.concatenate(grams + none), ends(counts + none))
+
+    def scores(self, table: np.ndarray) -> np.ndarray:
+        """Mean of the table's values over each passage's n-grams; an empty passage has 0."""
+        total = np.concatenate([[0.0], np.cumsum(table[self.grams], dtype=np.float64)])
+        value, count = np.diff(total[self.begin]), np.diff(self.begin)
+        out = np.zeros(len(self.edge) - 1)
+        for k in range(0, len(out), 100_000):
+            edge = self.edge[k:k + 100_001]
+            ids, filled = self.words[edge[0]:edge[-1]], np.flatnonzero(np.diff(edge))
+            if len(filled):
+                at = edge[filled] - edge[0]
+                out[k + filled] = np.add.reduceat(value[ids], at) / np.maximum(1, np.add.reduceat(count[ids], at))
+        return out
+
+    def grams_of(self, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams of the passages, one after another; how many each has)."""
+        ids = np.concatenate([self.words[self.edge[p]:self.edge[p + 1]] for p in passages])
+        own = np.repeat(np.arange(len(passages)), self.edge[passages + 1] - self.edge[passages])
+        count = self.begin[ids + 1] - self.begin[ids]
+        at = np.arange(count.sum()) + np.repeat(self.begin[ids] - (np.cumsum(count) - count), count)
+        return self.grams[at], np.bincount(own, count, len(passages)).astype(np.int64)
 
 
 def text_logits(texts: list[str], table: np.ndarray, bias: float, config: Config) -> np.ndarray:
@@ -124,31 +166,20 @@ def fit(texts: list[str], labels: list[int], config: Config = Config()) -> Model
     bias = np.zeros(2)
     if len(set(labels)) < 2:
         return Model(config, vectors * 0, weights, np.log(np.array([1 - share, share])))
-    # the n-grams of all passages side by side (4 bytes each); edge: where each passage begins
-    grams, filled = np.empty(len(config.sizes) * sum(len(t.lower()) + 2 for t in texts), dtype=np.int32), 0
-    sizes_of, heads, base = [], [0], 0
-    for group in by_size(texts, 200_000):
-        g, o, h = ngrams(group, config)
-        grams[filled:filled + len(g)] = g[np.argsort(o, kind="stable")]
-        filled += len(g)
-        sizes_of.append(np.bincount(o, minlength=int(h[-1])))
-        heads += (h[1:] + base).tolist()
-        base += int(h[-1])
-    head = np.asarray(heads[:-1])
-    edge = np.concatenate([[0], np.cumsum(np.concatenate(sizes_of))])
-    lengths = np.diff(heads)
+    sample = Sample.of(texts, config)
+    lengths, base = sample.passages, len(sample.edge) - 1
+    head = np.cumsum(lengths) - lengths
     class_weight = 0.5 / np.array([1 - share, share])
     g2v, g2w, g2b = np.full(config.buckets, 1e-8), np.full(weights.shape, 1e-8), np.full(2, 1e-8)
     for epoch in range(config.epochs):
         diff = (vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32)
-        score = np.concatenate([_means(grams, edge[k:k + 100_001], diff) for k in range(0, base, 100_000)])
+        score = sample.scores(diff)
         top = np.maximum.reduceat(score, head)
         best = np.maximum.reduceat(np.where(score == np.repeat(top, lengths), np.arange(base), -1), head)
         if epoch == 0:  # before anything is learned, any passage is as good
             best = head + rng.integers(0, lengths)
         for pick in np.array_split(rng.permutation(len(y)), max(1, len(y) // config.batch)):
-            sizes = edge[best[pick] + 1] - edge[best[pick]]
-            flat = np.concatenate([grams[edge[p]:edge[p + 1]] for p in best[pick]])
+            flat, sizes = sample.grams_of(best[pick])
             row = np.repeat(np.arange(len(pick)), sizes)
             mean = np.stack([np.bincount(row, vectors[flat, k], len(pick)) for k in range(config.dim)], axis=1)
             mean /= np.maximum(1, sizes)[:, None]

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tagwright.llm import toxicity
+from tagwright.llm.common import bounded_labels
 from tagwright.sources.tables import load
 
 FAST = toxicity.Config(buckets=1 << 14, epochs=15)
@@ -76,3 +77,23 @@ def test_one_class_empty_and_hostile_rows(spark, hostile):
     mixed = spark.createDataFrame([(5, 0), (6, 0), (7, 1), (8, 1)], "doc_id long, toxic int")
     kept = toxicity.reject_toxic(hostile, mixed, config=FAST)
     assert kept.columns == hostile.columns and {5, 6} <= {r["doc_id"] for r in kept.collect()}
+
+
+def test_sample_takes_8000_labelled_rows(spark):
+    labels = spark.range(10_000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    chosen = bounded_labels(labels, "toxic", toxicity.Config().max_rows).groupBy("label").count()
+    assert {r["label"]: r["count"] for r in chosen.collect()} == {0: 4000, 1: 4000}
+
+
+def test_sample_holds_words_not_ngrams():
+    config = toxicity.Config(passage_words=3)
+    rng = np.random.default_rng(3)
+    texts = ["", " ", "A bc\u00a0d def\nghij k l m n", "\ud800 x", "\u03a3\u03a3 \u0130 \u03a3", *(" ".join(f"Wort{i}" for i in rng.integers(0, 40, n)) for n in (1, 2, 3, 400))]
+    sample, table = toxicity.Sample.of(texts, config), rng.normal(size=config.buckets)
+    grams, owner, head = toxicity.ngrams(texts, config)
+    assert np.allclose(sample.scores(table), toxicity.passage_scores(grams, owner, int(head[-1]), table))
+    assert (np.cumsum(sample.passages) == head[1:]).all()
+    flat, sizes = sample.grams_of(np.arange(int(head[-1])))
+    assert (sizes == np.bincount(owner, minlength=int(head[-1]))).all()
+    assert all(sorted(got) == sorted(grams[owner == i]) for i, got in enumerate(np.split(flat, np.cumsum(sizes)[:-1])))
+    assert len(sample.grams) < len(grams) / 4
