@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tagwright.llm import (digest, linededup, mixing, oracles, quality, secretscan, simhash, spm, substring, toxicity,
+from tagwright.llm import (digest, hardneg, linededup, mixing, oracles, quality, secretscan, simhash, spm, substring, toxicity,
                            urlfilter)
 from tagwright.sources.tables import load
 
@@ -100,9 +100,15 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = load(spark, sf, "embeddings")
+    planted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(hardneg.usable(vectors, "embedding", planted), F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filter, op3_line_dedup, op4_mix_sources, op5_sentencepiece,
-                            op6_quality_rules, op7_fingerprints, op8_substring_dedup, op9_secret_scan, op10_toxicity)}
+                            op6_quality_rules, op7_fingerprints, op8_substring_dedup, op9_secret_scan, op10_toxicity, op13_hard_negatives)}
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": oracles.URL_FILTER, "op3_line_dedup": oracles.LINE_DEDUP,
                               "op4_mix_sources": oracles.MIXING, "op8_substring_dedup": oracles.PASSAGES,
-                              "op9_secret_scan": oracles.secrets()}
+                              "op9_secret_scan": oracles.secrets(), "op13_hard_negatives": oracles.HARD_NEGATIVES}
