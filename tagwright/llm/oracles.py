@@ -124,3 +124,27 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 QUALIFY rank <= 3
 """
+
+_TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_SHARE = "(1 + (1000000000::HUGEINT * ({n} + 2)) // ({size} + 2 * {terms}))"
+_DIVERGES = "(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {lit(_TERM)}) AS w FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+l AS (SELECT lang, term, count(*) AS total FROM t GROUP BY 1, 2 HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT g.lang, count(l.term) AS terms, coalesce(sum(l.total), 0)::BIGINT AS lang_size FROM (SELECT DISTINCT lang FROM d) g LEFT JOIN l ON g.lang = l.lang GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN l USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::BIGINT AS size FROM (SELECT DISTINCT lang, source FROM d) g
+      LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n, {_SHARE.format(n="coalesce(c.n, 0)", size="g.size", terms="v.terms")} AS p,
+        {_SHARE.format(n="l.total", size="v.lang_size", terms="v.terms")} AS q
+      FROM g JOIN v ON g.lang = v.lang JOIN l ON g.lang = l.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum({_DIVERGES.format(p="a.p", q="b.p")}) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, ({_DIVERGES.format(p="p", q="q")})::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
