@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tagwright.llm import (digest, divergence, hardneg, linededup, mixing, oracles, quality, secretscan, simhash, spm, substring, toxicity,
+from tagwright.llm import (digest, divergence, hardneg, linededup, minhash, mixing, oracles, quality, secretscan, simhash, spm, substring, toxicity,
                            urlfilter)
 from tagwright.sources.tables import load
 
@@ -100,6 +100,10 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_copies(load(spark, sf, "documents"), shingle=4, percent=80).drop("text_key")
+
+
 def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(load(spark, sf, "documents"), min_docs=10, k=10)
 
@@ -112,8 +116,9 @@ def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filter, op3_line_dedup, op4_mix_sources, op5_sentencepiece,
-                            op6_quality_rules, op7_fingerprints, op8_substring_dedup, op9_secret_scan, op10_toxicity, op12_source_divergence, op13_hard_negatives)}
+                            op6_quality_rules, op7_fingerprints, op8_substring_dedup, op9_secret_scan, op10_toxicity, op11_minhash_near_dedup, op12_source_divergence, op13_hard_negatives)}
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": oracles.URL_FILTER, "op3_line_dedup": oracles.LINE_DEDUP,
                               "op4_mix_sources": oracles.MIXING, "op8_substring_dedup": oracles.PASSAGES,
-                              "op9_secret_scan": oracles.secrets(), "op12_source_divergence": oracles.DIVERGENCE,
+                              "op9_secret_scan": oracles.secrets(), "op11_minhash_near_dedup": oracles.NEAR_COPIES,
+                              "op12_source_divergence": oracles.DIVERGENCE,
                               "op13_hard_negatives": oracles.HARD_NEGATIVES}

@@ -16,7 +16,7 @@ def test_query_matches_oracle(spark, key):
 
 def test_every_operator_is_registered():
     names = set(E.queries())
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2:3].isdigit()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2:3].isdigit()} == set(range(1, 14))
     assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(E.oracle_sql())
 
 
