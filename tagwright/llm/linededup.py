@@ -8,13 +8,14 @@ repeated run as long as a window is found through a selected line. Selected line
 hash occurs at one position only are done with. Around the others all windows that
 selected the line are compared, and a window is deleted where an equal one (128-bit
 digest of its lines) starts earlier, in a document before it or further up in the
-same one. That covers a longer repeated run but for its last lines, where their own
-window reaches past the run's end.
+same one.
 
-``extend`` grows matches to their full runs: every line of a repeated run of ``min_lines``
-lines or ``min_words`` words goes. Such a run is the union of its parts of ``min_lines``
-lines at most that qualify themselves (any three lines, or fewer with the words), so
-these are the windows then, but for those that two shorter ones make up.
+``extend`` (on in the query and the pipeline) grows matches both ways to their full runs:
+every line of a repeated run of ``min_lines`` lines or ``min_words`` words goes, up to its
+first and last line. Such a run is the union of its parts of ``min_lines`` lines at
+most that qualify themselves (any three lines, or fewer with the words), so these are the
+windows then, but for those that two shorter ones make up. Without it the last lines of a
+run stay where their own window reaches past the run's end.
 
 Documents are ordered by (doc_id, text), a null id last. Hot lines are counted before
 they are shuffled (one row per task); what is joined to them is stored first, so
@@ -55,7 +56,7 @@ def _lengths(words: list[Column], min_lines: int, min_words: int, extend: bool)
     return F.array(*[F.when(fit & ~(enough(0, n - 1) & enough(1, n - 1)) if n > 1 else fit, n) for n, fit in enumerate(fits, 1)])
 
 
-def windows(docs: DataFrame, min_lines: int = 3, min_words: int = 50, extend: bool = False) -> DataFrame:
+def windows(docs: DataFrame, min_lines: int = 3, min_words: int = 50, extend: bool = True) -> DataFrame:
     """One row per window: (doc_id, _h) of the document, positions of its lines, digest, and the line it selects."""
     d = docs.select("doc_id", F.xxhash64("text").alias("_h"), _lines(F.col("text")).alias("_l0"))
     ahead = [F.slice("_l0", k + 1, F.greatest(F.size("_l0") - k, F.lit(0))).alias(f"_l{k}") for k in range(1, min_lines)]
@@ -72,7 +73,7 @@ def windows(docs: DataFrame, min_lines: int = 3, min_words: int = 50, extend: bo
     return d.select("doc_id", "_h", "at", "digest", F.col("_least.print").alias("print"), F.col("_least.at").alias("print_at"))
 
 
-def deletions(docs: DataFrame, min_lines: int = 3, min_words: int = 50, extend: bool = False) -> DataFrame:
+def deletions(docs: DataFrame, min_lines: int = 3, min_words: int = 50, extend: bool = True) -> DataFrame:
     """(doc_id, _h, removed, origin): positions of the lines to delete, for the documents that lose any, and the other
     document where most of the deleted windows come first (null: all of them repeat the document itself)."""
     ensure_checkpoint_dir(docs.sparkSession)
@@ -102,15 +103,17 @@ def _deduped(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def _left(d: DataFrame) -> DataFrame:
     """Add _text, _lines, _gone, _lost to ``_deduped``: its new text, its lines, those deleted, the share of words lost."""
     text = F.col("_row.text")
-    lines = F.split(text, "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n")
+    lines = F.col("_split")
+    d = d.withColumn("_split", F.split(text, "\n", -1))     # a column of its own, read by place below
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     words = F.regexp_count(text, F.lit(WORD))
     lost = F.coalesce(F.try_divide(words - F.regexp_count(left, F.lit(WORD)), words), F.lit(0.0))
     same = F.col("removed").isNull()
     return d.select("*", F.when(same, text).otherwise(left).alias("_text"),
                     F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_lines"),
                     F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("_gone"),
-                    F.when(same, F.lit(0.0)).otherwise(lost).alias("_lost"))
+                    F.when(same, F.lit(0.0)).otherwise(lost).alias("_lost")).drop("_split")
 
 
 def _shingles(text: Column, n: int = 5) -> Column:
@@ -121,7 +124,7 @@ def _shingles(text: Column, n: int = 5) -> Column:
     return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), of), F.lit(0))   # words: cut once
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50, extend: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50, extend: bool = True) -> DataFrame:
     """The documents with later repeated windows (``extend``: whole runs) deleted from ``text``; n_lines, n_removed and
     lost_share (of the words) are added and replace columns of these names."""
     d = _left(_deduped(docs, deletions(docs, min_lines, min_words, extend).drop("origin")))

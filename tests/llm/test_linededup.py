@@ -1,4 +1,5 @@
 import random
+import time
 
 from tagwright.llm import linededup
 
@@ -30,7 +31,7 @@ def test_against_brute_force(spark, docs_of):
     rng = random.Random(5)
     pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 3, 10, 60]))) for _ in range(25)] + ["", " "]
     docs = [(i, "\n".join(rng.choice(pool) + rng.choice(["", "", " "]) for _ in range(rng.randrange(1, 15)))) for i in range(150)]
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs_of(docs, 5)).collect()}
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs_of(docs, 5), extend=False).collect()}
     assert got == brute(docs)
 
 
@@ -59,7 +60,7 @@ def test_whole_runs_against_maximal_matches(spark, docs_of):
     docs = [(i, "\n".join(rng.choice(pool) + rng.choice(["", "", " "]) for _ in range(rng.randrange(1, 15)))) for i in range(150)]
     want = brute_runs(docs)
     assert want != brute(docs)
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs_of(docs, 5), extend=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs_of(docs, 5)).collect()}
     assert got == want
 
 
@@ -109,3 +110,11 @@ def test_copies_go_and_hostile_rows(spark, hostile):
 def test_plan_is_native(spark, docs_of):
     plan = linededup.dedup_lines(docs_of(["a\nb", "c"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_time_is_linear_in_the_lines_of_a_text(spark, docs_of):
+    text = "\n".join(f"line {i} of many" for i in range(160_000))
+    begin = time.time()
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in linededup.dedup_lines(docs_of([(1, text), (2, text + "\nlast own")])).collect()}
+    assert got == {1: (0, text), 2: (160_000, "last own")}
+    assert time.time() - begin < 60
