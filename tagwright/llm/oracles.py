@@ -41,12 +41,12 @@ LINE_DEDUP = f"""
 WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
 n AS (SELECT doc_id, pos, line, len(regexp_extract_all(line, {lit(WORD)})) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i
       FROM (SELECT doc_id, pos, trim(raw, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS line FROM l) t WHERE line <> ''),
-s AS (SELECT doc_id, i, pos, [line, lead(line, 1) OVER w, lead(line, 2) OVER w] AS ls, [pos, lead(pos, 1) OVER w, lead(pos, 2) OVER w] AS ats,
-             words AS w1, lead(words, 1) OVER w AS w2, lead(words, 2) OVER w AS w3 FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-runs AS (SELECT doc_id, pos, CASE WHEN w1 >= 50 THEN 1 WHEN w1 + w2 >= 50 THEN 2 WHEN w3 IS NOT NULL THEN 3 END AS n, ls, ats FROM s),
-w AS (SELECT doc_id, pos, array_to_string(ls[1:n], chr(10)) AS run, ats[1:n] AS ats FROM runs WHERE n IS NOT NULL),
-f AS (SELECT run, min(struct_pack(d := doc_id, a := pos)) AS first FROM w GROUP BY run),
-gone AS (SELECT DISTINCT doc_id, unnest(ats) AS pos FROM w JOIN f USING (run) WHERE struct_pack(d := doc_id, a := pos) > first),
+-- equal lines at two places, the later one in b; maximal runs of them along a diagonal
+m AS (SELECT a.doc_id AS of, b.doc_id, b.i, b.pos, b.words, b.i - a.i AS diagonal FROM n a JOIN n b ON a.line = b.line
+      AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.i < b.i))),
+o AS (SELECT *, i - row_number() OVER (PARTITION BY of, doc_id, diagonal ORDER BY i) AS island FROM m),
+r AS (SELECT doc_id, list(pos) AS ats FROM o GROUP BY of, doc_id, diagonal, island HAVING count(*) >= 3 OR sum(words) >= 50),
+gone AS (SELECT DISTINCT doc_id, unnest(ats) AS pos FROM r),
 k AS (SELECT l.doc_id, string_agg(CASE WHEN g.pos IS NULL THEN raw END, chr(10) ORDER BY l.pos) AS text, count(*) AS n_lines, count(g.pos) AS n_removed
       FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
 SELECT doc_id, coalesce(text, '') AS text, n_lines, n_removed FROM k
