@@ -33,6 +33,7 @@ RULES: dict[str, tuple[str, int, int]] = {
     "login": ("://[A-Za-z0-9._-]+:[^\\s/@:]{3,}@", 0, 0),
 }
 BASE = ("assign", "access", "hex")
+SMALL_SET = 8   # characters of a set that are taken as alternatives; a larger set is a gap
 _GAP = None
 
 
@@ -42,6 +43,8 @@ def _paths(tokens) -> list[list[str | None]]:
     for op, arg in tokens:
         if op is C.LITERAL:
             more = [[chr(arg)]]
+        elif op is C.IN and len(arg) <= SMALL_SET and all(o is C.LITERAL for o, _ in arg):
+            more = [[chr(c)] for _, c in arg]
         elif op is C.BRANCH:
             more = [w for branch in arg[1] for w in _paths(branch)]
         elif op is C.SUBPATTERN:
@@ -69,7 +72,7 @@ def trigram_query(expression: str) -> list[list[str]] | None:
             return None
         if need not in out:
             out.append(need)
-    return out
+    return [x for x in out if not any(set(y) < set(x) for y in out)]   # an alternative that asks for more than another is met by it
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -95,15 +98,26 @@ _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 def _spans(parts: Column, least: int, order: int) -> Column:
-    """Spans of one rule from the lengths of pieces, matches and checked groups: one running position over them."""
+    """Spans of one rule from the lengths of pieces, matches and checked groups: one running position over them.
+
+    An array that grows by one entry is copied each time, so entries are gathered in blocks of the square root of their
+    number, and the blocks' arrays are put together at the end.
+    """
     def step(a, x):
         start = a["pos"] + x["piece"]
         end = start + F.coalesce(x["hit"], F.lit(0))
         span = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"))
         return F.struct(end.alias("pos"), F.when(x["part"] >= least, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPANS).alias("out"))
-    return F.coalesce(F.aggregate(parts, begin, step, lambda a: a["out"]), F.array().cast(_SPANS))
+    def block(a, x):
+        inner = F.aggregate(x, F.struct(a["pos"].alias("pos"), none.alias("out")), step)
+        return F.get(F.transform(F.array(inner), lambda r: F.struct(r["pos"].alias("pos"), F.array_append(a["out"], r["out"]).alias("out"))), F.lit(0))
+
+    none = F.array().cast(_SPANS)
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(parts).cast("double"))).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / size).cast("int")), lambda k: F.slice(parts, k * size + 1, size))
+    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+    return F.coalesce(F.when(F.size(parts) > 0, F.flatten(F.aggregate(blocks, begin, block, lambda a: a["out"]))), none)
 
 
 def scan(docs: DataFrame, rules: dict[str, tuple[str, int, int]] = RULES) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -34,7 +35,8 @@ def test_queries_never_miss_a_match():
         for t in TEXTS:
             if query and re.search(expression, t):
                 assert any(all(g in t.lower() for g in alt) for alt in query), (kind, t)
-    assert secretscan.trigram_query(secretscan.RULES["hex"][0]) is None
+    assert [k for k, (e, _, _) in secretscan.RULES.items() if secretscan.trigram_query(e) is None] == ["hex"]
+    assert secretscan.trigram_query(secretscan.RULES["forge"][0]) == [[f"{a}_"[i:i + 3] for i in (0, 1)] for a in ("ghp", "gho", "ghu", "ghs", "ghr")]
     assert secretscan.trigram_query("abc(d|e)?fg+h") == [["abc", "bcd", "cdf", "dfg"], ["abc", "bce", "cef", "efg"], ["abc", "bcf", "cfg"]] \
         or sorted(map(tuple, secretscan.trigram_query("abc(d|e)?fg+h")))[0][0] == "abc"
     assert secretscan.trigram_query("ab|cdef") is None and secretscan.trigram_query("[a-z]+") is None
@@ -56,3 +58,11 @@ def test_hostile_rows_and_native_plan(spark, hostile):
     assert secretscan.scan(hostile).count() == 12 and secretscan.scan(hostile.limit(0)).count() == 0
     plan = secretscan.scan(hostile)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_time_is_near_linear_in_the_matches_of_a_text(spark, docs_of):
+    text = "\n".join(f"{i:024x}" for i in range(300_000))
+    begin = time.time()
+    spans = secretscan.scan(docs_of([(1, text)])).collect()[0]["spans"]
+    assert len(spans) == 300_000 and spans[-1]["end"] == len(text) and spans[0]["start"] == 0
+    assert time.time() - begin < 60
