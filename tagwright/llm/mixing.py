@@ -108,7 +108,7 @@ def cuts(sized: DataFrame, max_epochs: float = 3.0) -> DataFrame:
             .groupBy(F.col("source").alias("_src2")).agg(F.max(_order()).alias("_last")))
     out = (src.join(edge, F.col("source").eqNullSafe(F.col("_src")), "left")
            .join(last, F.col("source").eqNullSafe(F.col("_src2")), "left"))
-    return out.select("source", "source_size", "target", "_epochs", "_buckets", "_cut_bucket", "_last")
+    return out.select("source", "source_size", "target", "_epochs", "_rest", "_buckets", "_cut_bucket", "_last")
 
 
 def decide(sized: DataFrame, cut: DataFrame) -> DataFrame:
@@ -116,7 +116,8 @@ def decide(sized: DataFrame, cut: DataFrame) -> DataFrame:
     small = cut.count() <= MAX_SOURCES_BROADCAST
     right = (F.broadcast(cut) if small else cut).withColumnRenamed("source", "_source")
     d = sized.join(right, F.col("source").eqNullSafe(F.col("_source")))
-    extra = ((_bucket() < F.col("_cut_bucket"))
+    # a target of whole epochs takes no document once more, not even an empty one
+    extra = (F.col("_rest") > 0) & ((_bucket() < F.col("_cut_bucket"))
              | ((_bucket() == F.col("_cut_bucket")) & F.col("_last").isNotNull() & (_order() <= F.col("_last"))))
     return d.withColumn("copies", F.col("_epochs") + F.when(extra, 1).otherwise(0)).drop(*[c for c in right.columns if c[0] == "_"])
 

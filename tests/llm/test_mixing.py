@@ -56,3 +56,10 @@ def test_hostile_rows(spark, hostile):
     assert len(got) == 12 and sum(r["taken"] for r in got if r["size"] == 0) == 0
     assert mixing.mixed_rows(hostile).columns == hostile.columns
     assert mixing.mix(hostile.limit(0)).count() == 0 and mixing.mixed_rows(hostile.limit(0)).count() == 0
+
+
+def test_capped_sources_repeat_empty_documents_like_the_others(spark, docs_of):
+    """Sizes 100 to 1: the small source of the largest weight is held at three whole epochs, for empty documents too."""
+    rows = [(i, "w " * 100, "a") for i in range(100)] + [(100 + i, "" if i % 2 else "w", "c") for i in range(200)] + [(300, "w", "b")]
+    got = {r["copies"] for r in mixing.mix(docs_of(rows)).where("source = 'c'").select("copies").distinct().collect()}
+    assert got == {3}
