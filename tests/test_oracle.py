@@ -8,7 +8,6 @@ from tools.oracle_check import compare, duck
 from conftest import SF001
 
 SQL = E.oracle_sql()
-SLOW = {"train_text_classifier", "select_best_model"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +21,7 @@ def test_query_matches_oracle(spark, con, key):
     assert status == "OK", msg
 
 
-@pytest.mark.parametrize("key", sorted(set(E.queries()) - set(SQL) - SLOW))
+@pytest.mark.parametrize("key", sorted(set(E.queries()) - set(SQL)))
 def test_rows_only_queries_run(spark, key):
     assert E.queries()[key](spark, SF001).count() >= 0
 
