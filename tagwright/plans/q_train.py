@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagwright.operators import bayes as NB
+from tagwright.operators import bayes as NB, epochs as EP, history as H, metrics as M
 from tagwright.plans.q_metrics import prf_sql, ratio
 from tagwright.plans.q_split import SPLIT, split_df
 from tagwright.plans.registry import register
@@ -73,3 +73,26 @@ def q_select_best_model(spark, sf):
     train, validation, _ = split_parts(spark, sf)
     t = NB.select_smoothing(train, validation, SMOOTHINGS).table
     return t.withColumns({c: F.round(c, 6) for c in ("val_accuracy", "val_f1")})
+
+
+def _epoch_run(spark, sf):
+    train, validation, test = split_parts(spark, sf)
+    return EP.train_epochs(train, validation), test
+
+
+@register("train_epochs")
+def q_train_epochs(spark, sf):
+    """Mini-batch training: one row per epoch."""
+    run, _ = _epoch_run(spark, sf)
+    return run.history.withColumns({c: F.round(c, 6) for c in ("learning_rate", "train_loss", "val_loss", "val_accuracy", "val_f1")})
+
+
+@register("train_early_stopped")
+def q_train_early_stopped(spark, sf):
+    """A run stopped by its own history, and the accuracy and F1 of the restored best epoch on the test rows."""
+    run, test = _epoch_run(spark, sf)
+    rows = EP.features(test.where("class is not null"), run.settings.features, "custom_id", "message", "class")
+    report = M.weighted_prf(EP.classify(rows, run.weights, run.labels)).select(F.lit("run").alias("run_id"), F.col("accuracy").alias("test_accuracy"), F.col("f1").alias("test_f1"))
+    stop = H.early_stopping(run.history.withColumn("run_id", F.lit("run")), run.settings.patience)
+    d = stop.join(report, "run_id")
+    return d.withColumns({c: F.round(c, 6) for c in ("best_metric", "test_accuracy", "test_f1")})
