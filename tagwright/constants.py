@@ -6,6 +6,9 @@ reproduces (class ids and names, request fields, prompt marker, chat
 template pieces, keyword order of the lenient parser, split sizes).
 """
 
+import sys
+import unicodedata
+
 # ---- fixed values -------------------------------------------------------
 CLASS_NAMES = ["Positive", "Mild", "Negative", "Irrelevant"]  # ids 0, 1, 2, 3
 UNLABELED = -1
@@ -59,9 +62,12 @@ WS_CLASS = (
 WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
             "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
             "\u2028\u2029\u202f\u205f\u3000")
-DIGIT_CLASS = "[0-9０-９]"
 FULLWIDTH_DIGITS = "０１２３４５６７８９"
 ASCII_DIGITS = "0123456789"
+# Every decimal digit of Unicode (category Nd) beyond ASCII, and its value; each script has ten in a row.
+OTHER_DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+OTHER_DIGIT_VALUES = "".join(str(unicodedata.digit(c)) for c in OTHER_DIGITS)
+DIGIT_CLASS = "[0-9" + "".join(f"\\x{{{ord(c):x}}}-\\x{{{ord(c) + 9:x}}}" for c in OTHER_DIGITS if unicodedata.digit(c) == 0) + "]"
 
 # Special ids of the character encoder.
 PAD_ID, UNK_ID, START_ID, END_ID = 0, 1, 2, 3

@@ -15,8 +15,8 @@ BRACKET_PATTERN = rf"\[({DIG}+)\]"
 
 
 def digits_to_int(s: Column) -> Column:
-    """Digit string (ASCII or full-width) to INT; null when empty or out of range."""
-    return _try_int(F.translate(s, K.FULLWIDTH_DIGITS, K.ASCII_DIGITS))
+    """String of decimal digits of any script to INT; null when empty or out of range."""
+    return _try_int(F.translate(s, K.OTHER_DIGITS, K.OTHER_DIGIT_VALUES))
 
 
 def _try_int(s: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tagwright import constants as K
 from tagwright.functions.labels import STRICT_PATTERN, parse_label_strict
@@ -86,3 +88,23 @@ def response_errors(parsed: DataFrame, comments: DataFrame, key: str = "custom_i
     missing = (comments.select(key).join(answered, key, "left_anti")
                .select(F.lit(None).cast("bigint").alias("line_no"), key, F.lit(REASON_NO_ANSWER).alias("reason")))
     return bad.unionByName(missing)
+
+
+class WriteCounts(NamedTuple):
+    total: int
+    kept: int
+
+    @property
+    def removed(self) -> int:
+        return self.total - self.kept
+
+
+def write_purged(df: DataFrame, path: str, label: str = "class") -> WriteCounts:
+    """Write the labelled rows as Parquet; the counts of all and of kept rows are taken by the same pass.
+
+    They are metrics observed on the rows as they are written, so nothing is scanned twice; a retried task counts once.
+    """
+    seen = Observation("purge")
+    d = df.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(F.col(label).isNotNull() & (F.col(label) != K.UNLABELED)).alias("kept"))
+    purge_unlabeled(d).write.mode("overwrite").parquet(path)
+    return WriteCounts(**seen.get)

@@ -30,7 +30,7 @@ def extract_message(x: str) -> str:
 
 
 def to_int(x: str) -> str:
-    return f"TRY_CAST(translate({x}, {lit(K.FULLWIDTH_DIGITS)}, {lit(K.ASCII_DIGITS)}) AS INTEGER)"
+    return f"TRY_CAST(translate({x}, {lit(K.OTHER_DIGITS)}, {lit(K.OTHER_DIGIT_VALUES)}) AS INTEGER)"
 
 
 def strict(x: str) -> str:

@@ -8,6 +8,7 @@ from tagwright import constants as K
 from tagwright.operators import labels as L, metrics as M, prepare as P
 from tagwright.plans import fixtures as fx, oracle as O
 from tagwright.plans.registry import register
+from tagwright.session import scratch_path
 
 
 def unlabeled(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,3 +96,10 @@ def q_dataset_counts(spark, sf):
     return (M.side_by_side(m, p)  # two one-row aggregates
             .select("total", "kept", (F.col("total") - F.col("kept")).alias("removed"),
                     "answers", "errors", "labeled_ids"))
+
+
+@register("observed_counts", f"SELECT count(*) AS total, count(*) FILTER (WHERE class <> -1) AS kept, count(*) FILTER (WHERE class = -1) AS removed FROM ({O.MERGED}) x")
+def q_observed_counts(spark, sf):
+    """Counts of a purge, taken while its rows are written."""
+    c = L.write_purged(merged(spark, sf), scratch_path(spark, "purged"))
+    return spark.createDataFrame([(c.total, c.kept, c.removed)], "total long, kept long, removed long")

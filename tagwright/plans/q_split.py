@@ -108,7 +108,7 @@ def q_attach_class_weight(spark, sf):
 
 
 def unit_sql(h: str) -> str:
-    return f"(('0x' || substr({h}, 1, 8))::UBIGINT::BIGINT / 4294967296.0::DOUBLE)"
+    return f"(('0x' || substr({h}, 1, 13))::UBIGINT::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
 RESAMPLE = f"""
@@ -133,3 +133,42 @@ SELECT custom_id, class, row_number() OVER (ORDER BY {h_sql('custom_id', 'epoch0
 """)
 def q_shuffle_rows(spark, sf):
     return B.shuffle_rows(train_df(spark, sf).select("custom_id", "class"))
+
+
+_WEIGHTED = f"SELECT custom_id, CAST(round(length(message) / 1000.0::DOUBLE * 1000000) AS BIGINT) AS u FROM ({TRAIN}) t"
+
+
+@register("weighted_draws", f"""
+WITH d AS (SELECT * FROM ({_WEIGHTED}) w WHERE u > 0),
+r AS (SELECT custom_id, u, sum(u) OVER (ORDER BY {h_sql('custom_id', 'weighted')}, custom_id) AS hi FROM d),
+n AS (SELECT count(*) AS n, sum(u)::HUGEINT AS total FROM d),
+x AS (SELECT (('0x' || substr({h_sql('i', 'weighted-draw')}, 1, 13))::UBIGINT::HUGEINT * total) // 4503599627370496 AS t
+      FROM n, unnest(range(n)) g(i))
+SELECT custom_id, count(*) AS draws FROM x JOIN r ON t >= hi - u AND t < hi GROUP BY custom_id
+""")
+def q_weighted_draws(spark, sf):
+    """As many draws as training rows, each row by the length of its message."""
+    return B.weighted_draws(train_df(spark, sf), F.length("message") / 1000.0)
+
+
+def _permute_sql(src: str) -> str:
+    """One pass of the Feistel network over column x of a table (custom_id, x, n, a, b): a rows, b columns."""
+    hashed = lambda r, v: f"('0x' || substr(md5('{K.SPLIT_SEED}:epoch0:{r}:' || {v}), 1, 13))::UBIGINT::BIGINT"
+    q = f"SELECT custom_id, n, a, b, x // b AS r, x % b AS c FROM {src}"
+    for i in range(B.ROUNDS):
+        q = (f"SELECT custom_id, n, a, b, (r + {hashed(i, 'c')}) % a AS r, c FROM ({q}) p{i}" if i % 2 == 0 else
+             f"SELECT custom_id, n, a, b, r, (c + {hashed(i, 'r')}) % b AS c FROM ({q}) p{i}")
+    return f"SELECT custom_id, r * b + c AS x, n, a, b FROM ({q}) p"
+
+
+@register("shuffle_permuted", f"""
+WITH RECURSIVE t AS (SELECT custom_id, row_number() OVER (ORDER BY custom_id) - 1 AS x, count(*) OVER () AS n FROM ({TRAIN}) t),
+i AS (SELECT custom_id, x, n, (n + b - 1) // b AS a, b FROM (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS b FROM t) s),
+w AS ({_permute_sql('i')} UNION ALL {_permute_sql('(SELECT * FROM w WHERE x >= n) v')})
+SELECT custom_id, x AS position FROM w WHERE x < n
+""")
+def q_shuffle_permuted(spark, sf):
+    """A dense index, then the epoch's order as a map over it."""
+    from tagwright.operators.prepare import assign_row_id
+    d = assign_row_id(train_df(spark, sf).select("custom_id"), ["custom_id"], name="_i").checkpoint()
+    return B.shuffle_permuted(d, "_i", d.count()).select("custom_id", "position")

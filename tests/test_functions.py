@@ -12,6 +12,7 @@ GOLDEN = [
     ("[7] negative", None, -1), ("It is [2], not [0]", None, 2), ("It is 1", None, -1), ("Not Negative", None, 2),
     ("mild, not positive", None, 0), ("Neutral", None, 1), ("[ERROR]", None, -1), ("", None, -1),
     (f"{IDEO}[1]{IDEO}", 1, 1), ("[１]", 1, 1), ("12345678901", None, -1), ("irrelevant!", None, 3),
+    ("[١]", 1, 1), ("(२)", 2, -1), ("٣", 3, -1), ("it is [०]", None, 0), ("[𝟏𝟎]", 10, -1), ("[²]", None, -1), ("[一]", None, -1),
     ("(1]", 1, -1), ("007", 7, -1), ("[10]", 10, -1),
 ]
 
