@@ -20,12 +20,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tagwright import constants as K
 from tagwright.operators import balance as B, metrics as M
 from tagwright.operators.bayes import MAX_CLASSES, token_counts
-from tagwright.session import scratch_path
+from tagwright.session import finished, scratch_path
 
 UNIT = float(1 << 36)
 LOSS, WEIGHT = -1, -2      # places of the loss and the weight in a step's sums
@@ -120,13 +120,8 @@ def classify(rows: DataFrame, w: np.ndarray, labels: list[int]) -> DataFrame:
     return rows.select("key", "label", "at", "n").mapInArrow(run, f"key {kind}, true_label int, predicted_label int, loss double")
 
 
-def _finished(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def _store(df: DataFrame, path: str, *by: str) -> DataFrame:
-    if not _finished(df.sparkSession, path):
+    if not finished(df.sparkSession, path):
         df.write.mode("overwrite").partitionBy(*by).parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -177,7 +172,7 @@ def train_epochs(train: DataFrame, validation: DataFrame, settings: Settings = S
     kinds = "epoch int, steps long, learning_rate double, train_loss double, val_loss double, val_accuracy double, val_f1 double"
     for epoch in range(1, s.epochs + 1):
         at = f"{path}/epoch={epoch}"
-        if _finished(spark, at):
+        if finished(spark, at):
             r = spark.read.parquet(at).first()
             w, m, v = (np.array(r[c]).reshape(shape) for c in ("w", "m", "v"))
             history.append(tuple(r[c] for c in ("n_epoch", "steps", "learning_rate", "train_loss", "val_loss", "val_accuracy", "val_f1")))

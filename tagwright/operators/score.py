@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tagwright import constants as K
 from tagwright.functions.text import strip_ws
-from tagwright.session import ensure_checkpoint_dir
+from tagwright.operators.prepare import assign_batches, assign_row_id
+from tagwright.session import ensure_checkpoint_dir, finished
 
 Scorer = Callable[[list], list]
 
@@ -171,6 +172,52 @@ def batch_score_ordered(df: DataFrame, fn: Scorer, order_cols, text_col: str = "
     return _strip(inner.unionByName(edge), out_col, strip_output)
 
 
+def score_resumable(df: DataFrame, fn: Scorer, path: str, order_cols, text_col: str = "prompt", key: str = "custom_id",
+                    batch_size: int = K.LLM_BATCH, wave_batches: int = 10_000, retries: int = 0, on_error: str = "batch",
+                    out_col: str = "model_output", text: Column | None = None) -> DataFrame:
+    """Score in consecutive batches as ``batch_score_ordered``, so that a run that ended halfway can be taken up again.
+
+    ``path`` (shared) holds the run: the input with its batches, written once, and the outputs by wave of ``wave_batches`` batches,
+    each committed as a whole. A rerun scores only waves that are not committed; the batches of committed ones are
+    not sent to the scorer again. Batches that hold an ``[ERROR]`` are then scored anew, at most ``retries`` times, each
+    attempt committed like a wave; the last attempt counts. Returns key, batch_id, attempt, the output, chunk_id, chunk_seconds.
+    """
+    spark = df.sparkSession
+    if not finished(spark, f"{path}/input"):
+        d = df.orderBy(*order_cols).checkpoint(eager=True)       # the batches are fixed before any is scored
+        d = assign_batches(assign_row_id(d, order_cols, "_idx"), batch_size, "_idx")
+        d.withColumn("wave", F.floor(F.col("batch_id") / wave_batches)).write.mode("overwrite").partitionBy("wave").parquet(f"{path}/input")
+    rows = spark.read.parquet(f"{path}/input")
+    waves = (rows.agg(F.max("wave")).first()[0] or 0) + 1 if not rows.isEmpty() else 0
+    prompt = rows if text is None else rows.withColumn(text_col, text)
+
+    def scored(d: DataFrame, at: str) -> DataFrame:
+        if not finished(spark, at):
+            out = batch_score(d.select(key, text_col, "batch_id"), fn, text_col, key, batch_size, on_error, "batch_id", out_col)
+            out.withColumn("batch_id", F.col("chunk_id").cast("bigint")).write.mode("overwrite").parquet(at)
+        return spark.read.parquet(at)
+
+    parts = [scored(prompt.where(F.col("wave") == w), f"{path}/output/wave={w}") for w in range(waves)]
+    if not parts:
+        return rows.select(key, F.lit(0).cast("bigint").alias("batch_id"), F.lit(0).alias("attempt"), F.lit("").alias(out_col),
+                           F.lit("").alias("chunk_id"), F.lit(0.0).alias("chunk_seconds"))
+    done = spark.read.option("basePath", f"{path}/output").parquet(*[f"{path}/output/wave={w}" for w in range(waves)]).drop("wave")
+    done = done.withColumn("attempt", F.lit(0))
+    for attempt in range(1, retries + 1):
+        failed = done.where(F.col(out_col) == K.ERROR_OUTPUT).select("batch_id").distinct()
+        if not finished(spark, f"{path}/retry={attempt}") and failed.isEmpty():
+            break
+        again = scored(prompt.join(failed, "batch_id", "left_semi"), f"{path}/retry={attempt}").withColumn("attempt", F.lit(attempt))
+        done = done.join(again.select("batch_id").distinct(), "batch_id", "left_anti").unionByName(again)
+    return done.select(key, "batch_id", "attempt", out_col, "chunk_id", "chunk_seconds")
+
+
+def ledger(scored: DataFrame, out_col: str = "model_output") -> DataFrame:
+    """One row per batch of a resumable run: its last attempt, rows, failed rows and scoring seconds."""
+    return scored.groupBy("batch_id").agg(F.max("attempt").alias("attempt"), F.count(F.lit(1)).alias("rows"),
+                                          F.count_if(F.col(out_col) == K.ERROR_OUTPUT).alias("failed"), F.max("chunk_seconds").alias("seconds"))
+
+
 def throughput(scored: DataFrame) -> DataFrame:
     """Rows, scoring seconds and rows per second from ``batch_score`` output."""
     per_chunk = scored.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("rows"), F.max("chunk_seconds").alias("sec"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tagwright import constants as K
 from tagwright.functions import encode as E, text as FT
+from tagwright.operators import subwords as SW
 from tagwright.plans import oracle as O
 from tagwright.plans.q_split import SPLIT, TRAIN, split_df
 from tagwright.plans.registry import register
@@ -86,3 +87,20 @@ def q_strip_prompt_tokens(spark, sf):
     d = p.select("custom_id", E.token_ids("prompt_in", v).alias("inp"), E.token_ids("answer", v).alias("gen"))
     d = d.select("custom_id", "inp", F.concat("inp", "gen").alias("out"))
     return d.select("custom_id", F.array_join(E.strip_prompt_tokens("inp", "out"), ",").alias("generated_ids"))
+
+
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"   # a public vocabulary; any other file may be given
+
+
+@register("encode_subwords")
+def q_encode_subwords(spark, sf, path=VOCABULARY):
+    """Fixed-length subword ids of the test rows, with the mask's sum, the unknown words and the end of the last token."""
+    v = SW.read_vocabulary(spark, path, "<|endoftext|>")
+    start, end = v.pieces["<|startoftext|>"], v.pieces["<|endoftext|>"]
+    test = split_df(spark, sf).where(F.col("split") == "test").select("custom_id", "message")
+    d = SW.encode_subwords(test, v, "message", L - 2)
+    e = d.select("custom_id", "ids", "ends", SW.fixed_length("ids", start, end, end, L).alias("e"))
+    return e.select("custom_id", F.array_join("e.input_ids", ",").alias("input_ids"),
+                    F.aggregate("e.attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_sum"),
+                    F.size(F.filter("ids", lambda i: i == v.unknown)).alias("n_unknown"),
+                    F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).alias("last_end"))

@@ -86,6 +86,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return _scratch[-1]
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end (its writer leaves ``_SUCCESS``)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 _scratch: list[str] = []   # what scratch_path has handed out and nobody has dropped
 
 
