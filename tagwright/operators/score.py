@@ -187,7 +187,8 @@ def score_resumable(df: DataFrame, fn: Scorer, path: str, order_cols, text_col:
         d = df.orderBy(*order_cols).checkpoint(eager=True)       # the batches are fixed before any is scored
         d = assign_batches(assign_row_id(d, order_cols, "_idx"), batch_size, "_idx")
         d.withColumn("wave", F.floor(F.col("batch_id") / wave_batches)).write.mode("overwrite").partitionBy("wave").parquet(f"{path}/input")
-    rows = spark.read.parquet(f"{path}/input")
+    added = [T.StructField(c, T.LongType()) for c in ("_idx", "batch_id", "wave")]
+    rows = spark.read.schema(T.StructType([*[T.StructField(f.name, f.dataType) for f in df.schema], *added])).parquet(f"{path}/input")
     waves = (rows.agg(F.max("wave")).first()[0] or 0) + 1 if not rows.isEmpty() else 0
     prompt = rows if text is None else rows.withColumn(text_col, text)
 
