@@ -37,6 +37,7 @@ SHARE = 1_000_000_000
 TERMS = 512          # kept terms of a tile
 SOURCES = 64         # sources of a block
 PIECE = 1 << 20      # bytes of a text cut into terms at a time
+MAX_LANGS = 100_000  # checked: one small row per language is broadcast
 HELD = 200_000       # counts or terms that a task holds before it passes them on
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -56,25 +57,27 @@ def term_counts(docs: DataFrame) -> DataFrame:
     schema = _parse_datatype_string("lang string, source string, term string, n long, docs long")
     arrow = to_arrow_schema(schema)
 
-    def rows(n: dict, docs: dict) -> pa.RecordBatch:
-        flat = [(*group, t.decode("utf-8", "replace"), k, docs[group][t]) for group, c in n.items() for t, k in c.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], type=f.type) for i, f in enumerate(arrow)], schema=arrow)
+    def rows(n: dict, docs: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), count in n.items():
+            terms, own = list(count), docs[lang, source]
+            columns = ([lang] * len(terms), [source] * len(terms), pa.array(terms, pa.binary()).cast(pa.string()), list(count.values()), [own[t] for t in terms])
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     def run(batches):
         n: dict[tuple, Counter] = {}
         docs: dict[tuple, Counter] = {}
         for b in batches:
-            for lang, source, text in zip(*(b.column(i) for i in range(3))):
+            for i, (lang, source, text) in enumerate(zip(*(b.column(i) for i in range(3))), 1):
                 group, own = (lang.as_py(), source.as_py()), set()
                 count = n.setdefault(group, Counter())
                 for piece in _terms(text.as_py()):
                     count.update(piece)
                     own.update(piece)
                 docs.setdefault(group, Counter()).update(own)
-            if sum(map(len, n.values())) > HELD:
-                yield rows(n, docs)
-                n, docs = {}, {}
-        yield rows(n, docs)
+                if i % 500 == 0 and sum(map(len, n.values())) > HELD:
+                    yield from rows(n, docs)
+                    n, docs = {}, {}
+        yield from rows(n, docs)
 
     empty = F.lit("")
     d = docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), "text")
@@ -169,6 +172,8 @@ def audit(docs: DataFrame, min_docs: int = 10, k: int = 10) -> DataFrame:
     # sources and terms fall into blocks and chunks by hash: their numbers follow the language's
     langs = (langs.withColumn("blocks", F.ceil(F.col("n_sources") / SOURCES)).withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("terms") / TERMS)))
              .checkpoint())
+    if langs.count() <= MAX_LANGS:
+        langs = F.broadcast(langs)
     groups = (groups.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("source"), F.col("blocks")))
               .withColumn("none", share("0L", "size", "terms")).checkpoint())
     e = found.join(groups, ["lang", "source"])
