@@ -17,14 +17,17 @@ score is that class's share, clipped to (0, 1); an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tagwright.llm.common import by_size, labelled_texts, packed, unpacked, utf8
+from tagwright.llm.common import by_size, labelled, packed, unpacked, utf8
 
 SPACES = np.array([9, 10, 11, 12, 13, 32], dtype=np.uint32)
 
@@ -102,6 +105,11 @@ def passage_scores(grams: np.ndarray, owner: np.ndarray, count: int, table: np.n
     return total / np.maximum(1, np.bincount(owner, minlength=count))
 
 
+def word_ids(text: str | None, known: dict[bytes, int]) -> np.ndarray:
+    """The numbers of a text's words; new words are added to ``known``."""
+    return np.array([known.setdefault(w, len(known)) for w in utf8((text or "").lower()).split()], dtype=np.int32)
+
+
 @dataclass
 class Sample:
     """Texts as numbers of words: n-grams don't reach over a word's end, so each distinct word is cut once."""
@@ -114,20 +122,24 @@ class Sample:
     @classmethod
     def of(cls, texts: list[str], config: Config) -> Sample:
         known: dict[bytes, int] = {}
-        parts, sizes, passages = [], [], np.empty(len(texts), dtype=np.int64)
-        for i, t in enumerate(texts):
-            ids = np.array([known.setdefault(w, len(known)) for w in utf8(t.lower()).split()], dtype=np.int32)
-            parts.append(ids)
-            passages[i] = many = max(1, len(ids) // config.passage_words)
-            sizes.append(np.append(np.full(many - 1, config.passage_words), len(ids) - (many - 1) * config.passage_words))
+        ids = [word_ids(t, known) for t in texts]
+        return cls.from_ids(np.concatenate(ids + [np.zeros(0, dtype=np.int32)]), np.array(list(map(len, ids)), dtype=np.int64),
+                            (w.decode() for w in known), config)
+
+    @classmethod
+    def from_ids(cls, ids: np.ndarray, lengths: np.ndarray, words: Iterable[str], config: Config) -> Sample:
+        """From the texts' word numbers, one text after another, how many each has, and the words in order of number."""
+        passages = np.maximum(1, lengths // config.passage_words)
+        sizes = np.full(int(passages.sum()), config.passage_words, dtype=np.int64)
+        sizes[np.cumsum(passages) - 1] = lengths - (passages - 1) * config.passage_words   # a text's last passage takes the rest
         grams, counts = [], []
-        for group in by_size((w.decode() for w in known), 200_000):
+        for group in by_size(words, 200_000):
             g, o, _ = ngrams(group, config)
             grams.append(g[np.argsort(o, kind="stable")].astype(np.int32))
             counts.append(np.bincount(o, minlength=len(group)))
         none = [np.zeros(0, dtype=np.int32)]
-        ends = lambda x: np.concatenate([[0], np.cumsum(np.concatenate(x))]).astype(np.int64)
-        return cls(np.concatenate(parts + none), ends(sizes), passages, np.concatenate(grams + none), ends(counts + none))
+        begin = np.concatenate([[0], np.cumsum(np.concatenate(counts + none))]).astype(np.int64)
+        return cls(ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), passages, np.concatenate(grams + none), begin)
 
     def scores(self, table: np.ndarray) -> np.ndarray:
         """Mean of the table's values over each passage's n-grams; an empty passage has 0."""
@@ -157,6 +169,10 @@ def text_logits(texts: list[str], table: np.ndarray, bias: float, config: Config
 
 
 def fit(texts: list[str], labels: list[int], config: Config = Config()) -> Model:
+    return fit_sample(Sample.of(texts, config), labels, config)
+
+
+def fit_sample(sample: Sample, labels: list[int], config: Config = Config()) -> Model:
     """Vectors and softmax trained together by Adagrad; each text counts by its passage that scores highest so far."""
     rng = np.random.default_rng(config.seed)
     vectors = rng.uniform(-1, 1, (config.buckets, config.dim)) / config.dim
@@ -166,7 +182,6 @@ def fit(texts: list[str], labels: list[int], config: Config = Config()) -> Model
     bias = np.zeros(2)
     if len(set(labels)) < 2:
         return Model(config, vectors * 0, weights, np.log(np.array([1 - share, share])))
-    sample = Sample.of(texts, config)
     lengths, base = sample.passages, len(sample.edge) - 1
     head = np.cumsum(lengths) - lengths
     class_weight = 0.5 / np.array([1 - share, share])
@@ -202,9 +217,33 @@ def fit(texts: list[str], labels: list[int], config: Config = Config()) -> Model
     return Model(config, vectors, weights, bias)
 
 
+def sample_words(rows: DataFrame) -> DataFrame:
+    """(label, ids, new) of the sample's rows (text, label) in one partition: a text's word numbers, the words it adds."""
+    def run(batches):
+        known: dict[bytes, int] = {}     # distinct words of the bounded sample
+        for b in batches:
+            ids, new = [], []
+            for text in b.column("text"):
+                begin = len(known)
+                ids.append(word_ids(text.as_py(), known))
+                new.append([w.decode() for w in islice(reversed(known), len(known) - begin)][::-1])
+            yield pa.RecordBatch.from_arrays([b.column("label").cast(pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(new, pa.list_(pa.string()))],
+                                             names=["label", "ids", "new"])
+
+    return rows.mapInArrow(run, "label int, ids array<int>, new array<string>")
+
+
 def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, config: Config = Config()) -> Model:
-    """Fit on at most ``config.max_rows`` labelled documents (half per class, chosen by a hash of the id)."""
-    return fit(*labelled_texts(docs, labels, "toxic", config.max_rows, where), config)
+    """Fit on at most ``config.max_rows`` labelled documents (half per class, chosen by a hash of the id). Their texts
+    are cut into words in a task; the driver gets word numbers and each distinct word once."""
+    got = sample_words(labelled(docs, labels, "toxic", config.max_rows, where).coalesce(1)).toArrow().combine_chunks()
+    if not got.num_rows:
+        return fit([], [], config)
+    ids, new = (got[c].chunk(0) for c in ("ids", "new"))
+    sample = Sample.from_ids(ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()).astype(np.int64), (w.as_py() for w in new.flatten()), config)
+    y = got["label"].to_pylist()
+    del got, ids, new
+    return fit_sample(sample, y, config)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -97,3 +98,13 @@ def test_sample_holds_words_not_ngrams():
     assert (sizes == np.bincount(owner, minlength=int(head[-1]))).all()
     assert all(sorted(got) == sorted(grams[owner == i]) for i, got in enumerate(np.split(flat, np.cumsum(sizes)[:-1])))
     assert len(sample.grams) < len(grams) / 4
+
+
+def test_words_cut_in_a_task_give_the_same_model(spark, docs_of):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)] + ["Straße", "日本", "ÉTÉ"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(80)] + ["", None]
+    y = [rng.randrange(2) for _ in texts]
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    got, want = toxicity.train(docs_of(texts, 4), labels, None, FAST), toxicity.fit(texts, y, FAST)
+    assert (got.vectors == want.vectors).all() and (got.weights == want.weights).all() and (got.bias == want.bias).all()
