@@ -122,10 +122,3 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, max_rows: int, whe
     """(text, label) of the bounded sample, in the order of id and text; ``max_rows`` bounds the rows even if ids repeat."""
     chosen = F.broadcast(bounded_labels(labels, target, max_rows, where))  # <= max_rows rows of two numbers
     return docs.select("doc_id", "text").join(chosen, "doc_id").orderBy("doc_id", "text").limit(2 * max_rows).select("text", "label")
-
-
-def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, max_rows: int,
-                   where: Column | None = None) -> tuple[list[str], list[int]]:
-    """Texts and labels of the bounded sample (``max_rows`` is its proven bound) for a model fitted on the driver."""
-    rows = labelled(docs, labels, target, max_rows, where).collect()
-    return [r["text"] or "" for r in rows], [int(r["label"]) for r in rows]

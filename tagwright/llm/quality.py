@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagwright.llm.common import labelled_texts, map_batches, words_of
+from tagwright.llm.common import bounded_labels, map_batches, text_key, words_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
@@ -170,11 +170,26 @@ def boost(x: np.ndarray, y: np.ndarray, signs: list[int], config: Config = Confi
     return flat()
 
 
+def sample_features(docs: DataFrame, labels: DataFrame, where: Column | None = None,
+                    config: Config = Config()) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the bounded sample, by id and text. Texts are counted in tasks; the driver gets numbers only."""
+    chosen = F.broadcast(bounded_labels(labels, "quality", config.max_rows, where))  # <= max_rows rows of two numbers
+
+    def count(cols):
+        return {"doc_id": cols["doc_id"], "key": cols["key"], "label": cols["label"],
+                "features": [statistics(t.as_py())[1] for t in cols["text"]]}
+
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("key"), F.col("label").cast("long").alias("label"), "text")
+    counted = map_batches(rows, count, "doc_id long, key string, label long, features array<double>")
+    got = counted.orderBy("doc_id", "key").limit(2 * config.max_rows).select("features", "label").toArrow()
+    x = got["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return x.reshape(len(got), len(FEATURES)), got["label"].to_numpy().astype(float)
+
+
 def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, config: Config = Config()) -> Trees:
     """Fit on at most ``config.max_rows`` labelled documents (half per class, chosen by a hash of the id)."""
-    texts, y = labelled_texts(docs, labels, "quality", config.max_rows, where)
-    x = np.array([statistics(t)[1] for t in texts]).reshape(len(texts), len(FEATURES))
-    return boost(x, np.array(y, dtype=float), list(FEATURES.values()), config)
+    return boost(*sample_features(docs, labels, where, config), list(FEATURES.values()), config)
 
 
 def apply_rules(docs: DataFrame, trees: Trees, threshold: float = 0.5) -> DataFrame:

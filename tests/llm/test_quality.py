@@ -56,6 +56,18 @@ def test_query_rules_and_held_out_accuracy(spark):
     assert sum(right) / len(right) > 0.95
 
 
+def test_sample_is_counted_in_tasks(spark, docs_of):
+    """The features of the bounded sample equal those counted here, in the order of ids, repeated rows and null texts included."""
+    docs = docs_of([(i, f"word {i} # again\nword {i}") for i in range(40)] + [(3, None), (3, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    x, y = quality.sample_features(docs, labels)
+    want = sorted([(i, f"word {i} # again\nword {i}") for i in range(30)] + [(3, ""), (3, "")], key=lambda r: r[0])
+    assert len(x) == 32 and y.tolist() == [i % 2 for i, _ in want]
+    assert sorted(map(tuple, x.tolist())) == sorted(tuple(quality.statistics(t)[1]) for _, t in want)
+    few, _ = quality.sample_features(docs, labels, config=quality.Config(max_rows=10))
+    assert len(few) <= 20
+
+
 def test_one_class_and_hostile_rows(spark, hostile):
     labels = spark.createDataFrame([(1, 1), (5, 1), (None, 0), (8, None), (1, 1)], "doc_id long, quality int")
     got = quality.apply_rules(hostile, quality.train(hostile, labels)).collect()
