@@ -51,6 +51,23 @@ def test_sampling_follows_the_weights(spark, docs_of):
     assert 320 < sum(counts.values()) < 346 and counts[0] > 3 * counts[1]
 
 
+@pytest.mark.parametrize("weight", [0.05, 0.2, 1.0])
+def test_no_bucket_is_hot_at_any_weight(spark, weight):
+    """The one bucket that is sorted holds a small multiple of the even share, whatever the weight of the source."""
+    n, buckets = 100_000, 317
+    keys = spark.range(n).select(mixing.exponential_key(F.col("id"), F.lit("t"), F.lit(weight), "mix").alias("_key"),
+                                 F.lit(buckets).alias("_buckets"))
+    largest = keys.groupBy(mixing._bucket().alias("b")).count().agg(F.max("count")).first()[0]
+    assert largest < 14 * n / buckets
+
+
+def test_a_source_of_letterless_texts_meets_its_target(spark, docs_of):
+    rows = [(i, "1 2 3 4 5 6 7 8", "a") for i in range(2000)] + [(5000 + i, "w " * 8, "b") for i in range(2000)]
+    mix = mixing.mix(docs_of(rows))
+    for r in mix.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("x")).collect():
+        assert abs(r["t"] - r["x"]) <= 4
+
+
 def test_hostile_rows(spark, hostile):
     got = mixing.mix(hostile).collect()
     assert len(got) == 12 and sum(r["taken"] for r in got if r["size"] == 0) == 0
