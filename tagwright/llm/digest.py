@@ -10,7 +10,7 @@ compared by the share of common bits above what chance gives, each filter of
 the shorter chain with its best match in the other.
 
 ``with_neighbours`` puts documents in descending order of id without a global window: ids are cut
-into ranges, each range is one partition sorted by id, and the first document of the next range
+into ranges (one per ``RANGE_BYTES`` of text), each range is one partition sorted by id, and the first document of the next range
 travels with the one before it.
 
 Defined results: null texts count as empty; empty texts have the empty fingerprint, which is like itself (1)
@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 from tagwright.llm.common import text_key, utf8
 
 WINDOW, PICK, BINS = 64, 8, 1000
+RANGE_BYTES = 128 << 20   # text of one id range, about: what one task sorts and compares
+FLUSH_CHARS = 8_000_000   # characters of edited text held before they leave the task
 SPAN, VOTES = 8, 2
 BITS, HASHES, FILL = 2048, 5, 160
 _CHUNK = 2048
@@ -132,26 +134,37 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def entropy_counts(docs: DataFrame) -> np.ndarray:
     """How many windows of the whole corpus fall into each entropy bin (BINS + 1 numbers)."""
+    return corpus_counts(docs)[0]
+
+
+def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """The entropy counts and the corpus's size in bytes, in one pass."""
     def count(source):
-        total = np.zeros(BINS + 1, dtype=np.int64)
+        total = np.zeros(BINS + 2, dtype=np.int64)   # the last one counts bytes
         for batch in source:
             for text in batch.column(0).to_pylist():
                 raw = np.frombuffer(utf8(text), dtype=np.uint8)
-                total += np.bincount(features(raw, window_starts(raw))[0], minlength=BINS + 1)
+                total[:-1] += np.bincount(features(raw, window_starts(raw))[0], minlength=BINS + 1)
+                total[-1] += len(raw)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bin", "n"])
 
     rows = docs.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(BINS + 1, dtype=np.int64)
-    for r in rows:   # at most BINS + 1
+    out = np.zeros(BINS + 2, dtype=np.int64)
+    for r in rows:   # at most BINS + 2
         out[r["bin"]] = r["n"]
-    return out
+    return out[:-1], int(out[-1])
+
 
+def range_count(n_bytes: int, least: int) -> int:
+    """Id ranges for a corpus of ``n_bytes``: they grow in number with it, not in size."""
+    return max(least, -(-n_bytes // RANGE_BYTES))
 
-def ranges(docs: DataFrame) -> DataFrame:
+
+def ranges(docs: DataFrame, n_bytes: int = 0) -> DataFrame:
     """Documents dealt into id ranges (``_part``, descending ids), each followed by the first one of the next range."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = range_count(n_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("_key", text_key("text")).withColumn("_neg", F.coalesce(-F.col("doc_id").cast("double"), F.lit(float("inf"))))
     probs = [(i + 1) / parts for i in range(parts - 1)]
@@ -180,13 +193,15 @@ OUT = ("doc_id long, n_chars long, edited string, fingerprint string, edited_fin
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """Every document's digest, its edited text (the last half of its code points replaced by as many first ones of the
     next document) with that text's digest, and the likeness to the edited text and to the next document."""
-    held = docs.sparkSession.sparkContext.broadcast(entropy_counts(docs))   # BINS + 1 numbers
+    counts, n_bytes = corpus_counts(docs)
+    held = docs.sparkSession.sparkContext.broadcast(counts)   # BINS + 1 numbers
 
     def run(source):
         frequency = held.value
-        now, out = None, {n.split()[0]: [] for n in OUT.split(", ")}
+        now, out, waiting = None, {n.split()[0]: [] for n in OUT.split(", ")}, 0
 
-        def close(doc, following) -> None:
+        def close(doc, following):
+            nonlocal waiting
             half = len(doc["text"]) // 2
             edited = doc["text"][:len(doc["text"]) - half] + following["text"][:half]
             mark = digest(edited, frequency)
@@ -195,8 +210,13 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
             for _ in range(doc["times"]):
                 for column, v in zip(out.values(), row):
                     column.append(v)
+                waiting += len(edited) + len(row[3]) + len(row[4])
+                if len(out["doc_id"]) >= 500 or waiting >= FLUSH_CHARS:
+                    yield flush()
 
         def flush():
+            nonlocal waiting
+            waiting = 0
             batch = pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2))],
                 names=list(out))
@@ -211,11 +231,9 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
                     continue
                 following = {"doc_id": doc_id, "text": text, "part": part, "times": 1, "mark": digest(text, frequency)}
                 if now is not None:
-                    close(now, following)
+                    yield from close(now, following)
                 now = None if guest else following   # a guest is the last row of its range
-                if sum(map(len, out["edited"][-1:])) and len(out["doc_id"]) >= 500:
-                    yield flush()
         if out["doc_id"]:
             yield flush()
 
-    return ranges(docs).mapInArrow(run, OUT)
+    return ranges(docs, n_bytes).mapInArrow(run, OUT)

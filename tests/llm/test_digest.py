@@ -69,6 +69,19 @@ def test_entropy_and_selection_match_brute_force():
     assert digest.improbable(bins, hashes, frequency).tolist() == [h for h, v in zip(hashes.tolist(), votes) if v >= digest.VOTES]
 
 
+def test_ranges_follow_the_size_and_long_texts_leave_the_task_early(spark, docs_of, monkeypatch):
+    assert digest.range_count(10, 8) == 8 and digest.range_count(100 * digest.RANGE_BYTES + 1, 8) == 101
+    docs = docs_of([(i, prose(random.Random(i), 200)) for i in range(30)] + [(7, "twice"), (7, "twice"), (31, None)])
+    counts, n_bytes = digest.corpus_counts(docs)
+    assert counts.tolist() == digest.entropy_counts(docs).tolist()
+    assert n_bytes == sum(len((r["text"] or "").encode()) for r in docs.collect())
+    plain = digest.with_neighbours(docs)
+    rows = sorted(map(tuple, plain.collect()))
+    monkeypatch.setattr(digest, "RANGE_BYTES", n_bytes // 12)   # more ranges
+    monkeypatch.setattr(digest, "FLUSH_CHARS", 1)               # every row at once
+    assert sorted(map(tuple, digest.with_neighbours(docs).collect())) == rows and len(rows) == 33
+
+
 def test_hostile_rows_and_small_tables(spark, hostile, docs_of):
     got = digest.with_neighbours(hostile)
     assert got.count() == 12
