@@ -1,6 +1,6 @@
 """Command line: python -m tagwright <step> ...
 
-  requests  <comments.csv> <out.jsonl-dir>               comments (username, comment[, custom_id]) -> requests
+  requests  <comments.csv|.xlsx> <out.jsonl-dir>         comments (username, comment[, custom_id]; workbook: first and third column) -> requests
   labels    <requests-dir> <responses-path> <out-dir>    answers -> unlabeled / labeled / purged CSV
   split     <labeled-csv-dir> <out-dir>                  purged labels -> train / validation / test CSV
   train     <split-dir> <out-dir>                        train / validation / test CSV -> best model, predictions, reports
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tagwright import schemas
 from tagwright.plans import workflows as W
 from tagwright.session import get_spark, release_scratch
-from tagwright.sources import csv as CSV
+from tagwright.sources import csv as CSV, workbook as WB
 
 
 def main(argv: list[str]) -> int:
@@ -26,7 +26,8 @@ def main(argv: list[str]) -> int:
     spark = get_spark(app=f"tagwright-{argv[0]}")
     cmd, args = argv[0], argv[1:]
     if cmd == "requests":
-        W.write_label_requests(CSV.read_comments(spark, args[0]), args[1])
+        source = WB if args[0].lower().endswith(".xlsx") else CSV
+        W.write_label_requests(source.read_comments(spark, args[0]), args[1])
     elif cmd == "labels":
         out = W.build_labeled_dataset(spark, args[0], args[1], args[2])
         out["counts"].show(truncate=False)

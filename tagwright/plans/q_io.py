@@ -121,3 +121,15 @@ def q_percent_format(spark, sf):
     from tagwright.sources.tables import load
     d = M.class_distribution(load(spark, sf, "documents").select(F.col("lang").alias("class")), label_type="string")
     return d.select(F.col("class").alias("lang"), TX.percent_format("pct").alias("share"))
+
+
+@register("read_workbook", "SELECT source AS username, text AS comment, CAST(-1 AS INTEGER) AS class FROM documents")
+def q_read_workbook(spark, sf):
+    """A spreadsheet of comments -> user name and comment by position, class -1: the labelling's first step."""
+    from tagwright.sources import workbook as WB
+    from tagwright.sources.tables import load
+    path = scratch_path(spark, "workbooks")
+    WB.workbooks_of(load(spark, sf, "documents").select("source", "lang", "text")).write.parquet(path)
+    cells = WB.parse_workbooks(spark.read.parquet(path))
+    named = cells.where(F.col("row") > 1).select(*[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(3)])
+    return P.init_class(P.project_by_position(named))
