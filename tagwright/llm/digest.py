@@ -1,14 +1,17 @@
 """Document fingerprints: improbable-feature digests.
 
-Features are 64-byte windows at content-defined positions (a hash of the 8 bytes there
-picks about one in eight). A window's rarity is how seldom windows of its entropy are
-in the whole corpus: one pass counts entropies over all documents into ``BINS`` bins. In
-each run of ``SPAN`` successive windows the rarest gets a vote, and windows with ``VOTES`` or more
-are the improbable features. They are inserted in text order into Bloom filters of
+Features are the 64-byte windows of a text, one at every byte. A window's rarity is how seldom windows of its entropy are
+in the whole corpus: one pass counts the entropies of all windows of all documents into ``BINS`` bins. In
+each run of ``SPAN`` successive windows the rarest (of equally rare ones the one of the least hash) gets a vote, and windows
+with ``VOTES`` or more in a row are the improbable features. They are inserted in text order into Bloom filters of
 2048 bits with five hash functions; after 160 features the next filter is begun. Two digests are
 compared by the share of common bits above what chance gives, each filter of
 the shorter chain with its best match in the other.
 
+From one window to the next one byte leaves and one enters, so entropies follow from how often these two are among the
+63 bytes between: a stable sort of a block's bytes gives these counts for all its windows at once. An edited
+text has the windows of its two halves, read before, and the 63 across the seam.
+
 ``with_neighbours`` puts documents in descending order of id without a global window: ids are cut
 into ranges (one per ``RANGE_BYTES`` of text), each range is one partition sorted by id, and the first document of the next range
 travels with the one before it.
@@ -30,72 +33,123 @@ from pyspark.sql import DataFrame, functions as F
 
 from tagwright.llm.common import text_key, utf8
 
-WINDOW, PICK, BINS = 64, 8, 1000
+WINDOW, BINS = 64, 1000
 RANGE_BYTES = 128 << 20   # text of one id range, about: what one task sorts and compares
 FLUSH_CHARS = 8_000_000   # characters of edited text held before they leave the task
-SPAN, VOTES = 8, 2
+SPAN, VOTES = 64, 16
+SHORT = 8                 # a text of fewer than SHORT spans has spans of 1/SHORT of its windows
 BITS, HASHES, FILL = 2048, 5, 160
-_CHUNK = 2048
+_BLOCK = 1 << 15          # windows worked on at a time
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_HASH_BITS = np.uint64(54)   # of a window's key; the ten above hold its rarity
 _N = np.arange(WINDOW + 1)
-_NLOGN = np.where(_N > 0, _N * np.log2(np.maximum(_N, 1)), 0.0).astype(np.float32)
+_NLOGN = np.round(np.where(_N > 0, _N * np.log2(np.maximum(_N, 1)), 0.0) * (1 << 20)).astype(np.int64)   # whole numbers: sums are exact
+_GAIN = np.diff(_NLOGN)
 
 
-def window_starts(raw: np.ndarray) -> np.ndarray:
-    """Content-defined positions: decided by the 8 bytes there, so they move with the text."""
-    n = len(raw) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(min(1, len(raw)), dtype=np.int64)
-    value = np.zeros(n, dtype=np.uint64)
-    for k in range(8):
-        value = (value << np.uint64(8)) | raw[k:k + n]
-    mixed = (value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-    at = np.flatnonzero(mixed % np.uint64(PICK) == 0)
-    return at if len(at) else np.array([int(np.argmin(mixed))])
+def _blocks(raw: np.ndarray):
+    """The bytes of successive blocks of windows; a text under 64 bytes is one window, filled up with zeros."""
+    if 0 < len(raw) < WINDOW:
+        raw = np.concatenate([raw, np.zeros(WINDOW - len(raw), dtype=np.uint8)])
+    for k in range(0, len(raw) - WINDOW + 1, _BLOCK):
+        yield raw[k:k + _BLOCK + WINDOW - 1]
+
+
+def _entropy_bins(part: np.ndarray) -> np.ndarray:
+    """Entropy bin of each window of a block."""
+    n = len(part)
+    order = np.argsort(part, kind="stable")
+    spot = part[order] * np.int64(n + WINDOW) + order    # ascending: positions of each byte, bytes far apart
+    place = np.arange(n)
+    ahead, back = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    ahead[order] = np.searchsorted(spot, spot + (WINDOW - 1), side="right") - place - 1   # equal ones among the next 63
+    back[order] = place - np.searchsorted(spot, spot - (WINDOW - 1), side="left")         # and among the last 63
+    total = np.empty(n - WINDOW + 1, dtype=np.int64)
+    total[0] = _NLOGN[np.bincount(part[:WINDOW])].sum()
+    total[1:] = _GAIN[back[WINDOW:]] - _GAIN[ahead[:n - WINDOW]]
+    return np.rint((1 - np.cumsum(total) / _NLOGN[WINDOW]) * BINS).astype(np.int64)
+
+
+def _hashes(part: np.ndarray) -> np.ndarray:
+    """64-bit hash of each window of a block."""
+    n = len(part) - WINDOW + 1
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(part, 8)).view("<u8").ravel()
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(0, WINDOW, 8):
+        h = (h ^ eight[j:j + n]) * _MIX
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def bin_counts(raw: np.ndarray) -> np.ndarray:
+    """How many windows of a text fall into each entropy bin."""
+    total = np.zeros(BINS + 1, dtype=np.int64)
+    for part in _blocks(raw):
+        total += np.bincount(_entropy_bins(part), minlength=BINS + 1)
+    return total
+
+
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Per entropy bin its rank by count, as the high bits of a key; bins of equal counts have the same."""
+    return np.unique(counts, return_inverse=True)[1].astype(np.uint64) << _HASH_BITS
+
+
+def keys(raw: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """One key per window: its rarity, then its hash. The smaller, the rarer."""
+    out = [rare[_entropy_bins(part)] | (_hashes(part) >> (np.uint64(64) - _HASH_BITS)) for part in _blocks(raw)]
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def spliced_keys(raw: np.ndarray, first: np.ndarray, second: np.ndarray, cut: int, rare: np.ndarray) -> np.ndarray:
+    """``keys(raw, rare)`` of a text whose first ``cut`` bytes begin the text with the keys ``first`` and whose others begin
+    that of ``second``; only windows across the seam are read."""
+    if len(raw) < WINDOW:
+        return keys(raw, rare)
+    seam = raw[max(0, cut - WINDOW + 1):cut + WINDOW - 1]
+    return np.concatenate([first[:max(0, cut - WINDOW + 1)], keys(seam, rare) if len(seam) >= WINDOW else first[:0],
+                           second[:max(0, len(raw) - cut - WINDOW + 1)]])
 
 
-def features(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(entropy bin, 64-bit hash) of each window."""
-    if len(raw) < WINDOW:
-        raw = np.concatenate([raw, np.zeros(WINDOW - len(raw), dtype=np.uint8)])
-    bins, hashes = [], []
-    for k in range(0, len(starts), _CHUNK):
-        at = starts[k:k + _CHUNK]
-        w = raw[at[:, None] + np.arange(WINDOW)]
-        flat = (np.arange(len(at))[:, None] * 256 + w).ravel()
-        count = np.bincount(flat, minlength=len(at) * 256).reshape(len(at), 256)
-        entropy = (np.log2(WINDOW) - _NLOGN[count].sum(axis=1) / WINDOW) / np.log2(WINDOW)
-        bins.append(np.clip((entropy * BINS).round(), 0, BINS).astype(np.int64))
-        words = np.ascontiguousarray(w).view("<u8")
-        h = np.zeros(len(at), dtype=np.uint64)
-        for j in range(words.shape[1]):
-            h = (h ^ words[:, j]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-        hashes.append(h)
-    return (np.concatenate(bins), np.concatenate(hashes)) if bins else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-
-def improbable(bins: np.ndarray, hashes: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """Hashes of the windows that are the rarest around, in text order."""
-    n = len(bins)
+def _least(k: np.ndarray, span: int) -> np.ndarray:
+    """The least of each ``span`` successive keys."""
+    width = 1
+    while 2 * width <= span:
+        k, width = np.minimum(k[:-width], k[width:]), 2 * width
+    return np.minimum(k[:width - span], k[span - width:]) if width < span else k
+
+
+def improbable(k: np.ndarray) -> np.ndarray:
+    """Keys of the windows that are the rarest around, in text order. In texts of fewer than SHORT * SPAN
+    windows spans are shorter and fewer votes do; if no window has enough votes, those with the most stay."""
+    n = len(k)
     if n == 0:
-        return hashes
-    # rarest first; equal rarity by hash, so that the choice depends on content alone
-    rank = np.empty(n, dtype=np.int64)
-    rank[np.lexsort((hashes, frequency[bins]))] = np.arange(n)
-    if n <= SPAN:
-        return hashes[[int(np.argmin(rank))]] if n < 3 else hashes[rank < max(1, n // 3)]
-    view = np.lib.stride_tricks.sliding_window_view(rank, SPAN)
-    votes = np.bincount(view.argmin(axis=1) + np.arange(len(view)), minlength=n)
-    chosen = votes >= VOTES
-    return hashes[chosen if chosen.any() else votes == votes.max()]
+        return k
+    span = min(SPAN, max(1, n // SHORT))
+    votes, winners = [], []
+    for s in range(0, n - span + 1, _BLOCK):
+        least = _least(k[s:s + _BLOCK + span - 1], span)
+        head = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+        run, value = np.diff(head, append=len(least)), least[head]
+        if winners and winners[-1][-1] == value[0]:   # a run that goes on from the block before
+            run[0] += votes[-1][-1]
+            votes[-1], winners[-1] = votes[-1][:-1], winners[-1][:-1]
+            if not len(winners[-1]):
+                votes.pop(), winners.pop()
+        votes.append(run)
+        winners.append(value)
+    run, value = np.concatenate(votes), np.concatenate(winners)
+    chosen = run >= max(1, span * VOTES // SPAN)
+    return value[chosen if chosen.any() else run == run.max()]
 
 
 def filters(chosen: np.ndarray) -> np.ndarray:
     """The chain of Bloom filters, one row of bytes each."""
     chain = []
-    seen = list(dict.fromkeys(chosen.tolist()))
+    seen = np.array(list(dict.fromkeys(chosen.tolist())), dtype=np.uint64)
+    seen = (seen ^ (seen >> np.uint64(29))) * _MIX
+    seen ^= seen >> np.uint64(32)
     for k in range(0, len(seen), FILL):
-        h = np.array(seen[k:k + FILL], dtype=np.uint64)
+        h = seen[k:k + FILL]
         bits = np.zeros(BITS, dtype=np.uint8)
         for j in range(HASHES):
             bits[((h >> np.uint64(12 * j)) % np.uint64(BITS)).astype(np.int64)] = 1
@@ -103,9 +157,12 @@ def filters(chosen: np.ndarray) -> np.ndarray:
     return np.array(chain, dtype=np.uint8).reshape(len(chain), BITS // 8)
 
 
-def digest(text: str | None, frequency: np.ndarray) -> np.ndarray:
-    raw = np.frombuffer(utf8(text), dtype=np.uint8)
-    return filters(improbable(*features(raw, window_starts(raw)), frequency))
+def raw_bytes(text: str | None) -> np.ndarray:
+    return np.frombuffer(utf8(text), dtype=np.uint8)
+
+
+def digest(text: str | None, counts: np.ndarray) -> np.ndarray:
+    return filters(improbable(keys(raw_bytes(text), rarity(counts))))
 
 
 def to_string(chain: np.ndarray) -> str:
@@ -143,8 +200,8 @@ def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
         total = np.zeros(BINS + 2, dtype=np.int64)   # the last one counts bytes
         for batch in source:
             for text in batch.column(0).to_pylist():
-                raw = np.frombuffer(utf8(text), dtype=np.uint8)
-                total[:-1] += np.bincount(features(raw, window_starts(raw))[0], minlength=BINS + 1)
+                raw = raw_bytes(text)
+                total[:-1] += bin_counts(raw)
                 total[-1] += len(raw)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bin", "n"])
@@ -197,14 +254,15 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(counts)   # BINS + 1 numbers
 
     def run(source):
-        frequency = held.value
+        rare = rarity(held.value)
         now, out, waiting = None, {n.split()[0]: [] for n in OUT.split(", ")}, 0
 
         def close(doc, following):
             nonlocal waiting
             half = len(doc["text"]) // 2
-            edited = doc["text"][:len(doc["text"]) - half] + following["text"][:half]
-            mark = digest(edited, frequency)
+            start = doc["text"][:len(doc["text"]) - half]
+            edited = start + following["text"][:half]
+            mark = filters(improbable(spliced_keys(raw_bytes(edited), doc["keys"], following["keys"], len(utf8(start)), rare)))
             row = (doc["doc_id"], len(doc["text"]), edited, to_string(doc["mark"]), to_string(mark),
                    likeness(doc["mark"], mark), likeness(doc["mark"], following["mark"]))
             for _ in range(doc["times"]):
@@ -229,7 +287,8 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
                 if now is not None and not guest and (now["doc_id"], now["part"], now["text"]) == (doc_id, part, text):
                     now["times"] += 1
                     continue
-                following = {"doc_id": doc_id, "text": text, "part": part, "times": 1, "mark": digest(text, frequency)}
+                found = keys(raw_bytes(text), rare)
+                following = {"doc_id": doc_id, "text": text, "part": part, "times": 1, "keys": found, "mark": filters(improbable(found))}
                 if now is not None:
                     yield from close(now, following)
                 now = None if guest else following   # a guest is the last row of its range

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import random
 
 import numpy as np
@@ -49,24 +51,52 @@ def test_likeness_of_copies_edits_and_strangers(spark, docs_of):
     assert digest.likeness(digest.digest(docs[5][1], f), digest.digest(near, f)) > 0.8
 
 
-def test_entropy_and_selection_match_brute_force():
-    rng = np.random.default_rng(3)
-    raw = rng.integers(97, 110, 700).astype(np.uint8)
-    starts = digest.window_starts(raw)
-    bins, hashes = digest.features(raw, starts)
-    for s, b in zip(starts, bins):
-        w = raw[s:s + 64]
-        p = np.array([np.mean(w == c) for c in set(w.tolist())])
-        assert abs(-(p * np.log2(p)).sum() / 6 * digest.BINS - b) <= 0.51
-    moved = np.concatenate([np.full(11, 200, np.uint8), raw])
-    assert set(hashes) <= set(digest.features(moved, digest.window_starts(moved))[1])
-    frequency = np.arange(digest.BINS + 1)
-    rank = sorted(range(len(bins)), key=lambda i: (frequency[bins[i]], hashes[i]))
-    rank = {i: k for k, i in enumerate(rank)}
-    votes = [0] * len(bins)
-    for k in range(len(bins) - digest.SPAN + 1):
-        votes[min(range(k, k + digest.SPAN), key=rank.get)] += 1
-    assert digest.improbable(bins, hashes, frequency).tolist() == [h for h, v in zip(hashes.tolist(), votes) if v >= digest.VOTES]
+def brute_bin(w):
+    return -sum(w.count(c) / 64 * math.log2(w.count(c) / 64) for c in set(w)) / 6 * digest.BINS
+
+
+def brute_chosen(k):
+    """Runs of spans with the same least key, span by span."""
+    span = min(64, max(1, len(k) // 8))
+    runs = [(key, len(list(g))) for key, g in itertools.groupby(min(k[i:i + span]) for i in range(len(k) - span + 1))]
+    need = max(1, span // 4)
+    return [key for key, n in runs if n >= need] or [key for key, n in runs if n == max(m for _, m in runs)]
+
+
+def test_entropy_and_selection_match_brute_force(monkeypatch):
+    rng = random.Random(3)
+    counts = np.array([rng.randrange(50) for _ in range(digest.BINS + 1)])
+    rare = digest.rarity(counts)
+    assert all((rare[i] < rare[j]) == (counts[i] < counts[j]) for i in range(0, 1000, 37) for j in range(1001))
+    for block in (1 << 15, 50):   # one block, and many
+        monkeypatch.setattr(digest, "_BLOCK", block)
+        for n in (1, 40, 64, 65, 100, 180, 191, 192, 700):
+            text = bytes(rng.choice(b"abcdefg hij\x00\xff") for _ in range(n))
+            raw = np.frombuffer(text, dtype=np.uint8)
+            padded = text.ljust(64, b"\x00")
+            every = [padded[i:i + 64] for i in range(len(padded) - 63)]
+            bins = np.concatenate([digest._entropy_bins(part) for part in digest._blocks(raw)])
+            assert len(bins) == len(every) and all(abs(brute_bin(w) - b) <= 0.501 for w, b in zip(every, bins.tolist()))
+            assert digest.bin_counts(raw).tolist() == np.bincount(bins, minlength=digest.BINS + 1).tolist()
+            k = digest.keys(raw, rare)
+            assert (k >> np.uint64(54)).tolist() == (rare[bins] >> np.uint64(54)).tolist()
+            alone = [int(digest.keys(np.frombuffer(w, dtype=np.uint8), rare)[0]) for w in every]   # a key follows from its window alone
+            assert k.tolist() == alone and len(set(alone)) == len(set(every))
+            assert digest.improbable(k).tolist() == brute_chosen(k.tolist())
+    flat = digest.keys(np.zeros(500, dtype=np.uint8), rare)
+    assert digest.improbable(flat).tolist() == [int(flat[0])]
+
+
+def test_keys_of_a_spliced_text_are_those_of_its_halves():
+    rng = np.random.default_rng(5)
+    rare = digest.rarity(np.arange(digest.BINS + 1))
+    sizes = (0, 1, 30, 62, 63, 64, 65, 127, 128, 300)
+    for a, b in itertools.product(sizes, sizes):
+        first, second = (rng.integers(97, 110, n).astype(np.uint8) for n in (a + 70, b + 5))
+        for cut in {a, a + 70}:
+            raw = np.concatenate([first[:cut], second[:b]])
+            got = digest.spliced_keys(raw, digest.keys(first, rare), digest.keys(second, rare), cut, rare)
+            assert got.tolist() == digest.keys(raw, rare).tolist()
 
 
 def test_ranges_follow_the_size_and_long_texts_leave_the_task_early(spark, docs_of, monkeypatch):
