@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tagwright.llm.common import n_words, packed, text_key, unpacked
+from tagwright.operators.prepare import assign_row_id
 from tagwright.session import ensure_checkpoint_dir
 
 MIN_WEIGHT = 0.05
@@ -46,24 +47,24 @@ def exponential_key(doc_id: Column, text: Column, weight: Column, seed: str) ->
 def targets(sources: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     """Add each source's weight and its target: shares of the total by weight, at most ``max_epochs`` times its size.
 
-    ``sources``: one row (source, docs, source_size) per source, so the windows run over one row per source.
-    In order of cap per weight, a source is capped while the level that the others would share stays above it.
+    ``sources``: one row (source, docs, source_size) per source; there may be as many as there are hosts. Ranks come from a
+    sort in ranges. The level that uncapped sources share rises round by round, as those whose cap it passes are held at
+    it, until it passes no more; a round is one aggregate, of which the driver gets three numbers.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    s = (sources.withColumn("weight", ((F.row_number().over(order) - 1) % CYCLE + 1).cast("double"))
-         .withColumn("cap", max_epochs * F.col("source_size")))
-    everything = W.partitionBy()
-    earlier = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    s = (s.withColumn("_total", F.sum("source_size").over(everything).cast("double"))
-         .withColumn("_weights", F.sum("weight").over(everything))
-         .withColumn("_cap_before", F.coalesce(F.sum("cap").over(earlier), F.lit(0.0)))
-         .withColumn("_weight_before", F.coalesce(F.sum("weight").over(earlier), F.lit(0.0)))
-         .withColumn("_capped", F.col("cap") / F.col("weight") * (F.col("_weights") - F.col("_weight_before"))
-                     <= F.col("_total") - F.col("_cap_before")))
-    free = F.sum(F.when(~F.col("_capped"), F.col("weight"))).over(everything)
-    spent = F.coalesce(F.sum(F.when(F.col("_capped"), F.col("cap"))).over(everything), F.lit(0.0))
-    level = (F.col("_total") - spent) / free
-    return (s.withColumn("target", F.when(F.col("_capped"), F.col("cap")).otherwise(F.least("cap", level * F.col("weight"))))
+    ensure_checkpoint_dir(sources.sparkSession)
+    s = assign_row_id(sources.checkpoint(), [F.col("source").asc_nulls_last()], "_rank")
+    s = (s.withColumn("weight", (F.col("_rank") % CYCLE + 1).cast("double"))
+         .withColumn("cap", max_epochs * F.col("source_size")).checkpoint())
+    first = s.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights")).first()
+    words, level, held = float(first["words"] or 0), (first["words"] or 0) / (first["weights"] or 1), 0
+    while True:
+        capped = F.col("cap") / F.col("weight") <= F.lit(level)
+        now = s.agg(F.count_if(capped).alias("held"), F.coalesce(F.sum(F.when(capped, F.col("cap"))), F.lit(0.0)).alias("spent"),
+                    F.sum(F.when(~capped, F.col("weight"))).alias("free")).first()
+        if now["held"] == held:
+            break
+        held, level = now["held"], (words - now["spent"]) / now["free"] if now["free"] else float("inf")
+    return (s.withColumn("target", F.when(capped, F.col("cap")).otherwise(F.least("cap", F.lit(level) * F.col("weight"))))
             .select("source", "docs", "source_size", "weight", "target"))
 
 

@@ -30,6 +30,14 @@ def test_targets(spark, sizes):
     assert got == pytest.approx(brute_targets(sizes))
 
 
+def test_targets_of_many_sources_take_several_rounds(spark):
+    sizes = {f"host{i:04d}": 3 ** (i % 12) for i in range(600)}
+    src = spark.createDataFrame([(s, 1, n) for s, n in sizes.items()], "source string, docs long, source_size long").repartition(13)
+    got = {r["source"]: r["target"] for r in mixing.targets(src).collect()}
+    assert got == pytest.approx(brute_targets(sizes)) and sum(got.values()) == pytest.approx(sum(sizes.values()))
+    assert mixing.targets(src.limit(0)).collect() == []
+
+
 def test_budgets_are_met_by_whole_documents(spark, docs_of):
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 30)), "abc"[i % 7 % 3] if i % 11 else None) for i in range(900)]
     mix = mixing.mix(docs_of(rows)).cache()
