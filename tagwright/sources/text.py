@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tagwright import constants as K
 from tagwright.functions.text import strip_ws
@@ -85,7 +85,7 @@ def metrics_summary_lines(scored: DataFrame, true: str = "true_label", pred: str
         text(errors, 40, F.lit(0), F.concat(F.lit("Total errors: "), F.col("e").cast("string"), F.lit(" ("),
                                             percent_format(M.safe_ratio(F.col("e") * 100, F.col("n"))), F.lit(")"))),
         # most frequent first, then by label
-        text(wrong, 50, -F.col("n") * 1_000_000 + F.col(M.T) * 1000 + F.col(M.P),
+        text(wrong, 50, F.row_number().over(Window.orderBy(F.col("n").desc(), *[F.coalesce(c, F.lit(-2)) for c in (M.T, M.P)])),
              F.concat("transition", F.lit(": "), F.col("n").cast("string"), F.lit(" ("), percent_format("pct_of_errors"), F.lit(")")))]
     out = parts[0]
     for part in parts[1:]:
