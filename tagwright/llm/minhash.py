@@ -6,12 +6,13 @@ tables of 2 ROWS minhashes each cost 2 BANDS ROWS minhashes, about the square ro
 sets of Jaccard similarity s share a table with probability (1 - (1 - s^ROWS)^BANDS)^2: 0.9999 at 0.8. Only bands that
 two sets have are combined, so a document without likes costs no table keys.
 
-Equal sets are one node. Within a table key no set meets all the others. Every set meets one centre of its keys first: of such
-pairs those are plausible of which SIGNATURE of the minhashes agree (of pairs at the threshold 99.997 % do), and
-plausible pairs make clusters. Then the clusters that meet in a key are compared, one set of each with a centre that is
-drawn per key among clusters, so that a large one does not hide the others; a pair at the threshold shares some 50 keys, each
-with its own draw. Links are confirmed on the full sets within the clusters so found: sets meet in tiles of bounded size,
-and a tile compares only sets that it has not linked yet and gives no more links than it has sets.
+Equal sets are one node. A pair is plausible if SIGNATURE of the minhashes agree (of pairs at the threshold 99.997 % are).
+Within a table key every two sets are compared but for those that plausible pairs have joined already: every set meets one
+centre of its keys first, then the clusters that meet in a key are compared, one set of each with a centre that is drawn
+per key among clusters. So a large group of near copies is one cluster before, at last, every two sets of a key that are
+still in different clusters are compared, in tiles of bounded size. Links are confirmed on the full sets within the clusters
+so found: sets meet in tiles of bounded size, and a tile compares only sets that it has not linked yet and gives no more
+links than it has sets.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with nothing; a text of
 fewer words than a shingle is one shingle; repeated rows share their component; a null id is in its set's component but
@@ -37,6 +38,7 @@ BANDS = 14
 SIGNATURE = 0.62
 TILE = 512            # sets of a cluster that meet as many others in one task
 TILE_SHINGLES = 4_000_000
+KEY_TILE = 4096       # sets of a table key that meet as many others in one task
 _SLICE = 1 << 16      # shingles hashed at a time
 
 _rng = np.random.default_rng(SEED)
@@ -150,24 +152,73 @@ def _order(turn: int, root: str, node: str) -> Column:
     return F.struct(F.xxhash64(F.lit(turn), root).alias("_"), F.xxhash64(F.lit(turn), node).alias("_n"), F.col(node).alias("centre"), F.col(root).alias("of"))
 
 
-def clusters(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+def _met(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of one tile the pairs of clusters (a, b) of which two plausible sets share a key."""
+    d = pdf.sort_values("key", kind="stable") if pdf["a"].iloc[0] == pdf["b"].iloc[0] else pdf
+    key, root, n, chunk = (d[c].to_numpy() for c in ("key", "root", "n", "chunk"))
+    short = np.frombuffer(b"".join(d["short"]), dtype=np.uint8).reshape(len(d), -1)
+    out: set[tuple[int, int]] = set()
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        may = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[may], j[may]
+        same = _agreement(short[i], short[j]) >= SIGNATURE
+        i, j = root[i[same]], root[j[same]]
+        out.update(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
+
+    if d is pdf:                                     # two chunks of one key
+        left, right = (np.flatnonzero(chunk == pdf[c].iloc[0]) for c in ("a", "b"))
+        for i in left:
+            compare(np.full(len(right), i), right)
+    else:                                            # whole keys side by side: each set with the next one, the one after it, ...
+        at, step = np.arange(len(d)), 1
+        while len(at := at[:np.searchsorted(at, len(d) - step)]):
+            at = at[key[at + step] == key[at]]
+            compare(at, at + step)
+            step += 1
+    return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+
+
+def meetings(keys: DataFrame, root: DataFrame, short: DataFrame, percent: int) -> DataFrame:
+    """(a, b): clusters of which two plausible sets share a key. Every two sets of a key that lie in different clusters are
+    compared, in tiles of bounded size; keys with one cluster are left out."""
+    there = keys.join(root, "node").checkpoint()
+    sizes = there.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    sizes = sizes.select("key", "size", F.ceil(F.col("size") / KEY_TILE).alias("chunks")).checkpoint()
+    bins = max(1, (sizes.where("chunks = 1").agg(F.sum("size")).first()[0] or 0) // KEY_TILE)       # many small keys in one tile
+    d = there.join(sizes, "key").checkpoint()
+    zero = F.lit(0).cast("long")
+    whole = d.where("chunks = 1").select(F.lit(False).alias("large"), F.pmod(F.xxhash64("key"), F.lit(bins)).alias("tile"),
+                                         zero.alias("a"), zero.alias("b"), zero.alias("chunk"), "key", "root", "node")
+    parts = d.where("chunks > 1").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    parts = parts.withColumn("_o", F.explode(F.sequence(zero, F.col("chunks") - 1)))
+    parts = parts.select(F.lit(True).alias("large"), F.col("key").alias("tile"), F.least("chunk", "_o").alias("a"),
+                         F.greatest("chunk", "_o").alias("b"), "chunk", "key", "root", "node")
+    d = whole.unionByName(parts).join(short, "node")
+    return d.groupBy("large", "tile", "a", "b").applyInPandas(lambda pdf: _met(pdf, percent), "a long, b long").distinct()
+
+
+def clusters(nodes: DataFrame, keys: DataFrame, percent: int = 80) -> DataFrame:
     """(node, root): the clusters of plausible pairs that share a table key, of two nodes or more."""
-    short = nodes.join(keys.select("node").distinct(), "node", "left_semi").select("node", "short").checkpoint()
-
-    def root_of(edges: DataFrame) -> DataFrame:
-        found = components(edges).withColumnsRenamed({"root": "_r"})
-        return _stored(short.select("node").join(found, "node", "left").select("node", F.coalesce("_r", "node").alias("root")))
+    short = nodes.join(keys.select("node").distinct(), "node", "left_semi").select("node", "n", "short").checkpoint()
+    every = short.select("node")
 
     # first the centre that comes first among all those of a node's keys
     centre = keys.withColumn("root", F.col("node")).groupBy("key").agg(F.min(_order(0, "root", "node")).alias("c")).checkpoint()
     nearest = keys.join(centre, "key").groupBy("node").agg(F.min("c").alias("c")).where("node <> c.centre")
     edges = _stored(plausible(nearest.select("node", "c.centre").toDF("a", "b"), short))
-    root = root_of(edges)
+    root = _stored(every.join(edges.toDF("node", "_r"), "node", "left").select("node", F.coalesce("_r", "node").alias("root")))
     # then every two clusters that meet in a key, the others with one of them, each by one of its sets there
     there = (keys.join(root, "node").groupBy("key", "root").agg(F.min(_order(1, "root", "node")).alias("c")).checkpoint())
     centre = there.groupBy("key").agg(F.min("c").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("c").alias("m")).checkpoint()
     pairs = there.join(centre, "key").where("root <> m.of").select(F.least("c.centre", "m.centre").alias("a"), F.greatest("c.centre", "m.centre").alias("b")).distinct()
-    root = root_of(edges.unionByName(_stored(plausible(pairs, short))))
+    found = components(edges.unionByName(_stored(plausible(pairs, short)))).withColumnsRenamed({"root": "_r"})
+    root = _stored(every.join(found, "node", "left").select("node", F.coalesce("_r", "node").alias("root")))
+    # at last every two sets that share a key and are still in different clusters
+    left = _stored(meetings(keys, root, short, percent))
+    if not left.isEmpty():
+        found = components(left).toDF("root", "_r")
+        root = _stored(root.join(found, "root", "left").select("node", F.coalesce("_r", "root").alias("root")))
     return root.join(root.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "root").select("node", "root")
 
 
@@ -228,7 +279,7 @@ def near_copies(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFra
     nodes = p.where("n > 0").groupBy("digest").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short")).checkpoint()
     # numbered after a checkpoint, and stored: a node's number is the same for all that follows
     nodes = nodes.withColumn("node", F.monotonically_increasing_id()).checkpoint()
-    cluster = _stored(clusters(nodes, tables(nodes)))
+    cluster = _stored(clusters(nodes, tables(nodes), percent))
     sets = full_sets(docs, nodes, cluster.select("node"), shingle)
     members = cluster.join(nodes.select("node", "short"), "node").join(sets, "node")
     roots = components(_stored(links(members, percent))).withColumnsRenamed({"root": "_r"})

@@ -105,3 +105,40 @@ def test_bands_find_pairs_at_the_threshold():
         a, b = (minhash.signature(s).reshape(2, minhash.BANDS, minhash.ROWS) for s in (x[:162], x[18:]))   # 144 of 180 in common
         missed += not (a == b).all(axis=2).any(axis=1).all()
     assert missed <= 2
+
+
+def pairs_in_one_key(spark, pairs, unlike=5):
+    """Nodes 2 i and 2 i + 1 have signatures that agree in 80 of 84 places, others in few; all share one table key."""
+    rng = np.random.default_rng(8)
+    nodes = []
+    for i in range(pairs):
+        s = rng.integers(0, 256, 84, dtype=np.uint8)
+        t = s.copy()
+        t[:4] += 1
+        nodes += [(2 * i, 100, bytearray(s.tobytes())), (2 * i + 1, 110, bytearray(t.tobytes()))]
+    nodes += [(2 * pairs + i, 100, bytearray(rng.integers(0, 256, 84, dtype=np.uint8).tobytes())) for i in range(unlike)]
+    df = spark.createDataFrame(nodes, "node long, n long, short binary")
+    return df, df.selectExpr("7L as key", "node")
+
+
+def test_every_pair_of_a_key_is_compared(spark, docs_of, monkeypatch):
+    """Sets unlike the key's centres still meet each other, in one tile or many."""
+    minhash.ensure_checkpoint_dir(spark)
+    nodes, keys = pairs_in_one_key(spark, 40)
+    for tile in (minhash.KEY_TILE, 7):
+        monkeypatch.setattr(minhash, "KEY_TILE", tile)
+        groups = {}
+        for r in minhash.clusters(nodes, keys).collect():
+            groups.setdefault(r["root"], set()).add(r["node"])
+        assert sorted(map(sorted, groups.values())) == [[2 * i, 2 * i + 1] for i in range(40)]
+
+
+def test_pairs_beside_a_common_passage_match_brute_force(spark, docs_of):
+    """Texts that share half of their shingles crowd the same keys; only the pairs among them are links."""
+    rng = random.Random(9)
+    passage, texts = [f"p{i}" for i in range(110)], []
+    for _ in range(60):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(60)]
+        texts += [" ".join(passage + own), " ".join(passage + edited(rng, own, 2))]
+    got = grouped(docs_of(texts))
+    assert got == brute(list(enumerate(texts))) and sum(r[3] for r in got) == 60
