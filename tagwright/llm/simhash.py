@@ -35,6 +35,7 @@ from tagwright.session import ensure_checkpoint_dir
 SEED = 42
 BLOCKS = 4
 PAIRS_UP_TO = 32   # fingerprints of one key that are compared pairwise; larger keys go by variants, exactly
+EDGES = 1 << 17    # of a partition in a round of components
 
 
 def simhash(text: str | None, shingle: int) -> int:
@@ -115,23 +116,26 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) with root the smallest node of the component, by alternating large and small stars.
 
     Each round is joins and grouped minima over the remaining edges, checkpointed in the shared folder; a hub with any
-    number of neighbours is a pre-aggregated minimum and a join that adaptive execution may split.
+    number of neighbours is a pre-aggregated minimum and a join that adaptive execution may split. A round's tables have
+    as few partitions as their rows need: every partition is a file of each checkpoint and some of each shuffle.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct().checkpoint()
     before = None
+    rows = e.count()
     while True:
+        few = -(-rows // EDGES) or 1     # a round adds no edges
         swapped = F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
-        both = e.select(F.explode(F.array(F.struct("u", "v"), swapped)).alias("_")).select("_.u", "_.v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct().checkpoint()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
+        both = e.coalesce(few).select(F.explode(F.array(F.struct("u", "v"), swapped)).alias("_")).select("_.u", "_.v")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(2 * few).checkpoint()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct().coalesce(few).checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(few).checkpoint()
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        e = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(few).checkpoint()
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        before, rows = now, now[0]
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
