@@ -99,3 +99,10 @@ def test_stops_by_its_own_history(data):
     d = stopped.history.withColumn("run_id", F.lit("r"))
     r = H.early_stopping(d, 1).first()
     assert (r["stop_epoch"], r["stopped"], r["best_epoch"]) == (2, 1, 1) and stopped.best_epoch == 1 and d.count() == 2
+
+
+def test_a_slot_is_one_file(data, tmp_path):
+    """Files follow the slots, not the slots times the tasks that cut the texts."""
+    EP.train_epochs(data[0].repartition(13), data[1], S._replace(epochs=1), str(tmp_path / "run"))
+    slots = list((tmp_path / "run" / "train").glob("slot=*"))
+    assert len(slots) > 20 and all(len(list(x.glob("*.parquet"))) == 1 for x in slots)
