@@ -30,6 +30,7 @@ from pyspark.sql.functions import pandas_udf
 from tagwright.llm.common import by_size, labelled, packed, unpacked, utf8
 
 SPACES = np.array([9, 10, 11, 12, 13, 32], dtype=np.uint32)
+SCORE_CHARS = 200_000     # characters cut into n-grams at a time: the cut takes over 100 bytes for each
 
 
 @dataclass(frozen=True)
@@ -168,6 +169,11 @@ def text_logits(texts: list[str], table: np.ndarray, bias: float, config: Config
     return np.maximum.reduceat(passage_scores(grams, owner, int(head[-1]), table), head[:-1]) + bias
 
 
+def logits(texts: Iterable[str | None], table: np.ndarray, bias: float, config: Config) -> np.ndarray:
+    """``text_logits`` of any number of texts, a few at a time."""
+    return np.concatenate([np.zeros(0), *(text_logits(group, table, bias, config) for group in by_size(texts, SCORE_CHARS))])
+
+
 def fit(texts: list[str], labels: list[int], config: Config = Config()) -> Model:
     return fit_sample(Sample.of(texts, config), labels, config)
 
@@ -253,8 +259,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
     @pandas_udf("double")
     def toxic(texts: pd.Series) -> pd.Series:
-        z = [text_logits(group, held.value, bias, config) for group in by_size(texts)]
-        return pd.Series(1 / (1 + np.exp(-np.concatenate(z)))) if z else pd.Series([], dtype="float64")
+        return pd.Series(1 / (1 + np.exp(-logits(texts, held.value, bias, config))))
 
     return docs.withColumn(out, toxic(F.col(text_col)))
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -108,3 +109,19 @@ def test_words_cut_in_a_task_give_the_same_model(spark, docs_of):
     labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
     got, want = toxicity.train(docs_of(texts, 4), labels, None, FAST), toxicity.fit(texts, y, FAST)
     assert (got.vectors == want.vectors).all() and (got.weights == want.weights).all() and (got.bias == want.bias).all()
+
+
+def test_scoring_holds_the_ngrams_of_a_few_texts():
+    """A batch of 2,000,000 characters is cut piece by piece, with the logits of each text cut alone."""
+    config, rng = toxicity.Config(), random.Random(11)
+    vocabulary = [f"wörd{i}" for i in range(500)]
+    texts = [" ".join(rng.choices(vocabulary, k=300)) for _ in range(900)] + [None, ""]
+    assert sum(len(t or "") for t in texts) > 2_000_000
+    table = np.random.default_rng(1).normal(size=config.buckets).astype(np.float32)
+    tracemalloc.start()
+    got = toxicity.logits(texts, table, 0.5, config)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    assert got.tolist() == [toxicity.text_logits([t or ""], table, 0.5, config)[0] for t in texts]
+    assert toxicity.logits([], table, 0.5, config).tolist() == []
