@@ -4,7 +4,9 @@ A document's set holds its distinct word shingles (as XXH64 values). Two collect
 minhashes, are computed; table (i, j) is keyed by band i of the first and band j of the second collection. So BANDS^2
 tables of 2 ROWS minhashes each cost 2 BANDS ROWS minhashes, about the square root of computing them table by table. Two
 sets of Jaccard similarity s share a table with probability (1 - (1 - s^ROWS)^BANDS)^2: 0.9999 at 0.8. Only bands that
-two sets have are combined, so a document without likes costs no table keys.
+two sets have count, so a document without likes costs no keys. Sets of one band i are a key, BANDS at most of a document:
+what shares a table shares it. Only if more than KEY_TILE sets have a band, in which clusters still meet at last, are its
+sets cut into the tables (i, j).
 
 Equal sets are one node. A pair is plausible if SIGNATURE of the minhashes agree (of pairs at the threshold 99.997 % are).
 Within a table key every two sets are compared but for those that plausible pairs have joined already: every set meets one
@@ -95,20 +97,25 @@ def prints(docs: DataFrame, shingle: int) -> DataFrame:
                        f"doc_id {kind}, text_key string, n long, digest binary, bands array<bigint>, short binary")
 
 
-def tables(nodes: DataFrame) -> DataFrame:
-    """(key, node): the table keys that two nodes or more share; of keys with the same nodes one is kept."""
-    bands = nodes.select("node", F.posexplode("bands").alias("slot", "band")).select("node", (F.col("slot") >= BANDS).alias("second"), "band").checkpoint()
-    common = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band").checkpoint()
-    shared = bands.join(common, "band", "left_semi")
-    pick = lambda second: F.collect_list(F.when(F.col("second") == second, F.col("band")))
-    both = shared.groupBy("node").agg(pick(False).alias("u"), pick(True).alias("v"))       # at most BANDS each
-    keys = (both.select("node", "v", F.explode("u").alias("u")).select("node", "u", F.explode("v").alias("v"))
-            .select("node", F.xxhash64("u", "v").alias("key")).checkpoint())
+def _one_of_each(keys: DataFrame) -> DataFrame:
+    """Of keys with the same nodes, two or more, one."""
     h = F.xxhash64("node")
     members = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"),
                                       F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s1"), F.sum(F.shiftright(h, 32)).alias("s2"))
     one = members.where("lo < hi").groupBy("n", "lo", "hi", "s1", "s2").agg(F.min("key").alias("key")).select("key").checkpoint()
-    return keys.join(one, "key", "left_semi").select("key", "node").checkpoint()
+    return keys.join(one, "key", "left_semi")
+
+
+def tables(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, node): the bands of the first collection that two nodes or more share; (node, band): those of the second.
+    Nodes without both are left out: they share no table key."""
+    bands = nodes.select("node", F.posexplode("bands").alias("slot", "band")).select("node", (F.col("slot") >= BANDS).alias("second"), "band").checkpoint()
+    common = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band").checkpoint()
+    shared = bands.join(common, "band", "left_semi").checkpoint()
+    both = shared.groupBy("node").agg(F.min("second").alias("u"), F.max("second").alias("v")).where("not u and v").select("node").checkpoint()
+    shared = shared.join(both, "node", "left_semi").checkpoint()
+    first = shared.where("not second").select(F.col("band").alias("key"), "node")
+    return _one_of_each(first).select("key", "node").checkpoint(), shared.where("second").select("node", "band")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -179,10 +186,21 @@ def _met(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
 
-def meetings(keys: DataFrame, root: DataFrame, short: DataFrame, percent: int) -> DataFrame:
+def narrowed(there: DataFrame, second: DataFrame) -> DataFrame:
+    """Keys (key, node, root) of more than KEY_TILE sets, where clusters meet, are cut by the second bands of their sets."""
+    large = there.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    large = large.where((F.col("lo") < F.col("hi")) & (F.col("size") > KEY_TILE)).select("key").checkpoint()
+    if large.isEmpty():
+        return there
+    cut = there.join(large, "key", "left_semi").join(second, "node").select("node", F.xxhash64("key", "band").alias("key"), "root").checkpoint()
+    return there.join(large, "key", "left_anti").unionByName(_one_of_each(cut)).checkpoint()
+
+
+def meetings(keys: DataFrame, root: DataFrame, short: DataFrame, percent: int, second: DataFrame | None = None) -> DataFrame:
     """(a, b): clusters of which two plausible sets share a key. Every two sets of a key that lie in different clusters are
-    compared, in tiles of bounded size; keys with one cluster are left out."""
+    compared, in tiles of bounded size; keys with one cluster are left out. Large keys are cut by ``second``, if given."""
     there = keys.join(root, "node").checkpoint()
+    there = there if second is None else narrowed(there, second)
     sizes = there.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     sizes = sizes.select("key", "size", F.ceil(F.col("size") / KEY_TILE).alias("chunks")).checkpoint()
     bins = max(1, (sizes.where("chunks = 1").agg(F.sum("size")).first()[0] or 0) // KEY_TILE)       # many small keys in one tile
@@ -198,8 +216,9 @@ def meetings(keys: DataFrame, root: DataFrame, short: DataFrame, percent: int) -
     return d.groupBy("large", "tile", "a", "b").applyInPandas(lambda pdf: _met(pdf, percent), "a long, b long").distinct()
 
 
-def clusters(nodes: DataFrame, keys: DataFrame, percent: int = 80) -> DataFrame:
-    """(node, root): the clusters of plausible pairs that share a table key, of two nodes or more."""
+def clusters(nodes: DataFrame, keys: DataFrame, percent: int = 80, second: DataFrame | None = None) -> DataFrame:
+    """(node, root): the clusters of plausible pairs that share a key (and, if given, a band of ``second``: larger keys are
+    cut by it), of two nodes or more."""
     short = nodes.join(keys.select("node").distinct(), "node", "left_semi").select("node", "n", "short").checkpoint()
     every = short.select("node")
 
@@ -215,7 +234,7 @@ def clusters(nodes: DataFrame, keys: DataFrame, percent: int = 80) -> DataFrame:
     found = components(edges.unionByName(_stored(plausible(pairs, short)))).withColumnsRenamed({"root": "_r"})
     root = _stored(every.join(found, "node", "left").select("node", F.coalesce("_r", "node").alias("root")))
     # at last every two sets that share a key and are still in different clusters
-    left = _stored(meetings(keys, root, short, percent))
+    left = _stored(meetings(keys, root, short, percent, second))
     if not left.isEmpty():
         found = components(left).toDF("root", "_r")
         root = _stored(root.join(found, "root", "left").select("node", F.coalesce("_r", "root").alias("root")))
@@ -279,7 +298,8 @@ def near_copies(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFra
     nodes = p.where("n > 0").groupBy("digest").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short")).checkpoint()
     # numbered after a checkpoint, and stored: a node's number is the same for all that follows
     nodes = nodes.withColumn("node", F.monotonically_increasing_id()).checkpoint()
-    cluster = _stored(clusters(nodes, tables(nodes), percent))
+    first_bands, second_bands = tables(nodes)
+    cluster = _stored(clusters(nodes, first_bands, percent, second_bands))
     sets = full_sets(docs, nodes, cluster.select("node"), shingle)
     members = cluster.join(nodes.select("node", "short"), "node").join(sets, "node")
     roots = components(_stored(links(members, percent))).withColumnsRenamed({"root": "_r"})

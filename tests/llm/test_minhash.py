@@ -142,3 +142,31 @@ def test_pairs_beside_a_common_passage_match_brute_force(spark, docs_of):
         texts += [" ".join(passage + own), " ".join(passage + edited(rng, own, 2))]
     got = grouped(docs_of(texts))
     assert got == brute(list(enumerate(texts))) and sum(r[3] for r in got) == 60
+
+
+def near_group(seed, size, words=80):
+    """Near copies of one text, and texts that share half of it with them."""
+    rng = random.Random(seed)
+    base, texts = [f"b{i}" for i in range(words)], []
+    for i in range(size):
+        texts.append(" ".join(edited(rng, base, 2)))
+        if i % 3 == 0:
+            texts.append(" ".join(base[:words // 2] + [f"x{rng.randrange(10**9)}" for _ in range(words // 3)]))
+    return texts
+
+
+def test_a_group_of_near_copies_has_one_key_per_band(spark, docs_of):
+    """Rows that are joined by key follow the sets and their bands, not the bands' combinations."""
+    minhash.ensure_checkpoint_dir(spark)
+    sets = [minhash.shingle_set(t, 4) for t in near_group(12, 60)]
+    rows = [(i, minhash.band_hashes(minhash.signature(h))) for i, h in enumerate(sets)]
+    keys, *_ = minhash.tables(spark.createDataFrame(rows, "node long, bands array<bigint>"))
+    assert 0 < keys.count() <= minhash.BANDS * len(rows)
+
+
+def test_bands_larger_than_a_tile_are_cut_and_match_brute_force(spark, docs_of, monkeypatch):
+    texts = near_group(13, 45) + sample(14, 8)
+    want = brute(list(enumerate(texts)))
+    for tile in (minhash.KEY_TILE, 5):
+        monkeypatch.setattr(minhash, "KEY_TILE", tile)
+        assert grouped(docs_of(texts)) == want
