@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagwright.operators import epochs as EP, history as H
+from tagwright.operators.bayes import token_counts
 
 S = EP.Settings(features=64, batch=20, epochs=4, learning_rate=0.1)
 SCHEMA = "custom_id string, message string, class int"
@@ -106,3 +107,54 @@ def test_a_slot_is_one_file(data, tmp_path):
     EP.train_epochs(data[0].repartition(13), data[1], S._replace(epochs=1), str(tmp_path / "run"))
     slots = list((tmp_path / "run" / "train").glob("slot=*"))
     assert len(slots) > 20 and all(len(list(x.glob("*.parquet"))) == 1 for x in slots)
+
+
+def test_jobs_follow_the_epochs_and_not_the_steps(spark, data):
+    """An epoch of 38 steps takes as many Spark jobs as one of 3 steps."""
+    sc, jobs = spark.sparkContext, []
+    for batch in (50, 4):
+        sc.setJobGroup(f"steps of {batch}", "")
+        try:
+            steps = EP.train_epochs(*data, S._replace(epochs=1, batch=batch)).history.first()["steps"]
+            jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"steps of {batch}")))
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+    assert steps == 38 and jobs[0] > 0 and jobs[1] < jobs[0] + 10
+
+
+def test_many_small_slices_are_one_step(data, run, monkeypatch):
+    monkeypatch.setattr(EP, "_runs", lambda b, classes: ((int(b.column("step")[i].as_py()), b.slice(i, 1)) for i in range(b.num_rows)))
+    other = EP.train_epochs(*data, S)
+    assert other.history.collect() == run.history.collect() and (other.weights == run.weights).all()
+
+
+def test_steps_cut_by_what_a_task_may_hold(monkeypatch):
+    assert [(s, r.num_rows) for s, r in EP._runs(slices(), 2)] == [(0, 2), (1, 3)]
+    monkeypatch.setattr(EP, "CELLS", 4)
+    assert [(s, r.num_rows) for s, r in EP._runs(slices(), 2)] == [(0, 1), (0, 1), (1, 3)]
+
+
+def slices():
+    import pyarrow as pa
+    at = pa.array([[9], [1, 2], [3, 4], [5], [], [6, 7]], pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array([0, 0, 0, 1, 1, 1], pa.int32()), at], names=["step", "at"]).slice(1)
+
+
+ODD = [("a", "Straße ÄÖ İstanbul \ufb03 \U0001d49c\U0001d4b7 漢字かな e\u0301 ١٢", 0), ("b", "", 1), ("c", None, 0), ("d", "!!", 1), ("a", "mehr 漢字漢", 1),
+       (None, "a text without a key", 0), ("e", "z", 1), ("e", "z", 1), ("f", "x\x00y\U00010400\U00010401", None), ("g", "aé漢\U0001d49cé漢" * 40, 0), ("h", "one, 2", 3)]
+
+
+@pytest.mark.parametrize("size", [64, 1 << 20])
+@pytest.mark.parametrize("rows", [ODD, [x for x in ODD if x[0] in ("f", "g", "h", None)]], ids=["shared keys", "own keys"])
+def test_features_are_the_hashed_token_counts(spark, size, rows):
+    """Against Spark's own hash of the tokens that ``bayes`` counts; rows that share a key share their counts."""
+    d = spark.createDataFrame(rows, SCHEMA)
+    want = {}
+    for r in token_counts(d, "message", "custom_id").select("custom_id", F.pmod(F.xxhash64("token"), F.lit(size)).alias("at"), "n").collect():
+        n = want.setdefault(r["custom_id"], {})
+        n[r["at"]] = n.get(r["at"], 0) + r["n"]
+    want[None] = {}
+    got = EP.features(d, size, "custom_id", "message", "class")
+    assert got.dtypes == [("key", "string"), ("label", "int"), ("at", "array<int>"), ("n", "array<bigint>")]
+    expected = [(k, y, *map(list, zip(*sorted(want.get(k, {}).items())))) if want.get(k) else (k, y, [], []) for k, _, y in rows]
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, expected))
